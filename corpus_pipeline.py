@@ -7,24 +7,37 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlineage.llm import exact_dedup, minhash, packing
+from gridlineage.llm import exact_dedup, minhash, packing, quality, toxicity
 from gridlineage.llm.common import shared_dir, table
 from gridlineage.session import ship
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the toxicity model rejects."""
+    return toxicity.clean_rows(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality model rejects."""
+    return quality.good_rows(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal but for white space, one stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, one stays."""
     return minhash.drop_near_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences that the rest is packed into."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact dedup", exact), ("near dedup", near), ("packing", pack)]
+STAGES = [("toxicity", clean), ("quality", good), ("exact dedup", exact), ("near dedup", near), ("packing", pack)]
 
 #: Classifiers and packing are beyond SQL.
 ORACLE_SQL = None

@@ -12,10 +12,13 @@ from .tokens import slices
 
 #: Bands of rows: a link of similarity 0.8 shares no band in 3 of a million cases, one of 0.85 in 7 of a billion.
 BANDS, ROWS = 32, 5
-#: Bits of each minimum that the signature keeps, as planes of one bit for each minimum.
-BITS, PLANE = 2, 3
-#: Pairs whose estimate is this much below the threshold aren't compared: over six standard deviations at 0.8.
-SLACK = 0.25
+#: Minima in a signature (the bands take the first), and the low bits of each that are kept, plane by plane.
+MINIMA, BITS = 1024, 2
+PLANE = MINIMA // 64
+#: Pairs whose estimate is this much below the threshold aren't compared: over four standard deviations at 0.8.
+SLACK = 0.065
+#: Rounds in which every bucket compares its members with one of them, before pairs across components are left.
+ROUNDS = 2
 #: Odd multipliers and the bases of the hashes.
 BASE, SPREAD = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 WORD_BREAKS = np.zeros(256, bool)
@@ -101,14 +104,14 @@ def minima(sets: list[np.ndarray], n: int, mult: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(mins: np.ndarray, bands: int, rows: int, bits: int, planes: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(mins: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys, and the low bits of the minima: plane by plane, each plane packed into 64-bit words."""
     m = mixed(mins.astype(np.uint64))
     turn = np.array([pow(SPREAD[0], k, 1 << 64) for k in range(1, rows + 1)], np.uint64)
-    keys = mixed((m.reshape(len(m), bands, rows) * turn).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(BASE))
-    room = np.zeros((len(m), bits, 64 * planes), np.uint8)
-    for b in range(bits):
-        room[:, b, : m.shape[1]] = (m >> np.uint64(b)) & np.uint64(1)
+    keys = mixed((m[:, : bands * rows].reshape(len(m), bands, rows) * turn).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(BASE))
+    room = np.empty((len(m), BITS, m.shape[1]), np.uint8)
+    for b in range(BITS):
+        room[:, b] = (m >> np.uint64(b)) & np.uint64(1)
     return keys.view(np.int64), np.packbits(room, axis=2).reshape(len(m), -1).view("<i8")
 
 
@@ -117,13 +120,13 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     schema = "id long, n long, same binary, sig array<long>, keys array<long>"
 
     def run(batches):
-        mult = multipliers(bands * rows)
+        mult = multipliers(MINIMA)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts, 3_000_000):
+            for lo, hi in slices(texts, 1_500_000):
                 sets = shingles(texts[lo:hi], width)
                 full = [s for s in sets if len(s)]
-                keys, sig = signatures(minima(full, bands * rows, mult), bands, rows, BITS, PLANE) if full else (np.empty((0, bands), np.int64), np.empty((0, BITS * PLANE), np.int64))
+                keys, sig = signatures(minima(full, MINIMA, mult), bands, rows) if full else (np.empty((0, bands), np.int64), np.empty((0, BITS * PLANE), np.int64))
                 place = np.cumsum([bool(len(s)) for s in sets]) - 1
                 has = [bool(len(s)) for s in sets]
                 lists = lambda a: pa.array([a[p] if h else None for p, h in zip(place, has, strict=True)], pa.list_(pa.int64()))
@@ -140,7 +143,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts, 3_000_000):
+            for lo, hi in slices(texts, 1_500_000):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingles(texts[lo:hi], width)], pa.binary())], ["id", "set"])
 
     return docs.mapInArrow(run, "id long, set binary")
@@ -186,12 +189,12 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def estimate(bands: int, rows: int) -> Column:
+def estimate() -> Column:
     """Similarity by bit counts of two signatures, x.sig and y.sig, corrected for chance collisions of `BITS` bits."""
     cell = lambda side, b, w: f"{side}.sig[{b * PLANE + w}]"
     apart = " + ".join("bit_count(" + " | ".join(f"({cell('x', b, w)} ^ {cell('y', b, w)})" for b in range(BITS)) + ")" for w in range(PLANE))
     chance = 2.0**-BITS
-    return F.expr(f"(1 - ({apart}) / {float(bands * rows)} - {chance}) / {1 - chance}")
+    return F.expr(f"(1 - ({apart}) / {float(MINIMA)} - {chance}) / {1 - chance}")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -204,36 +207,51 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     1. Every text is read once: shingles, minima, band keys and the low bits of the minima.
     2. Documents with equal sets are one class; the rest works on a representative of each.
-    3. In each band bucket all members are compared with the smallest, by the bit estimate first and then
-       on full sets, and links contract to components.
-    4. Buckets that still hold several components compare all pairs across components in the same way, so
-       no pair that shares a bucket is left out, and a bucket of k copies costs k comparisons.
+    3. In ROUNDS rounds, each band bucket that holds several components compares its members with one of
+       them, drawn anew for each bucket and round: by the bit estimate first, then on full sets. Links
+       contract to components, so a bucket of k near copies costs about k comparisons.
+    4. Pairs across components that still share a bucket are all compared in the same way, each pair in
+       the first bucket that it shares, so no candidate is left out.
     """
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     base = stored(signed(source, width, bands, rows), "minhash")
     full = base.filter("same is not null and id is not null")
-    reps = checkpointed(full.groupBy("same").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    members = reps.select("id", F.explode("keys").alias("bucket"))
-    buckets = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).filter("k > 1").select("bucket", "pivot"))
-    shared = checkpointed(members.join(buckets, "bucket").select("bucket", "id", "pivot"))
-    sigs = checkpointed(reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "sig"))
-    near = estimate(bands, rows) >= percent / 100 - SLACK
-
-    star = shared.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    star = star.join(sigs.select(F.col("id").alias("a"), F.struct("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.struct("sig").alias("y")), "b").filter(near).select("a", "b")
-    links = linked(star, source, width, percent)
-    first = components(links)
-
-    labelled = shared.join(first, "id", "left").select("bucket", "id", "pivot", F.coalesce("comp", "id").alias("comp"))
-    mixed_ = checkpointed(labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket"))
-    if not mixed_.isEmpty():
-        rest = checkpointed(labelled.join(mixed_, "bucket").join(sigs, "id"))
-        side = lambda n: rest.select("bucket", F.struct("id", "comp", "sig", "pivot").alias(n))
-        across = side("x").join(side("y"), "bucket").filter("x.comp <> y.comp and x.id > y.id and y.id <> y.pivot").filter(near)
-        links = links.unionByName(linked(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), source, width, percent))
+    reps = checkpointed(full.groupBy("same").agg(F.min("id").alias("id"), F.first(F.struct("n", "sig", "keys")).alias("body")))
+    members = reps.select("id", F.posexplode("body.keys").alias("band", "bucket"))
+    several = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket"))
+    shared = checkpointed(members.join(several, "bucket").select("bucket", "band", "id"))
+    bodies = checkpointed(reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "body.*"))
+    near = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)") & (estimate() >= percent / 100 - SLACK)
+
+    def labelled(comps: DataFrame | None) -> DataFrame:
+        return shared.withColumn("comp", F.col("id")) if comps is None else shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    links, comps, done = None, None, False
+    for k in range(ROUNDS):
+        now = labelled(comps)
+        drawn = F.min(F.struct(F.xxhash64("id", "bucket", F.lit(k)).alias("at"), "id", "comp"))
+        pivots = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), drawn.alias("pivot")).filter("low < high")
+        pivots = checkpointed(pivots.select("bucket", F.col("pivot.id").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")))
+        if pivots.isEmpty():
+            done = True
+            break
+        pairs = now.join(pivots, "bucket").filter("comp <> pivot_comp").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+        side = lambda n, c: bodies.select(F.col("id").alias(c), F.struct("n", "sig").alias(n))
+        pairs = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").filter(near).select("a", "b")
+        found = linked(pairs, source, width, percent)
+        links = found if links is None else links.unionByName(found)
         comps = components(links)
-    else:
-        comps = first
+
+    if not done:
+        now = labelled(comps)
+        open_ = checkpointed(now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket"))
+        rest = checkpointed(now.join(open_, "bucket").join(bodies, "id").select("bucket", "band", F.struct("id", "comp", "n", "sig", "keys").alias("x")))
+        first = " and ".join(f"(band <= {i} or x.keys[{i}] <> y.keys[{i}])" for i in range(bands))
+        across = rest.join(rest.select("bucket", F.col("x").alias("y")), "bucket").filter("x.comp <> y.comp and x.id > y.id").filter(near).filter(first)
+        found = linked(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), source, width, percent)
+        comps = components(links.unionByName(found))
+    if comps is None:
+        comps = reps.select("id", F.col("id").alias("comp"))
 
     classes = reps.select("same", F.col("id").alias("rep"))
     rows_ = base.select("id", "n", F.coalesce("same", F.concat(F.lit(b"row"), F.monotonically_increasing_id().cast("string").cast("binary"))).alias("same"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -13,7 +14,7 @@ import numpy as np
 CHUNK = re.compile(r"[^\W\d_]+(?<!\u0130)(?=[!-&(-/:-@\[-`{-~])|[^ \t\n\x0b\x0c\r]+")
 
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 
 
 class ChunkEncoder:
@@ -32,22 +33,40 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.kind = "H" if self.library.get_vocab_size() <= 65_536 else "I"
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def learn(self, new: set[str]) -> None:
+        """Remembers the ids of chunks. Words of letters alone, which end in one end-of-word id each, go together."""
+        plain = [w for w in new if w.isalpha() and "\u0130" not in w]
+        other = list(new.difference(plain))
+        for i in range(0, len(plain), 200):
+            part = plain[i : i + 200]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(ends) != len(part):
+                other += part
+                continue
+            data, lo = ids.tobytes(), 0
+            for w, hi in zip(part, ends.tolist(), strict=True):
+                self.known[w] = data[lo:hi]
+                lo = hi
+        for i in range(0, len(other), 5_000):
+            part = other[i : i + 5_000]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = array(self.kind, e.ids).tobytes()
+
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids of each text with `end` appended; null counts as empty."""
         plain = lambda t: t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         words = [CHUNK.findall(plain(t)) if t else [] for t in texts]
         known = self.known
-        new = {w for ws in words for w in ws if w not in known}
+        new = set(chain.from_iterable(words)).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = set().union(*words)
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array(self.kind, e.ids).tobytes()
+            new = set(chain.from_iterable(words))
+        self.learn(new)
         get, last = known.__getitem__, array(self.kind, [end]).tobytes()
         return [np.frombuffer(b"".join([*map(get, w), last]), self.kind) for w in words]
 

@@ -12,11 +12,11 @@ from .tokens import slices
 
 #: Bands of rows: a link of similarity 0.8 shares no band in 3 of a million cases, one of 0.85 in 7 of a billion.
 BANDS, ROWS = 32, 5
-#: Minima in a signature (the bands take the first), and the low bits of each that are kept, plane by plane.
-MINIMA, BITS = 1024, 2
-PLANE = MINIMA // 64
+#: Minima in a signature (the bands take the first). Of each the lowest bit is kept, in words of 64.
+MINIMA = 1024
+WORDS = MINIMA // 64
 #: Pairs whose estimate is this much below the threshold aren't compared: over four standard deviations at 0.8.
-SLACK = 0.065
+SLACK = 0.08
 #: Rounds in which every bucket compares its members with one of them, before pairs across components are left.
 ROUNDS = 2
 #: Odd multipliers and the bases of the hashes.
@@ -105,14 +105,12 @@ def minima(sets: list[np.ndarray], n: int, mult: np.ndarray) -> np.ndarray:
 
 
 def signatures(mins: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys, and the low bits of the minima: plane by plane, each plane packed into 64-bit words."""
+    """Band keys, and the low bits of the minima in 64-bit words."""
     m = mixed(mins.astype(np.uint64))
     turn = np.array([pow(SPREAD[0], k, 1 << 64) for k in range(1, rows + 1)], np.uint64)
     keys = mixed((m[:, : bands * rows].reshape(len(m), bands, rows) * turn).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(BASE))
-    room = np.empty((len(m), BITS, m.shape[1]), np.uint8)
-    for b in range(BITS):
-        room[:, b] = (m >> np.uint64(b)) & np.uint64(1)
-    return keys.view(np.int64), np.packbits(room, axis=2).reshape(len(m), -1).view("<i8")
+    low = (m & np.uint64(1)).astype(np.uint8)
+    return keys.view(np.int64), np.packbits(low, axis=1).view("<i8")
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -126,7 +124,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             for lo, hi in slices(texts, 1_500_000):
                 sets = shingles(texts[lo:hi], width)
                 full = [s for s in sets if len(s)]
-                keys, sig = signatures(minima(full, MINIMA, mult), bands, rows) if full else (np.empty((0, bands), np.int64), np.empty((0, BITS * PLANE), np.int64))
+                keys, sig = signatures(minima(full, MINIMA, mult), bands, rows) if full else (np.empty((0, bands), np.int64), np.empty((0, WORDS), np.int64))
                 place = np.cumsum([bool(len(s)) for s in sets]) - 1
                 has = [bool(len(s)) for s in sets]
                 lists = lambda a: pa.array([a[p] if h else None for p, h in zip(place, has, strict=True)], pa.list_(pa.int64()))
@@ -190,11 +188,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def estimate() -> Column:
-    """Similarity by bit counts of two signatures, x.sig and y.sig, corrected for chance collisions of `BITS` bits."""
-    cell = lambda side, b, w: f"{side}.sig[{b * PLANE + w}]"
-    apart = " + ".join("bit_count(" + " | ".join(f"({cell('x', b, w)} ^ {cell('y', b, w)})" for b in range(BITS)) + ")" for w in range(PLANE))
-    chance = 2.0**-BITS
-    return F.expr(f"(1 - ({apart}) / {float(MINIMA)} - {chance}) / {1 - chance}")
+    """Similarity by bit counts of two signatures, in columns x_s0... and y_s0...; unlike minima agree in the one bit by chance half the time."""
+    apart = " + ".join(f"bit_count(x_s{w} ^ y_s{w})" for w in range(WORDS))
+    return F.expr(f"1 - 2 * ({apart}) / {float(MINIMA)}")
+
+
+def spread(df: DataFrame, name: str, of: str, n: int) -> DataFrame:
+    """An array column as n columns: comparisons of them stay small in generated code."""
+    return df.select(*[c for c in df.columns if c != name], *[F.col(name)[i].alias(f"{of}{i}") for i in range(n)])
+
+
+def side(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns renamed for one side of a pair."""
+    return df.select(*keep, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in keep])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -220,8 +226,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = reps.select("id", F.posexplode("body.keys").alias("band", "bucket"))
     several = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket"))
     shared = checkpointed(members.join(several, "bucket").select("bucket", "band", "id"))
-    bodies = checkpointed(reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "body.*"))
-    near = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)") & (estimate() >= percent / 100 - SLACK)
+    bodies = checkpointed(reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "body.n", "body.sig"))
+    bodies = spread(bodies, "sig", "s", WORDS)
+    near = F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)") & (estimate() >= percent / 100 - SLACK)
 
     def labelled(comps: DataFrame | None) -> DataFrame:
         return shared.withColumn("comp", F.col("id")) if comps is None else shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -236,19 +243,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             done = True
             break
         pairs = now.join(pivots, "bucket").filter("comp <> pivot_comp").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
-        side = lambda n, c: bodies.select(F.col("id").alias(c), F.struct("n", "sig").alias(n))
-        pairs = pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").filter(near).select("a", "b")
+        pairs = pairs.join(side(bodies, "x").withColumnRenamed("x_id", "a"), "a").join(side(bodies, "y").withColumnRenamed("y_id", "b"), "b").filter(near).select("a", "b")
         found = linked(pairs, source, width, percent)
         links = found if links is None else links.unionByName(found)
         comps = components(links)
 
     if not done:
         now = labelled(comps)
-        open_ = checkpointed(now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("bucket"))
-        rest = checkpointed(now.join(open_, "bucket").join(bodies, "id").select("bucket", "band", F.struct("id", "comp", "n", "sig", "keys").alias("x")))
-        first = " and ".join(f"(band <= {i} or x.keys[{i}] <> y.keys[{i}])" for i in range(bands))
-        across = rest.join(rest.select("bucket", F.col("x").alias("y")), "bucket").filter("x.comp <> y.comp and x.id > y.id").filter(near).filter(first)
-        found = linked(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), source, width, percent)
+        # A pair across components has a side that is not in the bucket's largest component.
+        sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+        open_ = sizes.groupBy("bucket").agg(F.count("*").alias("several"), F.max(F.struct("k", "comp")).alias("most")).filter("several > 1")
+        open_ = checkpointed(open_.select("bucket", F.col("most.comp").alias("most")))
+        keys = spread(reps.select("id", "body.keys"), "keys", "k", bands)
+        rest = checkpointed(now.join(open_, "bucket").join(bodies, "id").join(keys, "id"))
+        x = side(rest.filter("comp <> most").drop("most"), "x", ("bucket", "band"))
+        y = side(rest.drop("band"), "y", ("bucket",))
+        first = " and ".join(f"(band <= {i} or x_k{i} <> y_k{i})" for i in range(bands))
+        across = x.join(y, "bucket").filter("x_comp <> y_comp and (y_comp = y_most or x_id > y_id)").filter(near).filter(first)
+        found = linked(across.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")), source, width, percent)
         comps = components(links.unionByName(found))
     if comps is None:
         comps = reps.select("id", F.col("id").alias("comp"))

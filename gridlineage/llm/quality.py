@@ -25,7 +25,7 @@ HIDDEN = 32
 #: Features of a document: two pools of DIMS, and four for repeated words and length.
 WIDTH = 2 * DIMS + 4
 #: Labelled documents of either class that the model is fitted on, at most.
-PER_CLASS = 2500
+PER_CLASS = 2000
 
 
 def kind(token: str) -> str:
@@ -74,7 +74,7 @@ class Quality:
     layers: list[np.ndarray]
     heat: float = 1.0
 
-    def pooled(self, tokens: list[str], look: Rows) -> np.ndarray:
+    def pooled(self, tokens: list, look: Rows | np.ndarray) -> np.ndarray:
         """Mean and deviation of a document's word vectors, and how often its words repeat."""
         if not tokens:
             return np.zeros(WIDTH, np.float32)
@@ -94,24 +94,21 @@ class Quality:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.heat, -40, 40)))
 
 
-def word_vectors(texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows and vectors of frequent words and of word classes, by random indexing over the sample.
+def word_vectors(texts: list[np.ndarray], names: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Rows and vectors of frequent words and of word classes, by random indexing over texts of word numbers; and the row of each number.
 
     A word's vector is the direction of the sum of its neighbours' index vectors (nearer ones count more)
     plus its own index vector.
     """
-    count: dict[str, int] = {}
-    for words in texts:
-        for w in words:
-            count[w] = count.get(w, 0) + 1
-    own = sorted((w for w, n in count.items() if n >= OFTEN), key=lambda w: (-count[w], w))[:VOCABULARY]
-    classes = sorted({kind(w) for w in count})
-    rows = {w: i for i, w in enumerate(["<unknown>", *classes, *(w for w in own if w not in set(classes))])}
+    count = sum((np.bincount(t, minlength=len(names)) for t in texts), np.zeros(len(names), np.int64))
+    own = sorted(np.flatnonzero(count >= OFTEN).tolist(), key=lambda i: (-count[i], names[i]))[:VOCABULARY]
+    classes = sorted({kind(w) for w in names})
+    rows = {w: i for i, w in enumerate(dict.fromkeys(["<unknown>", *classes, *(names[i] for i in own)]))}
     index = np.array([index_vector(w) for w in rows])
     look, sums = Rows(rows), np.zeros((len(rows), DIMS), np.float32)
-    for lo in range(0, len(texts), 100):
-        part = [np.array([look[w] for w in words], np.int64) for words in texts[lo : lo + 100]]
-        ids = np.concatenate([np.concatenate([p, np.full(NEAR, -1)]) for p in part]) if part else np.empty(0, np.int64)
+    of = np.array([look[w] for w in names], np.int64)
+    for lo in range(0, len(texts), 50):
+        ids = np.concatenate([np.r_[of[t], np.full(NEAR, -1)] for t in texts[lo : lo + 50]])
         for d in range(1, NEAR + 1):
             for a, b in ((ids[:-d], ids[d:]), (ids[d:], ids[:-d])):
                 ok = (a >= 0) & (b >= 0)
@@ -120,7 +117,7 @@ def word_vectors(texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
                 if len(order):
                     at = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
                     sums[a[order][at]] += np.add.reduceat(index[b[order]], at, axis=0) / d
-    return rows, (unit(sums) + unit(index)).astype(np.float32)
+    return rows, (unit(sums) + unit(index)).astype(np.float32), of
 
 
 def fit(sample: list[tuple[str, int]], share: float | None = None, epochs: int = 40, seed: int = 5) -> Quality:
@@ -128,11 +125,11 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, epochs: int =
 
     share: of label 1 among all labelled documents, to which the sample is weighted; None: as in the sample.
     """
-    texts = [TOKEN.findall(t) for t, _ in sample]
-    rows, vectors = word_vectors(texts)
+    number: dict[str, int] = {}
+    texts = [np.array([number.setdefault(w, len(number)) for w in TOKEN.findall(t)], np.int64) for t, _ in sample]
+    rows, vectors, of = word_vectors(texts, list(number))
     model = Quality(rows, vectors, np.zeros(WIDTH), np.ones(WIDTH), [])
-    look = Rows(rows)
-    x = np.array([model.pooled(words, look) for words in texts]).reshape(-1, WIDTH)
+    x = np.array([model.pooled(t.tolist(), of) for t in texts]).reshape(-1, WIDTH)
     y = np.array([label for _, label in sample], float)
     rng = np.random.default_rng(seed)
     layers = [rng.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]

@@ -9,20 +9,18 @@ from itertools import chain
 
 import numpy as np
 
-#: Runs of letters before ASCII punctuation other than an apostrophe, or all up to the next ASCII white space.
-#: U+0130 ends no run: its lower case ends in a mark, which goes with the punctuation.
-CHUNK = re.compile(r"[^\W\d_]+(?<!\u0130)(?=[!-&(-/:-@\[-`{-~])|[^ \t\n\x0b\x0c\r]+")
-
+#: Letters before ASCII punctuation other than an apostrophe. U+0130 ends no run: its lower case ends in a mark, which goes with the punctuation.
+PUNCTUATED = re.compile(r"([^\W\d_]+)(?<!\u0130)([!-&(-/:-@\[-`{-~]+)")
 #: Distinct chunks whose ids a Python worker remembers.
 REMEMBERED = 900_000
 
 
 class ChunkEncoder:
-    """Encodes texts with a lower-casing tokenizer that drops white space and keeps letters apart from punctuation.
+    """Encodes texts with a lower-casing tokenizer that splits at white space and drops it.
 
-    For such a tokenizer the ids of a text are those of its chunks in turn, so each distinct chunk is
-    encoded once by the library and remembered. A-Z are lower-cased first, unless the text may hold a
-    special token, which is case-sensitive.
+    For such a tokenizer the ids of a text are those of its chunks between ASCII white space in turn, so
+    each distinct chunk is encoded once by the library and remembered. A-Z are lower-cased first, unless
+    the text may hold a special token, which is case-sensitive.
     """
 
     def __init__(self, path: str):
@@ -35,12 +33,29 @@ class ChunkEncoder:
         self.kind = "H" if self.library.get_vocab_size() <= 65_536 else "I"
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, new: set[str]) -> None:
-        """Remembers the ids of chunks. Words of letters alone, which end in one end-of-word id each, go together."""
-        plain = [w for w in new if w.isalpha() and "\u0130" not in w]
-        other = list(new.difference(plain))
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, new: list[bytes]) -> None:
+        """Remembers the ids of chunks.
+
+        Letters followed by ASCII punctuation other than an apostrophe are two chunks in one. Words of
+        letters alone, which end in one end-of-word id each, go to the library together.
+        """
+        known, heads, pairs, other = self.known, {}, [], []
+        for raw in new:
+            w = raw.decode("utf-8", "surrogatepass")
+            if w.isalpha() and "\u0130" not in w:
+                heads[w] = raw
+            elif m := PUNCTUATED.fullmatch(w):
+                head, tail = m[1].encode(), m[2].encode()
+                pairs.append((raw, head, tail))
+                if head not in known:
+                    heads[m[1]] = head
+                if tail not in known:
+                    other.append(m[2])
+            else:
+                other.append(w)
+        plain = list(heads)
         for i in range(0, len(plain), 200):
             part = plain[i : i + 200]
             ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
@@ -50,23 +65,28 @@ class ChunkEncoder:
                 continue
             data, lo = ids.tobytes(), 0
             for w, hi in zip(part, ends.tolist(), strict=True):
-                self.known[w] = data[lo:hi]
+                known[heads[w]] = data[lo:hi]
                 lo = hi
+        other = list(set(other))
         for i in range(0, len(other), 5_000):
             part = other[i : i + 5_000]
             for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = array(self.kind, e.ids).tobytes()
+                known[w.encode("utf-8", "surrogatepass")] = array(self.kind, e.ids).tobytes()
+        for raw, head, tail in pairs:
+            known[raw] = known[head] + known[tail]
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids of each text with `end` appended; null counts as empty."""
-        plain = lambda t: t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        words = [CHUNK.findall(plain(t)) if t else [] for t in texts]
+        words = []
+        for t in texts:
+            data = t.encode("utf-8", "surrogatepass") if t else b""
+            words.append((data if b"<|" in data else data.lower()).split())
         known = self.known
         new = set(chain.from_iterable(words)).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = set(chain.from_iterable(words))
-        self.learn(new)
+        self.learn(list(new))
         get, last = known.__getitem__, array(self.kind, [end]).tobytes()
         return [np.frombuffer(b"".join([*map(get, w), last]), self.kind) for w in words]
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,7 @@ WORD = re.compile(r"\w+")
 #: Weights are kept for hashed features; prefixes let inflected words share evidence.
 WEIGHTS, PREFIXES = 1 << 18, (4, 5, 6)
 #: Labelled documents of either class that the model is fitted on, at most.
-PER_CLASS = 3000
+PER_CLASS = 2000
 #: Tokens on both sides of a labelled token that go into a training sequence.
 AROUND = 12
 #: Distinct words whose scores a Python worker remembers.
@@ -32,8 +31,8 @@ def evidence(word: str) -> list[str]:
     return [w, *(f"{w[:k]}*" for k in PREFIXES if len(w) >= k)]
 
 
-def features(word: str) -> list[int]:
-    return [zlib.crc32(e.encode("utf-8", "surrogatepass")) % WEIGHTS for e in evidence(word)]
+def hashes(word: str) -> list[int]:
+    return [zlib.crc32(e.encode("utf-8", "surrogatepass")) or 1 for e in evidence(word)]
 
 
 def ragged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,9 +54,6 @@ class Chain:
     start: float
     scale: np.ndarray | None = None
 
-    def emission(self, word: str) -> float:
-        return float(self.weights[features(word)].sum())
-
     def passes(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
         """Forward and backward log odds of state 1 for emissions of sequences of falling length, in time order."""
         live, at, order = ragged(rows)
@@ -99,74 +95,90 @@ def summary(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, top, np.log1p(mass)])
 
 
-def mark(tokens: list[list[str]], labels: list[int]) -> set[str]:
-    """Evidence that goes with toxic documents: the labels of tokens, as only documents are labelled.
+class Words:
+    """The distinct words of a sample by number, with the hashes of their evidence; texts become arrays of numbers."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        self.texts = [np.array([number.setdefault(w.lower(), len(number)) for w in WORD.findall(t)], np.int32) for t in texts]
+        self.evidence = np.zeros((len(number), 1 + len(PREFIXES)), np.uint32)
+        for w, i in number.items():
+            e = hashes(w)
+            self.evidence[i, : len(e)] = e
+        self.has = self.evidence > 0
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.where(self.has, weights[self.evidence % WEIGHTS], 0).sum(1, dtype=np.float32)
+
+
+def mark(words: Words, labels: list[int]) -> np.ndarray:
+    """The evidence (hashes) that goes with toxic documents: it labels tokens, as only documents have labels.
 
     Counted are the distinct neighbourhoods in which a word or beginning stands, so that copies of one
     document count once. It is marked where a likelihood-ratio test against chance, held to one false
     alarm in all that is tested, finds it in toxic documents, and clean ones have it a tenth as often.
     """
-    seen: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    for words, y in zip(tokens, labels, strict=True):
-        for i, w in enumerate(words):
-            around = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-            for e in evidence(w):
-                seen[y][e].add(around)
-    total = [max(1, sum(len(w) for w, y in zip(tokens, labels, strict=True) if y == k)) for k in (0, 1)]
-    share = total[1] / sum(total)
-    out, limit = set(), 2 * np.log(max(len(seen[1]), 2)) + 2
-    for e, contexts in seen[1].items():
-        t, c = len(contexts), len(seen[0].get(e, ()))
-        if t >= 3 and c / total[0] <= 0.1 * t / total[1]:
-            g = 2 * (t * np.log(t / ((t + c) * share)) + (c * np.log(c / ((t + c) * (1 - share))) if c else 0))
-            if g > limit:
-                out.add(e)
-    return out
+    found, total = [], []
+    for y in (0, 1):
+        own = [t for t, label in zip(words.texts, labels, strict=True) if label == y and len(t)]
+        ids = np.concatenate([np.r_[t, -1] for t in own]) if own else np.empty(0, np.int64)
+        before, after = np.r_[-1, ids[:-1]] if len(ids) else ids, np.r_[ids[1:], -1] if len(ids) else ids
+        real = ids >= 0
+        around = ((before[real].astype(np.uint64) * np.uint64(0x9E3779B1) + after[real].astype(np.uint64) * np.uint64(0x85EBCA77)) & np.uint64(0xFFFFFFFF))
+        # The distinct (evidence, neighbourhood) pairs of each kind of evidence; a short word has fewer kinds.
+        kinds = [np.unique((words.evidence[ids[real], k].astype(np.uint64) << np.uint64(32)) | around) >> np.uint64(32) for k in range(words.evidence.shape[1])]
+        e, n = np.unique(np.concatenate(kinds), return_counts=True)
+        found.append((e[e > 0], n[e > 0]))
+        total.append(max(1, int(real.sum())))
+    (clean, c_n), (toxic, t_n) = found
+    if not len(toxic):
+        return toxic
+    at = np.minimum(np.searchsorted(clean, toxic), max(len(clean) - 1, 0))
+    c = np.where(clean[at] == toxic, c_n[at], 0) if len(clean) else np.zeros(len(toxic))
+    share, t = total[1] / sum(total), t_n.astype(float)
+    g = 2 * (t * np.log(t / ((t + c) * share)) + np.where(c > 0, c * np.log(np.maximum(c, 1) / ((t + c) * (1 - share))), 0))
+    return toxic[(t >= 3) & (c / total[0] <= 0.1 * t / total[1]) & (g > 2 * np.log(max(len(toxic), 2)) + 2)]
 
 
 def fit(sample: list[tuple[str, int]], rounds: int = 80, decay: float = 1e-4, seed: int = 3) -> Chain:
     """A model from texts with labels: tokens are labelled by `mark`, then the chain's likelihood is maximised."""
-    tokens = [WORD.findall(t.lower()) for t, _ in sample]
-    labels = [y for _, y in sample]
-    marked = mark(tokens, labels)
+    words, labels = Words([t for t, _ in sample]), [y for _, y in sample]
+    hot = (np.isin(words.evidence, mark(words, labels)) & words.has).any(1)
     rng = np.random.default_rng(seed)
-    number: dict[str, int] = {}
     rows, targets = [], []
-    for words, y in zip(tokens, labels, strict=True):
-        hits = [i for i, w in enumerate(words) if y and not marked.isdisjoint(evidence(w))]
-        middle = hits or [int(rng.integers(len(words))) for _ in range(3) if words]
-        upto = 0
+    for ids, y in zip(words.texts, labels, strict=True):
+        hits = np.flatnonzero(hot[ids]) if y and len(ids) else np.empty(0, np.int64)
+        middle, upto = hits if len(hits) else rng.integers(len(ids), size=3) if len(ids) else (), 0
         for i in middle:
-            lo, hi = max(upto, i - AROUND), min(len(words), i + AROUND + 1)
+            lo, hi = max(upto, i - AROUND), min(len(ids), i + AROUND + 1)
             if hi > lo:
                 upto = hi
-                rows.append(np.array([number.setdefault(w, len(number)) for w in words[lo:hi]]))
-                hit = set(hits)
-                targets.append(np.array([j in hit for j in range(lo, hi)], np.float32))
+                rows.append(ids[lo:hi])
+                targets.append((hot[ids[lo:hi]] & bool(len(hits))).astype(np.float32))
     chain = Chain(np.zeros(WEIGHTS, np.float32), np.array([[0.0, -2.0], [0.0, 0.0]]), -2.0)
     if rows:
         by = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
-        rows, targets = [rows[i] for i in by], [targets[i] for i in by]
-        ascend(chain, rows, targets, list(number), rounds, decay)
-    calibrate(chain, tokens, labels)
+        ascend(chain, [rows[i] for i in by], [targets[i] for i in by], words, rounds, decay)
+    calibrate(chain, words, labels)
     return chain
 
 
-def ascend(chain: Chain, rows: list[np.ndarray], targets: list[np.ndarray], words: list[str], rounds: int, decay: float) -> None:
+def ascend(chain: Chain, rows: list[np.ndarray], targets: list[np.ndarray], words: Words, rounds: int, decay: float) -> None:
     """Adagrad on the log likelihood of labelled sequences of falling length."""
-    index = [features(w) for w in words]
-    of_word = np.repeat(np.arange(len(words)), [len(f) for f in index])
-    of_feature = np.concatenate([np.array(f) for f in index])
+    used = np.unique(np.concatenate(rows))
+    of_word, kind = np.nonzero(words.has[used])
+    of_feature = words.evidence[used][of_word, kind] % WEIGHTS
+    rows = [np.searchsorted(used, r) for r in rows]
     flat, y = np.concatenate(rows), np.concatenate(targets)
     cuts = np.cumsum([len(r) for r in rows])[:-1]
     power, power_t = np.full(WEIGHTS, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(rounds):
-        scores = np.bincount(of_word, chain.weights[of_feature], len(words)).astype(np.float32)
+        scores = np.bincount(of_word, chain.weights[of_feature], len(used)).astype(np.float32)
         e, a, b, (live, at, order) = chain.passes(np.split(scores[flat], cuts))
         p = 1 / (1 + np.exp(-np.clip(a + b, -60, 60)))
         truth = np.empty_like(e)
         truth[order] = y
-        gap = np.bincount(flat, (truth - p)[order], len(words))
+        gap = np.bincount(flat, (truth - p)[order], len(used))
         grad = np.bincount(of_feature, gap[of_word], WEIGHTS) - decay * len(rows) * chain.weights
         grad_t = np.zeros((2, 2))
         if len(live) > 1:
@@ -185,11 +197,10 @@ def ascend(chain: Chain, rows: list[np.ndarray], targets: list[np.ndarray], word
     chain.start = float(np.log((first.sum() + 0.5) / (len(first) - first.sum() + 0.5)))
 
 
-def calibrate(chain: Chain, tokens: list[list[str]], labels: list[int], rounds: int = 400) -> None:
+def calibrate(chain: Chain, words: Words, labels: list[int], rounds: int = 400) -> None:
     """Logistic regression of document labels on `summary` of their marginals."""
-    known: dict[str, float] = {}
-    rows = [np.array([known[w] if w in known else known.setdefault(w, chain.emission(w)) for w in words], np.float32) for words in tokens]
-    x = np.array([summary(p) for lo in range(0, len(rows), 300) for p in chain.marginals(rows[lo : lo + 300])]).reshape(-1, 3)
+    scores = words.scores(chain.weights)
+    x = np.array([summary(p) for lo in range(0, len(labels), 200) for p in chain.marginals([scores[t] for t in words.texts[lo : lo + 200]])]).reshape(-1, 3)
     y, w = np.array(labels, float), np.zeros(3)
     for _ in range(rounds if len(y) else 0):
         p = 1 / (1 + np.exp(-(x @ w)))
@@ -208,7 +219,7 @@ class Emissions(dict):
     def __missing__(self, word: str) -> float:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = s = sum([self.weights[f] for f in features(word)])
+        self[word] = s = sum([self.weights[h % WEIGHTS] for h in hashes(word)])
         return s
 
 

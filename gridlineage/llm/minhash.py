@@ -17,6 +17,8 @@ MINIMA = 1024
 WORDS = MINIMA // 64
 #: Pairs whose estimate is this much below the threshold aren't compared: over four standard deviations at 0.8.
 SLACK = 0.08
+#: The same for documents that are left to be compared across components: longer signatures, less slack.
+FINE, FINE_SLACK = 4096, 0.04
 #: Rounds in which every bucket compares its members with one of them, before pairs across components are left.
 ROUNDS = 2
 #: Odd multipliers and the bases of the hashes.
@@ -135,16 +137,23 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(id, set) of every document: its sorted shingle hashes as 64-bit integers."""
+def sets_of(docs: DataFrame, width: int, fine: bool = False) -> DataFrame:
+    """(id, set) of every document: its sorted shingle hashes as 64-bit integers; with `fine` also n and a signature of FINE minima."""
 
     def run(batches):
+        mult = multipliers(FINE)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts, 1_500_000):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in shingles(texts[lo:hi], width)], pa.binary())], ["id", "set"])
+            for lo, hi in slices(texts, 1_000_000):
+                sets = shingles(texts[lo:hi], width)
+                out = [b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())]
+                if fine:
+                    full = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+                    low = (mixed(minima(full, FINE, mult).astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+                    out += [pa.array([len(s) for s in sets], pa.int64()), pa.array(np.packbits(low, axis=1).view("<i8").tolist(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(out, ["id", "set", "n", "sig"][: len(out)])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "id long, set binary" + (", n long, sig array<long>" if fine else ""))
 
 
 def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -187,10 +196,10 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def estimate() -> Column:
+def estimate(minima: int) -> Column:
     """Similarity by bit counts of two signatures, in columns x_s0... and y_s0...; unlike minima agree in the one bit by chance half the time."""
-    apart = " + ".join(f"bit_count(x_s{w} ^ y_s{w})" for w in range(WORDS))
-    return F.expr(f"1 - 2 * ({apart}) / {float(MINIMA)}")
+    apart = " + ".join(f"bit_count(x_s{w} ^ y_s{w})" for w in range(minima // 64))
+    return F.expr(f"1 - 2 * ({apart}) / {float(minima)}")
 
 
 def spread(df: DataFrame, name: str, of: str, n: int) -> DataFrame:
@@ -228,7 +237,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     shared = checkpointed(members.join(several, "bucket").select("bucket", "band", "id"))
     bodies = checkpointed(reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", "body.n", "body.sig"))
     bodies = spread(bodies, "sig", "s", WORDS)
-    near = F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)") & (estimate() >= percent / 100 - SLACK)
+    sized = F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
+    near = sized & (estimate(MINIMA) >= percent / 100 - SLACK)
 
     def labelled(comps: DataFrame | None) -> DataFrame:
         return shared.withColumn("comp", F.col("id")) if comps is None else shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -244,7 +254,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             break
         pairs = now.join(pivots, "bucket").filter("comp <> pivot_comp").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
         pairs = pairs.join(side(bodies, "x").withColumnRenamed("x_id", "a"), "a").join(side(bodies, "y").withColumnRenamed("y_id", "b"), "b").filter(near).select("a", "b")
-        found = linked(pairs, source, width, percent)
+        found = linked(pairs, source, percent, width)
         links = found if links is None else links.unionByName(found)
         comps = components(links)
 
@@ -255,12 +265,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         open_ = sizes.groupBy("bucket").agg(F.count("*").alias("several"), F.max(F.struct("k", "comp")).alias("most")).filter("several > 1")
         open_ = checkpointed(open_.select("bucket", F.col("most.comp").alias("most")))
         keys = spread(reps.select("id", "body.keys"), "keys", "k", bands)
-        rest = checkpointed(now.join(open_, "bucket").join(bodies, "id").join(keys, "id"))
+        left = checkpointed(now.join(open_, "bucket"))
+        ids = checkpointed(left.select("id").distinct())
+        fine = stored(sets_of(source.join(small(ids), "id", "left_semi"), width, fine=True).dropDuplicates(["id"]), "minhash-fine")
+        bodies = spread(fine.select("id", "n", "sig"), "sig", "s", FINE // 64)
+        near = sized & (estimate(FINE) >= percent / 100 - FINE_SLACK)
+        rest = checkpointed(left.join(bodies, "id").join(keys, "id"))
         x = side(rest.filter("comp <> most").drop("most"), "x", ("bucket", "band"))
         y = side(rest.drop("band"), "y", ("bucket",))
         first = " and ".join(f"(band <= {i} or x_k{i} <> y_k{i})" for i in range(bands))
         across = x.join(y, "bucket").filter("x_comp <> y_comp and (y_comp = y_most or x_id > y_id)").filter(near).filter(first)
-        found = linked(across.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")), source, width, percent)
+        found = linked(across.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")), fine, percent)
         comps = components(links.unionByName(found))
     if comps is None:
         comps = reps.select("id", F.col("id").alias("comp"))
@@ -273,13 +288,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
 
 
-def linked(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that are links on their full sets, checkpointed; only texts in a pair are shingled again."""
+def linked(pairs: DataFrame, source: DataFrame, percent: int, width: int | None = None) -> DataFrame:
+    """The pairs that are links on their full sets, checkpointed; with `width`, texts in a pair are shingled again, else `source` has sets."""
     pairs = checkpointed(pairs)
-    ids = checkpointed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = stored(sets_of(source.join(small(ids), "id", "left_semi"), width), "minhash-sets")
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return checkpointed(confirmed(full, percent).distinct())
+    sets = source
+    if width is not None:
+        ids = checkpointed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        sets = stored(sets_of(source.join(small(ids), "id", "left_semi"), width), "minhash-sets")
+    one = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
+    return checkpointed(confirmed(pairs.join(one("a"), "a").join(one("b"), "b"), percent).distinct())
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -31,14 +31,20 @@ def _groups(ref: Column) -> Column:
 
 def col_to_num(letters: Column) -> Column:
     """Column number of up to three letters; case does not matter."""
-    u = F.upper(letters)
+    return let(F.upper(letters), _col_to_num)
+
+
+def _col_to_num(u: Column) -> Column:
     at = lambda k: F.when(F.length(u) >= k, F.ascii(F.substring(u, -k, 1)) - 64).otherwise(0)
     return (at(1) + 26 * at(2) + 676 * at(3)).cast("int")
 
 
 def num_to_col(n: Column) -> Column:
     """Letters of a column number from 1 to 16,384 (there is no zero digit)."""
-    n = n.cast("long")
+    return let(n.cast("long"), _num_to_col)
+
+
+def _num_to_col(n: Column) -> Column:
     letter = lambda c: F.chr(65 + c)
     third = F.when(n > 702, letter(F.floor((n - 703) / 676))).otherwise("")
     second = F.when(n > 26, letter(F.floor((n - 27) / 26) % 26)).otherwise("")
@@ -114,11 +120,15 @@ def _parsed(sheet: Column, p: Column, default_sheet: Column | None) -> Column:
 
 
 def ncells(r: Column) -> Column:
-    return (r["r2"] - r["r1"] + 1).cast("long") * (r["c2"] - r["c1"] + 1).cast("long")
+    return let(r, lambda x: (x["r2"] - x["r1"] + 1).cast("long") * (x["c2"] - x["c1"] + 1).cast("long"))
 
 
 def rect_to_a1(r: Column) -> Column:
     """`Sheet!A1:B2`; one cell is written once, a missing sheet not at all."""
+    return let(r, _rect_to_a1)
+
+
+def _rect_to_a1(r: Column) -> Column:
     start, end = a1(r["r1"], r["c1"]), a1(r["r2"], r["c2"])
     addr = F.when(start == end, start).otherwise(F.concat(start, F.lit(":"), end))
     return F.when(r["sheet"].isNull(), addr).otherwise(F.concat(quote_sheet(r["sheet"]), F.lit("!"), addr))
@@ -126,6 +136,10 @@ def rect_to_a1(r: Column) -> Column:
 
 def clipped(r: Column, max_row: Column, max_col: Column) -> Column:
     """The part inside a sheet's used dimensions (of one row and column at least), or null."""
+    return let(F.struct(r.alias("r"), max_row.alias("rows"), max_col.alias("cols")), lambda x: _clipped(x["r"], x["rows"], x["cols"]))
+
+
+def _clipped(r: Column, max_row: Column, max_col: Column) -> Column:
     r2, c2 = F.least(r["r2"], F.greatest(max_row, F.lit(1))), F.least(r["c2"], F.greatest(max_col, F.lit(1)))
     return F.when((r2 >= r["r1"]) & (c2 >= r["c1"]), rect(r["sheet"], r["r1"], r["c1"], r2, c2))
 
@@ -136,6 +150,10 @@ def intersects(a: Column, b: Column) -> Column:
 
 def stretched(d: Column, rep_row: Column, rep_col: Column, box: Column) -> Column:
     """A representative's reference moved over its whole group: relative ends follow the box, anchored ends stay."""
+    return let(F.struct(d.alias("d"), rep_row.alias("row"), rep_col.alias("col"), box.alias("box")), lambda x: _stretched(x["d"], x["row"], x["col"], x["box"]))
+
+
+def _stretched(d: Column, rep_row: Column, rep_col: Column, box: Column) -> Column:
     r1 = F.when(d["r1_abs"], d["r1"]).otherwise(d["r1"] + box["r1"] - rep_row)
     r2 = F.when(d["r2_abs"], d["r2"]).otherwise(d["r2"] + box["r2"] - rep_row)
     c1 = F.when(d["c1_abs"], d["c1"]).otherwise(d["c1"] + box["c1"] - rep_col)

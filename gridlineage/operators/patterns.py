@@ -18,7 +18,9 @@ KEY = ("workbook_id", "sheet")
 
 
 def relative(formulas: DataFrame) -> DataFrame:
-    """Formula cells with `r1c1` and `volatile`."""
+    """Formula cells with `r1c1` and `volatile`; those that have both already are left as they are."""
+    if {"r1c1", "volatile"} <= set(formulas.columns):
+        return formulas
     return formulas.withColumns({"r1c1": canonical_r1c1(F.col("formula"), F.col("row"), F.col("col")), "volatile": is_volatile(F.col("formula"))})
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs as R
 from ..functions import values as V
-from ..functions.formulas import guard_fallback, is_volatile
+from ..functions.formulas import guard_fallback
 from ..functions.programs import parsed
 from ..operators import code, edges, evaluate, graph, patterns, reconcile, tables
 from ..session import checkpointed, ship
@@ -63,10 +63,10 @@ def analyze(spark: SparkSession, paths: str | list[str], refs_dir: str | None =
 def resolved(cells: DataFrame, structure: DataFrame, refs_dir: str | None = None) -> Lineage:
     """The analysis of cells and declarations, wherever they come from."""
     place = ["workbook_id", "sheet", "row", "col"]
-    formulas = cells.filter("formula is not null").select(*place, "formula")
+    formulas = checkpointed(patterns.relative(cells.filter("formula is not null").select(*place, "formula")))
     constants = cells.filter((F.col("formula").isNull()) & (F.col("value.kind") != "blank")).select(*place, "value")
     dims = sheets.dimensions(cells)
-    grouped = patterns.groups(formulas)
+    grouped = checkpointed(patterns.groups(formulas))
     kept = checkpointed(patterns.top(grouped))
     owned = patterns.owners(formulas, grouped)
 
@@ -83,9 +83,9 @@ def resolved(cells: DataFrame, structure: DataFrame, refs_dir: str | None = None
     all_edges = checkpointed(edges.merged(all_edges.withColumn("kind", kind)))
 
     # Stored values of formula cells come second to calculated ones.
-    computed = evaluate.evaluate(formulas, constants)
+    computed = evaluate.evaluate(formulas, constants, checkpointed(names))
     stored = cells.filter("formula is not null and value.kind <> 'blank'").select(*place, "value")
-    flagged = formulas.withColumn("volatile", is_volatile(F.col("formula")))
+    flagged = formulas.select(*place, "formula", "volatile")
     fallback = fallbacks(formulas)
     values = checkpointed(reconcile.reconciled(flagged, computed, stored, fallback))
 

@@ -9,7 +9,8 @@ from .functions import formulas as fo
 from .functions import refs as R
 from .functions import text as tx
 from .functions import values as V
-from .operators import dossiers, edges, graph, lookups, patterns, reconcile, tables
+from .operators import code, dossiers, edges, graph, lookups, patterns, reconcile, tables
+from .session import checkpointed
 from .sources import sheets
 
 QUERIES: dict = {}
@@ -231,11 +232,11 @@ def orders_graph(spark: SparkSession, sf_dir: str):
     last = orders.agg(F.max("o_orderkey") + 2).withColumnRenamed("(max(o_orderkey) + 2)", "last")
     columns = sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: "=D{r}*0.1", 8: "=G{r}+D{r}", 9: "=SUM(G$2:G{r})"})
     total = last.select(F.lit("tables").alias("workbook_id"), F.lit("totals").alias("sheet"), F.lit(1).alias("row"), F.lit(1).alias("col"), F.concat(F.lit("=SUM(orders!H2:H"), F.col(last.columns[0]).cast("string"), F.lit(")*Rate")).alias("formula"))
-    f = columns.unionByName(total)
-    p = patterns.groups(f)
+    f = checkpointed(patterns.relative(columns.unionByName(total)))
+    p = checkpointed(patterns.groups(f))
     kept = patterns.top(p)
     dims = sheets.union([sheets.dimensions(sheets.sheet_cells(orders, "orders", "o_orderkey").select("workbook_id", "sheet", "row", "col")), sheets.dimensions(f)]).groupBy("workbook_id", "sheet").agg(F.max("max_row").alias("max_row"), F.max("max_col").alias("max_col"))
-    return f, kept, patterns.owners(f, p), edges.precedents(kept, dims)
+    return f, kept, checkpointed(patterns.owners(f, p)), checkpointed(edges.precedents(kept, dims))
 
 
 _GRAPH = """
@@ -569,6 +570,54 @@ def table_tags(spark, sf_dir):
     return tables.tagged(cells, t).select("row", "col", "table", "column", "table_row")
 
 
+# Macros and queries as text
+
+
+@query("""
+    SELECT p_partkey, 'M' || p_partkey AS module, 'Fill' AS proc, 3 AS line, 'S' || p_size AS sheet, 'A1:B' || (p_partkey + 2) AS ref, 'write' AS access FROM part
+    UNION ALL SELECT p_partkey, 'M' || p_partkey, 'Fill', 3, NULL, 'C' || (p_size + 1), 'read' FROM part
+    UNION ALL SELECT p_partkey, 'M' || p_partkey, 'Tax', 6, NULL, 'D4', 'read' FROM part
+""")
+def vba_refs(spark, sf_dir):
+    """Ranges that macros read and write."""
+    lines = code.procedures(code.code_lines(macros(spark, sf_dir)))
+    return code.range_uses(lines).select(F.substring("module", 2, 20).cast("long").alias("p_partkey"), "module", "proc", "line", "sheet", "ref", "access")
+
+
+@query("SELECT 'M' || p_partkey AS module, 'Fill' AS proc, 'M' || p_partkey AS callee_module, 'Tax' AS callee FROM part")
+def vba_calls(spark, sf_dir):
+    """Calls between procedures; a name that other modules have too is found at home."""
+    lines = code.procedures(code.code_lines(macros(spark, sf_dir)))
+    return code.calls(lines).select("module", "proc", "callee_module", "callee")
+
+
+def macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module of two procedures for each part."""
+    row, size = (F.col("p_partkey") + 2).cast("string"), F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("Attribute VB_Name = \"M\"\nSub Fill() ' Range(\"Z1\")\n  Worksheets(\"S"), size, F.lit("\").Range(\"A1:B"), row, F.lit("\").Value = tax(Cells("), (F.col("p_size") + 1).cast("string"), F.lit(", 3)) & \"Other()\"\nEnd Sub\nFunction Tax(x)\n  Tax = x * [D4]\nEnd Function\n"),
+    )
+    return read(spark, sf_dir, "part").select(F.lit("tables").alias("workbook_id"), F.concat(F.lit("M"), F.col("p_partkey").cast("string")).alias("module"), text.alias("code"))
+
+
+@query("""
+    SELECT 'Q' || s_suppkey AS name, 'table' AS kind, 'T"' || s_nationkey AS target, 'Excel.CurrentWorkbook' AS function FROM supplier
+    UNION ALL SELECT 'Q' || s_suppkey, 'file', 'C:/' || s_name, 'File.Contents' FROM supplier
+    UNION ALL SELECT 'Q' || s_suppkey, 'database', 'host', 'Sql.Database' FROM supplier
+    UNION ALL SELECT 'Q' || s_suppkey, 'query', 'Q' || (s_suppkey - 1), 'let' FROM supplier WHERE s_suppkey > (SELECT min(s_suppkey) FROM supplier)
+""")
+def query_sources(spark, sf_dir):
+    """What queries read: tables, files, databases, other queries."""
+    s = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(
+        F.lit("section Section1;\nshared Q"), k, F.lit(' = let a = Excel.CurrentWorkbook(){[Name="T""'), F.col("s_nationkey").cast("string"), F.lit('"]}[Content], b = Excel.Workbook(File.Contents("C:/'), F.col("s_name"),
+        F.lit('")), c = Sql.Database("host", "db"), d = Sql.Database("host", "x; y"), e = Q'), (F.col("s_suppkey") - 1).cast("string"), F.lit(" /* Q0; */ in Table.Combine({a, b, c, e});"),
+    )
+    members = code.sections(s.select(F.lit("tables").alias("workbook_id"), text.alias("text")))
+    return code.query_sources(members).select("name", "kind", "target", "function")
+
+
 # Text and documents
 
 

@@ -123,7 +123,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         mult = multipliers(MINIMA)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts, 1_500_000):
+            for lo, hi in slices(texts, 800_000):
                 sets = shingles(texts[lo:hi], width)
                 full = [s for s in sets if len(s)]
                 keys, sig = signatures(minima(full, MINIMA, mult), bands, rows) if full else (np.empty((0, bands), np.int64), np.empty((0, WORDS), np.int64))

@@ -51,7 +51,7 @@ def unit(m: np.ndarray) -> np.ndarray:
 class Rows(dict):
     """Vector rows of tokens: their own, or that of their class, or row 0."""
 
-    def __init__(self, rows: dict[str, int], most: int = 500_000):
+    def __init__(self, rows: dict[str, int], most: int = 150_000):
         super().__init__(rows)
         self.rows, self.most = rows, most
 
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Quality, key: str = "doc_id", text: str = "tex
         look = Rows(model.rows)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts, 3_000_000):
+            for lo, hi in slices(texts, 1_500_000):
                 x = np.array([model.pooled(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(model.scores(x), pa.float64())], ["doc_id", "score"])
 
@@ -199,7 +199,7 @@ def good_rows(docs: DataFrame, model: Quality, limit: float = 0.5, text: str = "
         look = Rows(model.rows)
         for b in batches:
             texts = b.column(at).to_pylist()
-            for lo, hi in slices(texts, 3_000_000):
+            for lo, hi in slices(texts, 1_500_000):
                 x = np.array([model.pooled(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
                 yield b.slice(lo, hi - lo).filter(pa.array(model.scores(x) >= limit, pa.bool_()))
 

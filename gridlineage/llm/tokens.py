@@ -12,7 +12,7 @@ import numpy as np
 #: Letters before ASCII punctuation other than an apostrophe. U+0130 ends no run: its lower case ends in a mark, which goes with the punctuation.
 PUNCTUATED = re.compile(r"([^\W\d_]+)(?<!\u0130)([!-&(-/:-@\[-`{-~]+)")
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 700_000
 
 
 class ChunkEncoder:
@@ -101,7 +101,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def slices(texts: list[str | None], most: int = 4_000_000):
+def slices(texts: list[str | None], most: int = 2_000_000):
     """Runs of texts of about `most` characters, so that what a task holds is bounded by that and the longest text."""
     start = size = 0
     for i, t in enumerate(texts):

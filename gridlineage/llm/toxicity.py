@@ -22,7 +22,7 @@ PER_CLASS = 2000
 #: Tokens on both sides of a labelled token that go into a training sequence.
 AROUND = 12
 #: Distinct words whose scores a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def evidence(word: str) -> list[str]:
@@ -240,7 +240,7 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float32())]))
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts, 3_000_000):
+            for lo, hi in slices(texts, 1_500_000):
                 rows = [np.array([known[w] for w in WORD.findall(t)] if t else [], np.float32) for t in texts[lo:hi]]
                 scores, spans = [], []
                 for t, p in zip(texts[lo:hi], chain.marginals(rows), strict=True):
@@ -261,7 +261,7 @@ def clean_rows(docs: DataFrame, chain: Chain, limit: float = 0.7, text: str = "t
         known = Emissions(chain)
         for b in batches:
             texts = b.column(at).to_pylist()
-            for lo, hi in slices(texts, 3_000_000):
+            for lo, hi in slices(texts, 1_500_000):
                 rows = [np.array([known[w] for w in WORD.findall(t)] if t else [], np.float32) for t in texts[lo:hi]]
                 yield b.slice(lo, hi - lo).filter(pa.array([chain.score(p) < limit for p in chain.marginals(rows)], pa.bool_()))
 

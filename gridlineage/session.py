@@ -9,11 +9,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of a batch that goes to Python: texts and workbooks are long, so a batch is kept short of what a worker can hold.
+BATCH = 2_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's Python files to the executors, once for each application."""
+    """Sends this package's Python files to the executors, once for each application, and bounds Arrow batches."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent

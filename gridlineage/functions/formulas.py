@@ -11,7 +11,7 @@ _SHEET = r"(?:'(?:[^']|'')*'|[A-Za-z_][\w.]*(?::[A-Za-z_][\w.]*)?)!"
 _CELL = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}"
 _AREA = rf"(?:{_CELL}(?:\s*:\s*{_CELL})?|\$?[A-Za-z]{{1,3}}:\$?[A-Za-z]{{1,3}}|\$?[0-9]{{1,7}}:\$?[0-9]{{1,7}})(?![\w(.\[])"
 _BOOK = r"'(?:[^'\[\]]*[\\/])?\[[^\]]+\](?:[^']|'')*'!|\[[^\]]+\][A-Za-z_][\w.]*!"
-#: Tokens of a formula, longest kind first: text, external and sheet references, areas, structured references, names, numbers, errors, operators.
+#: Tokens of a formula, longest kind first: text, external and sheet references, areas, structured references, names (functions with their parenthesis), numbers, errors, operators.
 TOKEN = "|".join(
     [
         r'"(?:[^"]|"")*"',
@@ -19,7 +19,7 @@ TOKEN = "|".join(
         rf"{_SHEET}(?:{_AREA}|[A-Za-z_\\][\w.]*)",
         rf"(?<![\w.\])]){_AREA}",
         r"[A-Za-z_\\][\w.]*\[(?:[^\[\]]|\[[^\]]*\])*\]",
-        r"[A-Za-z_\\][\w.?]*",
+        r"[A-Za-z_\\][\w.?]*\(?",
         r"[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?|\.[0-9]+",
         r"#[A-Z0-9/]+[!?]?",
         r"<>|<=|>=",
@@ -90,7 +90,7 @@ def references(formula: Column) -> Column:
     """Distinct areas and names that a formula reads, in order; functions, texts and LET or LAMBDA names aren't among them."""
     all_ = tokens(without_strings(formula))
     paired = F.transform(all_, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.try_element_at(all_, i + 2), F.lit("")).alias("next")))
-    operand = lambda p: (p["t"].rlike(r"^['A-Za-z_\\\[$]") | p["t"].rlike(r"^[0-9]+:[0-9]+$")) & (p["next"] != "(") & ~p["t"].rlike(r"(?i)^(?:TRUE|FALSE)$")
+    operand = lambda p: (p["t"].rlike(r"^['A-Za-z_\\\[$]") | p["t"].rlike(r"^[0-9]+:[0-9]+$")) & (p["next"] != "(") & ~p["t"].endswith("(") & ~p["t"].rlike(r"(?i)^(?:TRUE|FALSE)$")
     bound = F.transform(F.regexp_extract_all(formula, F.lit(r"(?i)(?<![\w.])(?:_xlfn\.)?(?:LET|LAMBDA)\s*\(\s*(?:_xlpm\.)?([A-Za-z_]\w*)\s*,"), F.lit(1)), lambda b: F.upper(b))
     found = F.filter(F.transform(F.filter(paired, operand), lambda p: p["t"]), lambda t: ~F.array_contains(bound, F.upper(F.regexp_replace(t, r"(?i)^_xlpm\.", ""))))
     return F.array_distinct(found)

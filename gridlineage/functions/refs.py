@@ -23,10 +23,11 @@ def let(value: Column, use) -> Column:
 
 
 def _groups(ref: Column) -> Column:
-    """Sheet, whether the body is a reference at all, and the nine groups of BODY."""
-    body = body_of(ref)
-    parts = let(body, lambda b: F.struct(b.rlike(BODY).alias("ok"), *[F.regexp_extract(b, BODY, k).alias(f"g{k}") for k in range(1, 10)]))
-    return F.struct(sheet_of(ref).alias("sheet"), parts.alias("p"))
+    """Sheet, whether the body may be a reference at all, and the nine groups of BODY, all taken by one match."""
+    mark = "\x01"
+    taken = mark.join(f"${k}" for k in range(1, 10))
+    parts = let(body_of(ref), lambda b: F.split(F.regexp_replace(b, BODY, taken), mark))
+    return let(parts, lambda g: F.struct(sheet_of(ref).alias("sheet"), F.struct((F.size(g) == 9).alias("ok"), *[F.coalesce(F.get(g, F.lit(k - 1)), F.lit("")).alias(f"g{k}") for k in range(1, 10)]).alias("p")))
 
 
 def col_to_num(letters: Column) -> Column:

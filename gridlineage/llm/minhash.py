@@ -19,6 +19,8 @@ WORDS = MINIMA // 64
 SLACK = 0.08
 #: The same for documents that are left to be compared across components: longer signatures, less slack.
 FINE, FINE_SLACK = 4096, 0.04
+#: Sets that a pair may need are broadcast if they have so many bytes at most, else shuffled with the pairs.
+BROADCAST_BYTES = 32 << 20
 #: Rounds in which every bucket compares its members with one of them, before pairs across components are left.
 ROUNDS = 2
 #: Odd multipliers and the bases of the hashes.
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         fine = stored(sets_of(source.join(small(ids), "id", "left_semi"), width, fine=True).dropDuplicates(["id"]), "minhash-fine")
         bodies = spread(fine.select("id", "n", "sig"), "sig", "s", FINE // 64)
         near = sized & (estimate(FINE) >= percent / 100 - FINE_SLACK)
-        rest = checkpointed(left.join(bodies, "id").join(keys, "id"))
+        rest = left.join(bodies, "id").join(keys, "id")
         x = side(rest.filter("comp <> most").drop("most"), "x", ("bucket", "band"))
         y = side(rest.drop("band"), "y", ("bucket",))
         first = " and ".join(f"(band <= {i} or x_k{i} <> y_k{i})" for i in range(bands))
@@ -295,7 +297,9 @@ def linked(pairs: DataFrame, source: DataFrame, percent: int, width: int | None
     if width is not None:
         ids = checkpointed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         sets = stored(sets_of(source.join(small(ids), "id", "left_semi"), width), "minhash-sets")
-    one = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
+    size = sets.agg(F.sum(F.octet_length("set"))).first()[0] or 0
+    held = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+    one = lambda c: held(sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")))
     return checkpointed(confirmed(pairs.join(one("a"), "a").join(one("b"), "b"), percent).distinct())
 
 

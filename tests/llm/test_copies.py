@@ -38,8 +38,14 @@ def shingles(text, width):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_duplicates(unique, nothing, width):
+@pytest.fixture(scope="module")
+def near(unique):
+    """Near duplicates by the default of five words."""
+    return {r.doc_id: r for r in minhash.near_duplicates(unique).collect()}
+
+
+def test_near_duplicates(unique, near):
+    width = 5
     sets = {r.doc_id: shingles(r.text, width) for r in unique.collect()}
     parent = {k: k for k in sets}
 
@@ -53,9 +59,11 @@ def test_near_duplicates(unique, nothing, width):
         if x and y and 100 * len(x & y) >= 80 * len(x | y):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    out = {r.doc_id: r for r in minhash.near_duplicates(unique, width=width).collect()}
-    assert {k: (len(sets[k]), root(k), root(k) == k) for k in sets} == {k: (r.n_shingles, r.component_id, r.kept) for k, r in out.items()}
-    assert minhash.near_duplicates(nothing, width=width).count() == 0
+    assert {k: (len(sets[k]), root(k), root(k) == k) for k in sets} == {k: (r.n_shingles, r.component_id, r.kept) for k, r in near.items()}
+
+
+def test_near_duplicates_of_nothing(nothing):
+    assert minhash.near_duplicates(nothing).count() == 0
 
 
 def test_a_dense_group_whose_members_are_links_in_part(spark):
@@ -91,8 +99,7 @@ def test_components_of_a_path_and_a_star(spark):
     assert out == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}}
 
 
-def test_near_duplicates_are_dropped_with_all_columns(unique):
+def test_near_duplicates_are_dropped_with_all_columns(unique, near):
     kept = minhash.drop_near_duplicates(unique)
     assert kept.columns == unique.columns
-    want = {r.doc_id for r in minhash.near_duplicates(unique).filter("kept").collect()}
-    assert {r.doc_id for r in kept.collect()} == want
+    assert {r.doc_id for r in kept.collect()} == {k for k, r in near.items() if r.kept}

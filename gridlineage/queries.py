@@ -9,7 +9,7 @@ from .functions import formulas as fo
 from .functions import refs as R
 from .functions import text as tx
 from .functions import values as V
-from .operators import code, dossiers, edges, graph, lookups, patterns, reconcile, tables
+from .operators import code, dossiers, edges, graph, lookups, notices, patterns, reconcile, tables
 from .session import checkpointed
 from .sources import sheets
 
@@ -618,6 +618,30 @@ def query_sources(spark, sf_dir):
     return code.query_sources(members).select("name", "kind", "target", "function")
 
 
+@query("""
+    WITH r AS (SELECT DISTINCT p_brand AS w, 'B' || (p_partkey % 7) || '.xlsx' AS t, p_partkey % 3 AS k FROM part)
+    SELECT w AS workbook_id, coalesce(string_agg(t, ',' ORDER BY t) FILTER (k = 0), '') AS read, coalesce(string_agg(t, ',' ORDER BY t) FILTER (k = 1), '') AS cached, coalesce(string_agg(t, ',' ORDER BY t) FILTER (k = 2), '') AS missing FROM r GROUP BY 1
+""")
+def external_notice(spark, sf_dir):
+    """Linked books by how they were read."""
+    k = F.col("p_partkey") % 3
+    refs = read(spark, sf_dir, "part").select(F.col("p_brand").alias("workbook_id"), F.concat(F.lit("B"), (F.col("p_partkey") % 7).cast("string"), F.lit(".xlsx")).alias("target"), F.when(k == 0, "folder").when(k == 1, "cache").otherwise("none").alias("read"))
+    out = notices.external_books(refs)
+    return out.select("workbook_id", *[F.array_join(c, ",").alias(c) for c in ("read", "cached", "missing")])
+
+
+@query("""
+    WITH o AS (SELECT DISTINCT n_regionkey AS w, n_name AS t FROM nation), k AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY t) AS rn, count(*) OVER (PARTITION BY w) AS n FROM o)
+    SELECT CAST(w AS VARCHAR) AS workbook_id, max(n) AS queries, (SELECT count(*) FROM nation WHERE n_regionkey = w AND n_nationkey % 2 = 0) AS loaded, string_agg(t, ',' ORDER BY t) FILTER (rn <= 3) AS outside, CAST(greatest(max(n) - 3, 0) AS INT) AS more FROM k GROUP BY w
+""")
+def query_notice(spark, sf_dir):
+    """Counts of queries, and the first targets outside."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("workbook_id"), F.col("n_name").alias("name"), "n_nationkey")
+    sources = n.select("workbook_id", "name", F.lit("file").alias("kind"), F.col("name").alias("target"))
+    out = notices.queries(n, sources, n.filter("n_nationkey % 2 = 0").select("workbook_id", F.lower("name").alias("name")), 3)
+    return out.select("workbook_id", "queries", "loaded", F.array_join("outside", ",").alias("outside"), "more")
+
+
 # Text and documents
 
 

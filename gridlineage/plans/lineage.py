@@ -52,15 +52,15 @@ class Lineage:
         return evaluate.steps(self.patterns.filter("not volatile").withColumn("program", parsed(F.col("formula"))), self.values.filter("value is not null"))
 
 
-def analyze(spark: SparkSession, paths: str | list[str], refs_dir: str | None = None) -> Lineage:
-    """Reads workbooks and resolves everything in them; `refs_dir` is a folder of the files they link to."""
+def analyze(spark: SparkSession, paths: str | list[str], modules: DataFrame | None = None) -> Lineage:
+    """Reads workbooks and resolves everything in them; `modules` has the text of their macros (workbook_id, module, code)."""
     ship(spark)
     books = workbooks.files(spark, paths)
     cells = checkpointed(workbooks.cells(workbooks.raw_cells(books)))
-    return resolved(cells, checkpointed(workbooks.structure(books)), refs_dir)
+    return resolved(cells, checkpointed(workbooks.structure(books)), modules)
 
 
-def resolved(cells: DataFrame, structure: DataFrame, refs_dir: str | None = None) -> Lineage:
+def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None = None) -> Lineage:
     """The analysis of cells and declarations, wherever they come from."""
     place = ["workbook_id", "sheet", "row", "col"]
     formulas = checkpointed(patterns.relative(cells.filter("formula is not null").select(*place, "formula")))
@@ -100,6 +100,11 @@ def resolved(cells: DataFrame, structure: DataFrame, refs_dir: str | None = None
     query_nodes, query_edges = queries(structure)
     nodes = sheets.union([formula_nodes, input_nodes, name_nodes, opaque_nodes, misc_nodes, query_nodes])
     all_edges = all_edges.unionByName(query_edges)
+    if modules is not None:
+        macro_nodes, macro_edges = code.macro_graph(modules, owned)
+        ends = macro_edges.select("workbook_id", F.explode(F.array("src", "dst")).alias("id")).distinct().join(nodes.select("workbook_id", "id"), ["workbook_id", "id"], "left_anti").filter(F.col("id").rlike("^[ix]:"))
+        new = ends.select("workbook_id", "id", F.when(F.col("id").startswith("i:"), "input").otherwise("opaque").alias("kind"), F.expr("substring(id, 3)").alias("label"))
+        nodes, all_edges = sheets.union([nodes, macro_nodes.withColumnRenamed("code", "formula"), new]), all_edges.unionByName(macro_edges)
 
     t = structure.filter("kind = 'table'").withColumn("r", first(F.col("text")))
     found = t.select("workbook_id", "sheet", "name", F.lit("dynamic").alias("kind"), F.col("text").alias("ref"), F.col("r.r1").alias("header_row"), F.col("r.r2").alias("last_row"), F.col("r.c1").alias("first_col"), F.col("r.c2").alias("last_col"), F.col("list").alias("headers"), (F.col("r.r2") - F.col("r.r1")).alias("data_rows"))

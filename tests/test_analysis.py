@@ -84,6 +84,14 @@ def test_query_sections(spark):
     assert {(r.name, r.kind, r.target) for r in code.query_sources(members).collect()} == {('B "q"', "query", "Sales")}
 
 
+def test_macros(spark):
+    text = 'Attribute VB_Name = "M"\nSub Fill()\n  Worksheets("S").Range("A1:A2").Value = Tax(Sheets("S").Range("B1"))\n  x = [B7]\nEnd Sub\nFunction Tax(x)\n  Tax = x\nEnd Function'
+    owned = spark.createDataFrame([("w", "S", 1, 1, "c:S!A1"), ("w", "T", 1, 2, "c:T!B1")], "workbook_id string, sheet string, row int, col int, node_id string")
+    nodes, edges = code.macro_graph(spark.createDataFrame([("w", "M", text), ("w", "Empty", 'Attribute VB_Name = "E"')], "workbook_id string, module string, code string"), owned)
+    assert {r.id for r in nodes.collect()} == {"vp:M.Fill", "vp:M.Tax"}
+    assert {(r.src, r.dst, r.kind) for r in edges.collect()} == {("vp:M.Fill", "vp:M.Tax", "call"), ("vp:M.Fill", "c:S!A1", "vba-write"), ("i:S!B1", "vp:M.Fill", "vba-read"), ("x:VBA:?!B7", "vp:M.Fill", "vba-read")}
+
+
 CHEAP = ["cells_unpivot", "col_letters", "parse_refs", "r1c1_canonical", "pattern_groups", "pattern_topk_misc", "eval_vlookup", "eval_sumifs", "reconcile_values", "static_runs", "table_tags", "vba_refs", "query_sources", "token_estimate", "escapes"]
 
 

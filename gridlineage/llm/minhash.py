@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small, stored
-from .tokens import slices
+from .tokens import forget, slices
 
 #: Bands of rows: a link of similarity 0.8 shares no band in 3 of a million cases, one of 0.85 in 7 of a billion.
 BANDS, ROWS = 32, 5
@@ -122,6 +122,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     schema = "id long, n long, same binary, sig array<long>, keys array<long>"
 
     def run(batches):
+        forget()
         mult = multipliers(MINIMA)
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -143,6 +144,7 @@ def sets_of(docs: DataFrame, width: int, fine: bool = False) -> DataFrame:
     """(id, set) of every document: its sorted shingle hashes as 64-bit integers; with `fine` also n and a signature of FINE minima."""
 
     def run(batches):
+        forget()
         mult = multipliers(FINE)
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -162,6 +164,7 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, set_a, set_b) with 100 * intersection >= percent * union."""
 
     def run(batches):
+        forget()
         for b in batches:
             left, right, ok = b.column(2), b.column(3), []
             for i in range(b.num_rows):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, learns
-from .tokens import slices
+from .tokens import forget, slices
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Dimensions of word vectors, entries of an index vector that aren't 0, neighbours on each side.
@@ -179,6 +179,7 @@ def score(docs: DataFrame, model: Quality, key: str = "doc_id", text: str = "tex
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         model = sent.value
         look = Rows(model.rows)
         for b in batches:
@@ -195,6 +196,7 @@ def good_rows(docs: DataFrame, model: Quality, limit: float = 0.5, text: str = "
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
+        forget()
         model = sent.value
         look = Rows(model.rows)
         for b in batches:

@@ -101,6 +101,12 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drops what this Python worker remembers; tasks of other operators call it, as workers are used again."""
+    for e in _encoders.values():
+        e.known.clear()
+
+
 def slices(texts: list[str | None], most: int = 2_000_000):
     """Runs of texts of about `most` characters, so that what a task holds is bounded by that and the longest text."""
     start = size = 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import labelled_sample
-from .tokens import slices
+from .tokens import forget, slices
 
 WORD = re.compile(r"\w+")
 #: Weights are kept for hashed features; prefixes let inflected words share evidence.
@@ -235,6 +235,7 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
+        forget()
         chain = model.value
         known = Emissions(chain)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float32())]))
@@ -257,6 +258,7 @@ def clean_rows(docs: DataFrame, chain: Chain, limit: float = 0.7, text: str = "t
     model, at = docs.sparkSession.sparkContext.broadcast(chain), docs.columns.index(text)
 
     def run(batches):
+        forget()
         chain = model.value
         known = Emissions(chain)
         for b in batches:

@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
+import uuid
 import zlib
-from dataclasses import dataclass
-from itertools import islice
-from operator import eq
+from collections import Counter
+from dataclasses import dataclass, replace
+from itertools import groupby, islice
+from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import labelled_sample, learns
+from .common import BROADCAST_ROWS, labelled_sample, learns, shared_dir, small, stored
 from .tokens import forget, slices
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Dimensions of word vectors, entries of an index vector that aren't 0, neighbours on each side.
 DIMS, ENTRIES, NEAR = 48, 6, 2
-#: Words of a vocabulary at most, and how often a word must occur to have a vector of its own.
-VOCABULARY, OFTEN = 40_000, 5
+#: What a neighbour's index vector counts by its distance.
+WEIGHTS = (2, 1)
+#: How often a word must occur in the corpus to have a vector of its own, and words that are sent with a model at most; the others are joined.
+OFTEN, HELD = 5, BROADCAST_ROWS
+#: Distinct words that a task sums before it passes them on.
+FLUSH = 400_000
+#: Runs of words by hash, each of which is summed at once.
+BUCKETS = 1024
+#: Steps of a unit in which entries of vectors are kept.
+STEPS = 63
 HIDDEN = 32
 #: Features of a document: two pools of DIMS, and four for repeated words and length.
 WIDTH = 2 * DIMS + 4
+#: Entries of what is summed for a document.
+STATE = 2 * DIMS + 3
 #: Labelled documents of either class that the model is fitted on, at most.
 PER_CLASS = 2000
 
@@ -36,100 +52,266 @@ def kind(token: str) -> str:
     return f"<{case}{min(len(token), 12) // 4}>"
 
 
-def index_vector(token: str) -> np.ndarray:
-    """A fixed sparse vector of ENTRIES signs at places that a hash of the token picks."""
-    rng = np.random.default_rng(zlib.crc32(token.encode("utf-8", "surrogatepass")))
-    v = np.zeros(DIMS, np.float32)
-    v[rng.choice(DIMS, ENTRIES, replace=False)] = rng.choice([-1.0, 1.0], ENTRIES)
-    return v
+def index_vectors(words: list[str]) -> np.ndarray:
+    """Fixed sparse vectors of ENTRIES signs, one in each run of DIMS / ENTRIES places, that a hash of the word picks."""
+    h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+    h ^= h >> np.uint64(31)
+    out, run = np.zeros((len(words), DIMS), np.float32), DIMS // ENTRIES
+    for k in range(ENTRIES):
+        bits = (h >> np.uint64(10 * k)) & np.uint64(1023)
+        place = (bits >> np.uint64(1)) % np.uint64(run)
+        out[np.arange(len(words)), k * run + place.astype(np.int64)] = 1 - 2 * (bits & np.uint64(1)).astype(np.float32)
+    return out
 
 
 def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
 
+def directions(words: list[str], sums: np.ndarray) -> np.ndarray:
+    """Vectors of words by the sums of their neighbours' index vectors, in whole numbers of 1 / STEPS."""
+    return np.rint((unit(sums) + unit(index_vectors(words))) * STEPS).astype(np.int8)
+
+
+def word_key(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class Seen:
+    """Counts of words and sums of their neighbours' index vectors (nearer ones count more), in whole numbers."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        # Row 0 stands for the gaps between texts.
+        self.index, self.sums, self.count = np.zeros((1, DIMS), np.int8), np.zeros((1, DIMS), np.int32), np.zeros(1, np.int64)
+
+    def add(self, texts: list[str | None]) -> None:
+        gap, number = "", self.number
+        tokens = [gap] * NEAR
+        for t in texts:
+            if t:
+                tokens += TOKEN.findall(t)
+                tokens += [gap] * NEAR
+        new = sorted(set(tokens).difference(number, [gap]))
+        if len(number) + len(new) >= len(self.index):
+            more = max(len(self.index), len(new) + 1)
+            self.index, self.sums = (np.concatenate([m, np.zeros((more, DIMS), m.dtype)]) for m in (self.index, self.sums))
+            self.count = np.concatenate([self.count, np.zeros(more, np.int64)])
+        if new:
+            at = len(number) + 1
+            self.index[at : at + len(new)] = index_vectors(new)
+            number.update(zip(new, range(at, at + len(new)), strict=True))
+        number[gap] = 0
+        ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+        del number[gap]
+        self.count += np.bincount(ids, minlength=len(self.count))
+        for lo in range(NEAR, len(ids) - NEAR, 32_768):
+            hi = min(lo + 32_768, len(ids) - NEAR)
+            g, size = self.index[ids[lo - NEAR : hi + NEAR]].astype(np.float32), hi - lo
+            near = np.zeros((size, DIMS), np.float32)
+            for d, weight in enumerate(WEIGHTS, 1):
+                near += weight * (g[NEAR - d : NEAR - d + size] + g[NEAR + d : NEAR + d + size])
+            order = np.argsort(ids[lo:hi], kind="stable")
+            a = ids[lo:hi][order]
+            at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            self.sums[a[at]] += np.add.reduceat(near[order], at, axis=0).astype(np.int32)
+
+    def totals(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        n = len(self.number) + 1
+        return list(self.number), self.count[1:n], self.sums[1:n]
+
+
+def finished(words: list[str], count: np.ndarray, sums: np.ndarray, classes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words that occur OFTEN times, their counts and vectors; the sums of the others are added to their classes."""
+    often = count >= OFTEN
+    for i in np.flatnonzero(~often).tolist():
+        name = kind(words[i])
+        classes[name] = classes.get(name, 0) + sums[i]
+    own = [words[i] for i in np.flatnonzero(often).tolist()]
+    return own, count[often], directions(own, sums[often])
+
+
+@dataclass
+class Words:
+    """Vectors: those of classes first, then those of words in the order of their keys."""
+
+    rows: dict[str, int]
+    keys: np.ndarray
+    vectors: np.ndarray
+
+    @staticmethod
+    def of(classes: dict[str, np.ndarray], keys: np.ndarray, vectors: np.ndarray) -> Words:
+        names = ["<unknown>", *sorted(classes)]
+        sums = np.array([np.zeros(DIMS), *(classes[n] for n in names[1:])])
+        order = np.argsort(keys)
+        return Words({n: i for i, n in enumerate(names)}, keys[order], np.concatenate([directions(names, sums), vectors[order]]))
+
+
 class Rows(dict):
     """Vector rows of tokens: their own, or that of their class, or row 0."""
 
-    def __init__(self, rows: dict[str, int], most: int = 150_000):
-        super().__init__(rows)
-        self.rows, self.most = rows, most
+    def __init__(self, words: Words, most: int = 300_000):
+        super().__init__()
+        self.words, self.most = words, most
 
     def __missing__(self, token: str) -> int:
         if len(self) > self.most:
             self.clear()
-            self.update(self.rows)
-        self[token] = r = self.rows.get(kind(token), 0)
+        keys, k = self.words.keys, word_key(token)
+        at = int(np.searchsorted(keys, k))
+        own = at < len(keys) and keys[at] == k
+        self[token] = r = len(self.words.rows) + at if own else self.words.rows.get(kind(token), 0)
         return r
 
 
 @dataclass
 class Quality:
-    """Word rows and vectors, the network's weights, and the temperature of its output."""
+    """Words, the network's weights, the temperature of its output, and the stored table of words beyond those held here."""
 
-    rows: dict[str, int]
-    vectors: np.ndarray
+    words: Words
     mean: np.ndarray
     spread: np.ndarray
     layers: list[np.ndarray]
     heat: float = 1.0
+    rest: str | None = None
 
-    def pooled(self, tokens: list, look: Rows | np.ndarray) -> np.ndarray:
-        """Mean and deviation of a document's word vectors, and how often its words repeat."""
+    def state(self, tokens: list[str], look: Rows) -> np.ndarray:
+        """Sums of a document's word vectors and of their squares, how often its words repeat, and its length."""
         if not tokens:
-            return np.zeros(WIDTH, np.float32)
-        words, n = np.unique(np.array([look[t] for t in tokens], np.int64), return_counts=True)
-        v, share = self.vectors[words], (n / n.sum()).astype(np.float32)
-        mean = share @ v
+            return np.zeros(STATE, np.float32)
+        rows, n = np.unique(np.fromiter(map(look.__getitem__, tokens), np.int64, len(tokens)), return_counts=True)
+        v, n = self.words.vectors[rows].astype(np.float32) / STEPS, n.astype(np.float32)
         size = len(tokens)
         again = sum(map(eq, tokens, islice(tokens, 1, None))) / size
-        fresh = len(set(tokens)) / size
-        return np.concatenate([mean, np.sqrt(np.maximum(share @ (v * v) - mean * mean, 0)), np.array([again, fresh, fresh * np.log1p(size), np.log1p(size)], np.float32)])
+        return np.concatenate([n @ v, n @ (v * v), np.array([again, len(set(tokens)) / size, size], np.float32)])
+
+    def tail(self, tokens: list[str], look: Rows) -> tuple[list[int], list[int], list[int]]:
+        """Keys, counts and class rows of the words that have no row of their own here."""
+        last = len(self.words.rows)
+        count = Counter(t for t in tokens if look[t] < last)
+        return [word_key(t) for t in count], list(count.values()), [look[t] for t in count]
+
+    def features(self, states: np.ndarray) -> np.ndarray:
+        """Mean and deviation of word vectors, repeated words and length, for each row of states."""
+        s = states.reshape(-1, STATE).astype(np.float64)
+        again, fresh, size = s[:, -3], s[:, -2], s[:, -1]
+        share = 1 / np.maximum(size, 1)[:, None]
+        mean = s[:, :DIMS] * share
+        deviation = np.sqrt(np.maximum(s[:, DIMS : 2 * DIMS] * share - mean * mean, 0))
+        return np.column_stack([mean, deviation, again, fresh, fresh * np.log1p(size), np.log1p(size)])
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
         return np.tanh((x - self.mean) / self.spread @ w1 + b1) @ w2 + b2
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.heat, -40, 40)))
+    def scores(self, states: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(self.features(states)) / self.heat, -40, 40)))
+
+
+def packed(words: list[str], n: np.ndarray, sums: np.ndarray) -> list[tuple[int, bytes]]:
+    """(bucket, words with counts and sums, compressed); sums that fit take one byte each."""
+    few = np.abs(sums).max(axis=1, initial=0) <= 127
+    at = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int64)
+    order = np.lexsort((~few, at))
+    out = []
+    for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+        if len(part):
+            small_part, large = part[few[part]], part[~few[part]]
+            data = ([words[i] for i in part.tolist()], n[part], sums[small_part].astype(np.int8), sums[large])
+            out.append((int(at[part[0]]), zlib.compress(pickle.dumps(data), 1)))
+    return out
+
+
+def unpacked(data: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    words, n, few, many = pickle.loads(zlib.decompress(data))
+    return words, n, np.concatenate([few.astype(np.int64), many.astype(np.int64)])
+
+
+def summed(parts, width: int):
+    """Totals of runs of equal keys, from parts (keys, rows of numbers) in the order of keys; a run may go on in the next part."""
+    last, held = None, np.zeros(width)
+    for keys, m in parts:
+        if not keys:
+            continue
+        if last is not None:
+            keys, m = [last, *keys], np.concatenate([held[None], m])
+        at = np.flatnonzero(np.r_[True, [a != b for a, b in zip(keys, islice(keys, 1, None))]])
+        sums = np.add.reduceat(m, at, axis=0)
+        last, held = keys[at[-1]], sums[-1]
+        yield [keys[i] for i in at[:-1].tolist()], sums[:-1]
+    if last is not None:
+        yield [last], held[None]
+
+
+def learned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, key, n, vector, class): every word that occurs OFTEN times in all of `docs`, and parts of the sums of classes.
+
+    A task sums the index vectors of neighbours for each word it meets; the sums of a word meet by a
+    shuffle of compressed buckets, so the vocabulary has no limit. Sums are whole numbers, so their order does not matter.
+    """
 
+    def partial(batches):
+        forget()
+        seen = Seen()
 
-def word_vectors(texts: list[np.ndarray], names: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Rows and vectors of frequent words and of word classes, by random indexing over texts of word numbers; and the row of each number.
+        def rows():
+            out = packed(*seen.totals())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "data"])
 
-    A word's vector is the direction of the sum of its neighbours' index vectors (nearer ones count more)
-    plus its own index vector.
-    """
-    count = sum((np.bincount(t, minlength=len(names)) for t in texts), np.zeros(len(names), np.int64))
-    own = sorted(np.flatnonzero(count >= OFTEN).tolist(), key=lambda i: (-count[i], names[i]))[:VOCABULARY]
-    classes = sorted({kind(w) for w in names})
-    rows = {w: i for i, w in enumerate(dict.fromkeys(["<unknown>", *classes, *(names[i] for i in own)]))}
-    index = np.array([index_vector(w) for w in rows])
-    look, sums = Rows(rows), np.zeros((len(rows), DIMS), np.float32)
-    of = np.array([look[w] for w in names], np.int64)
-    for lo in range(0, len(texts), 50):
-        ids = np.concatenate([np.r_[of[t], np.full(NEAR, -1)] for t in texts[lo : lo + 50]])
-        for d in range(1, NEAR + 1):
-            for a, b in ((ids[:-d], ids[d:]), (ids[d:], ids[:-d])):
-                ok = (a >= 0) & (b >= 0)
-                a, b = a[ok], b[ok]
-                order = np.argsort(a, kind="stable")
-                if len(order):
-                    at = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]])
-                    sums[a[order][at]] += np.add.reduceat(index[b[order]], at, axis=0) / d
-    return rows, (unit(sums) + unit(index)).astype(np.float32), of
-
-
-def fit(sample: list[tuple[str, int]], share: float | None = None, epochs: int = 40, seed: int = 5) -> Quality:
-    """Vectors, network and temperature from texts with labels; a fifth is held back to stop and to calibrate.
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for lo, hi in slices(texts, 1_000_000):
+                seen.add(texts[lo:hi])
+                if len(seen.number) > FLUSH:
+                    yield from rows()
+                    seen = Seen()
+        yield from rows()
+
+    def total(batches):
+        classes: dict[str, np.ndarray] = {}
+        rows = ((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for _, bucket in groupby(rows, key=itemgetter(0)):
+            number: dict[str, int] = {}
+            m = np.zeros((1024, DIMS + 1), np.int64)
+            for _, data in bucket:
+                words, n, sums = unpacked(data)
+                ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+                while len(number) > len(m):
+                    m = np.concatenate([m, np.zeros_like(m)])
+                m[ids] += np.column_stack([n, sums])
+            m = m[: len(number)]
+            own, n, vectors = finished(list(number), m[:, 0], m[:, 1:], classes)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([word_key(w) for w in own], pa.int64()), pa.array(n, pa.int64()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([False] * len(own), pa.bool_())], names)
+        some = list(classes)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([0] * len(some), pa.int64()), pa.array([0] * len(some), pa.int64()), pa.array([classes[c].astype("<i8").tobytes() for c in some], pa.binary()), pa.array([True] * len(some), pa.bool_())], names)
+
+    names = ["word", "key", "n", "vector", "class"]
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(partial, "bucket int, data binary")
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(total, "word string, key long, n long, vector binary, class boolean")
+
+
+def keyed(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of some words of the stored table, on the driver."""
+    rows = df.select("key", "vector").toArrow()
+    return rows["key"].to_numpy(), np.frombuffer(b"".join(rows["vector"].to_pylist()), np.int8).reshape(-1, DIMS)
+
+
+def fit(sample: list[tuple[str, int]], share: float | None = None, epochs: int = 40, seed: int = 5, words: Words | None = None) -> Quality:
+    """Network and temperature from texts with labels; a fifth is held back to stop and to calibrate.
 
     share: of label 1 among all labelled documents, to which the sample is weighted; None: as in the sample.
+    words: vectors of all words of the sample; None: they are learned from the sample itself.
     """
-    number: dict[str, int] = {}
-    texts = [np.array([number.setdefault(w, len(number)) for w in TOKEN.findall(t)], np.int64) for t, _ in sample]
-    rows, vectors, of = word_vectors(texts, list(number))
-    model = Quality(rows, vectors, np.zeros(WIDTH), np.ones(WIDTH), [])
-    x = np.array([model.pooled(t.tolist(), of) for t in texts]).reshape(-1, WIDTH)
+    if words is None:
+        seen, classes = Seen(), {}
+        seen.add([t for t, _ in sample])
+        own, _, vectors = finished(*seen.totals(), classes)
+        words = Words.of(classes, np.array([word_key(w) for w in own], np.int64), vectors)
+    model = Quality(words, np.zeros(WIDTH), np.ones(WIDTH), [])
+    look = Rows(words)
+    x = model.features(np.array([model.state(TOKEN.findall(t), look) for t, _ in sample]))
     y = np.array([label for _, label in sample], float)
     rng = np.random.default_rng(seed)
     layers = [rng.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
@@ -176,39 +358,124 @@ def score(docs: DataFrame, model: Quality, key: str = "doc_id", text: str = "tex
 
     Nothing but the text enters a score. An empty table gives an empty result.
     """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if model.rest:
+        return scored(rows, model, "text", keep=["doc_id"]).select("doc_id", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         forget()
         model = sent.value
-        look = Rows(model.rows)
+        look = Rows(model.words)
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in slices(texts, 1_500_000):
-                x = np.array([model.pooled(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
+                x = np.array([model.state(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(model.scores(x), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def good_rows(docs: DataFrame, model: Quality, limit: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of `docs` whose text scores `limit` or more, with all their columns."""
+    if model.rest:
+        return scored(docs, model, text, keep=docs.columns).filter(F.col("score") >= limit).select(*docs.columns)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
         forget()
         model = sent.value
-        look = Rows(model.rows)
+        look = Rows(model.words)
         for b in batches:
             texts = b.column(at).to_pylist()
             for lo, hi in slices(texts, 1_500_000):
-                x = np.array([model.pooled(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
+                x = np.array([model.state(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
                 yield b.slice(lo, hi - lo).filter(pa.array(model.scores(x) >= limit, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Quality:
-    """A model from at most `per_class` labelled documents of either class, none of them held out."""
+def scored(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> DataFrame:
+    """Columns `keep` of `docs` with `score`, for a vocabulary that is more than may be broadcast.
+
+    The words of the model are summed where the text is; each other word counts as its class first and is
+    sent, with its count, to the stored table, whose vectors come back as differences to be added.
+    """
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    places = [docs.columns.index(c) for c in keep]
+
+    def states(batches):
+        forget()
+        model, part, row = sent.value, TaskContext.get().partitionId() << 40, 0
+        look = Rows(model.words)
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for lo, hi in slices(texts, 1_500_000):
+                tokens = [TOKEN.findall(t) if t else [] for t in texts[lo:hi]]
+                tails = [model.tail(t, look) for t in tokens]
+                columns = [pa.array(range(part + row, part + row + hi - lo), pa.int64()), pa.array([model.state(t, look).tobytes() for t in tokens], pa.binary())]
+                columns += [pa.array([t[k] for t in tails], pa.list_(kind_of)) for k, kind_of in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+                row += hi - lo
+                yield pa.RecordBatch.from_arrays([*columns, *(b.column(p).slice(lo, hi - lo) for p in places)], names)
+
+    def totals(batches):
+        model = sent.value
+
+        def parts():
+            for b in batches:
+                state, n, of, vector = (b.column(c).to_pylist() for c in range(1, 5))
+                m = np.zeros((len(state), STATE), np.float64)
+                whole = np.array([s is not None for s in state], bool)
+                m[whole] = np.frombuffer(b"".join([s for s in state if s is not None]), np.float32).reshape(-1, STATE)
+                if not whole.all():
+                    v = np.frombuffer(b"".join([x for x in vector if x is not None]), np.int8).reshape(-1, DIMS) / STEPS
+                    c = model.words.vectors[[x for x in of if x is not None]] / STEPS
+                    times = np.array([x for x in n if x is not None], float)[:, None]
+                    m[~whole, : 2 * DIMS] = np.concatenate([times * (v - c), times * (v * v - c * c)], axis=1)
+                yield b.column(0).to_pylist(), m
+
+        for ids, m in summed(parts(), STATE):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.scores(m), pa.float64())], ["quality_row", "score"])
+
+    names = ["quality_row", "quality_state", "quality_keys", "quality_counts", "quality_classes", *keep]
+    schema = T.StructType([*T._parse_datatype_string("quality_row long, quality_state binary, quality_keys array<long>, quality_counts array<long>, quality_classes array<int>").fields, *(docs.schema[p] for p in places)])
+    kept = stored(docs.mapInArrow(states, schema), "quality-states")
+    tails = kept.select("quality_row", F.explode(F.arrays_zip("quality_keys", "quality_counts", "quality_classes")).alias("t")).select("quality_row", F.col("t.quality_keys").alias("key"), F.col("t.quality_counts").alias("n"), F.col("t.quality_classes").alias("of"))
+    rest = docs.sparkSession.read.parquet(model.rest).filter("not class").select("key", "vector")
+    found = tails.join(rest, "key").select("quality_row", F.lit(None).cast("binary").alias("state"), "n", "of", "vector")
+    own = kept.select("quality_row", F.col("quality_state").alias("state"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("int").alias("of"), F.lit(None).cast("binary").alias("vector"))
+    sums = own.unionByName(found).repartition("quality_row").sortWithinPartitions("quality_row").mapInArrow(totals, "quality_row long, score double")
+    return kept.select("quality_row", *keep).join(sums, "quality_row").select(*keep, "score")
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held: int = HELD) -> Quality:
+    """Word vectors from all of `docs`, and a network from at most `per_class` labelled documents of either class, none of them held out.
+
+    Up to `held` of the most frequent words go with the model; the others stay in the stored table.
+    """
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/quality-words-{uuid.uuid4().hex}"
+    learned(docs).write.parquet(path)
+    table = spark.read.parquet(path)
+    classes: dict[str, np.ndarray] = {}
+    for r in table.filter("class").select("word", "vector").collect():
+        classes[r.word] = classes.get(r.word, 0) + np.frombuffer(r.vector, "<i8")
+    own = table.filter("not class")
+    least, size = OFTEN, 0
+    for r in own.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        size += r.words
+        if size > held:
+            least = r.n + 1
+            break
+    keys, vectors = keyed(own.filter(F.col("n") >= least))
+    words = Words.of(classes, keys, vectors)
+    sample = labelled_sample(docs, labels, "quality", per_class)
     known = labels.filter(learns(F.col("doc_id")) & F.col("quality").isin(0, 1))
-    return fit(labelled_sample(docs, labels, "quality", per_class), known.agg(F.avg("quality")).first()[0])
+    whole = words
+    if size > held:
+        asked = sorted({word_key(t) for text, _ in sample for t in TOKEN.findall(text)}.difference(keys.tolist()))
+        asked = spark.createDataFrame(pa.table({"key": pa.array(asked, pa.int64())}))
+        more = keyed(own.join(small(asked), "key"))
+        whole = Words.of(classes, np.concatenate([keys, more[0]]), np.concatenate([vectors, more[1]]))
+    model = fit(sample, known.agg(F.avg("quality")).first()[0], words=whole)
+    return replace(model, words=words, rest=path if size > held else None)

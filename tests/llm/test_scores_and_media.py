@@ -108,3 +108,31 @@ def test_resampling_is_filtering_between_zeros(up, down):
     full = np.convolve(np.ravel(np.column_stack([x, *[np.zeros_like(x)] * (up - 1)])), h)
     want = full[: len(x) * up : down]
     assert np.allclose(audio.resample(x, up, down, taps)[: len(want)], want, atol=1e-4)
+
+
+def test_words_of_the_whole_corpus_have_vectors(spark):
+    rng, rows = random.Random(6), []
+    for i, (t, _) in enumerate(labelled(7, 120)):
+        rows.append((i, " ".join([*(w + (rng.choice(["***", "%%%"]) if i % 3 == 0 else "") for w in t.split()), *(f"far{(i * 4 + k) % 40}" for k in range(4))])))
+    rows += [(None, None), (500, ""), (501, rows[3][1]), (501, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(40)], "doc_id long, quality int")
+    counts, sums = {}, {}
+    for _, t in rows:
+        words = quality.TOKEN.findall(t or "")
+        for i, w in enumerate(words):
+            counts[w] = counts.get(w, 0) + 1
+            for j in range(max(0, i - 2), min(len(words), i + 3)):
+                if j != i:
+                    sums[w] = sums.get(w, 0) + quality.index_vectors([words[j]])[0] * (2 if abs(i - j) == 1 else 1)
+    often = {w for w, n in counts.items() if n >= quality.OFTEN}
+    whole, split = quality.train(docs, labels), quality.train(docs, labels, held=20)
+    assert whole.rest is None and set(whole.words.keys.tolist()) == {quality.word_key(w) for w in often}
+    look = quality.Rows(whole.words)
+    for w in often:
+        assert np.array_equal(whole.words.vectors[look[w]], quality.directions([w], sums[w][None])[0])
+    assert split.rest and 0 < len(split.words.keys) <= 20
+    one, two = (sorted(((r.doc_id or -1, r.score) for r in quality.score(docs, m).collect())) for m in (whole, split))
+    assert [k for k, _ in one] == [k for k, _ in two] and np.allclose([s for _, s in one], [s for _, s in two], atol=1e-3)
+    kept = [sorted((r.doc_id or -1) for r in quality.good_rows(docs, m).collect()) for m in (whole, split)]
+    assert kept[0] == kept[1] and quality.good_rows(docs, split).columns == docs.columns

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import small, stored
 from .tokens import encoder, slices
 
-#: Sources at most: their token counts are one row each on the driver.
+#: Queues at most, as their token counts are one row each on the driver; the smallest sources beyond share the last one.
 QUEUES = 4096
 
 
@@ -142,7 +142,8 @@ def pack(docs: DataFrame, path: str, end: int = 2, size: int = 4096, quantum: in
     stored parts; sums for each part and queue, not documents, are cumulated to find where a part starts.
     Documents are never shuffled, so a hot source costs no more than others.
 
-    Null texts are empty documents (the end id alone). A null source is a queue of its own. Documents with
+    Null texts are empty documents (the end id alone). A null source is a queue of its own. Of more than QUEUES
+    sources, the largest have queues of their own, and all smaller ones share one queue. Documents with
     equal ids are packed one by one. An empty table gives an empty result. Returns a row for each piece,
     with columns of PIECES and `ids` (the piece's ids as little-endian unsigned 32-bit integers).
     """
@@ -151,8 +152,17 @@ def pack(docs: DataFrame, path: str, end: int = 2, size: int = 4096, quantum: in
     spark = docs.sparkSession
     kept = stored(encoded(docs, path, end, source), "packing")
     sums = kept.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    if sums.select("queue").distinct().limit(QUEUES + 1).count() > QUEUES:
-        raise ValueError(f"more than {QUEUES} sources; group them first")
+    largest = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "queue").limit(QUEUES + 1).collect()
+    if len(largest) > QUEUES:
+        # Within a part, the shared queue takes its sources one after another.
+        own = F.broadcast(spark.createDataFrame([(r.queue,) for r in largest[: QUEUES - 1]], "queue string"))
+        tail = sums.join(own, "queue", "left_anti")
+        before = F.sum("n").over(Window.partitionBy("part").orderBy("queue")) - F.col("n")
+        tail = stored(tail.select("part", "queue", before.alias("before")), "packing-tail")
+        kept = kept.join(small(tail), ["part", "queue"], "left")
+        shared = F.col("before").isNotNull()
+        kept = kept.select("doc_id", "part", F.when(shared, "t").otherwise(F.col("queue")).alias("queue"), (F.col("start") + F.coalesce("before", F.lit(0))).alias("start"), "n", "ids", "width")
+        sums = sums.join(own.withColumn("own", F.lit(True)), "queue", "left").groupBy("part", F.when(F.col("own"), F.col("queue")).otherwise("t").alias("queue")).agg(F.sum("n").alias("n"))
     totals = {r.queue: int(r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
     number = {q: i for i, q in enumerate(names)}

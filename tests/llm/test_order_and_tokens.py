@@ -123,3 +123,20 @@ def test_chunks_are_the_library_on_odd_texts(library):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(800)] + ["<|ENDOFTEXT|> A<|endoftext|>B"]
     got = [x[:-1].tolist() for x in ChunkEncoder(WORD).encode(texts, 2)]
     assert got == [e.ids for e in library[WORD].encode_batch(texts, add_special_tokens=False)]
+
+
+def test_more_sources_than_queues_are_packed_whole(spark, library, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 4)
+    rows = [(i, "word " * (i % 9 + 1) + str(i), None if i % 31 == 0 else f"host{i % 17}" if i % 3 else "hot") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    whole, sequences = defaultdict(dict), defaultdict(list)
+    for r in packing.pack(docs, WORD, size=64, quantum=16).collect():
+        whole[r.doc_id][r.start] = bytes(r.ids)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert {k: b"".join(v[s] for s in sorted(v)) for k, v in whole.items()} == {k: np.array([*library[WORD].encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for k, t, _ in rows}
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 64

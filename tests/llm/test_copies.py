@@ -66,9 +66,15 @@ def test_near_duplicates_of_nothing(nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
-def test_a_dense_group_whose_members_are_links_in_part(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_a_dense_group_whose_members_are_links_in_part(spark, monkeypatch, small):
     import random
 
+    if small:  # cells of few members, so that blocks, stars and labels are dealt over several
+        monkeypatch.setattr(minhash, "BLOCK", 16)
+        monkeypatch.setattr(minhash, "STAR", 20)
+        monkeypatch.setattr(minhash, "CELL", 20_000)
+
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -96,7 +102,34 @@ def test_a_dense_group_whose_members_are_links_in_part(spark):
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200)]
     out = {r.id: r.comp for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert out == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}}
+    assert out == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}, 200: 200}
+
+
+def test_a_long_path_takes_few_rounds(spark):
+    path = spark.range(10_000).selectExpr("id as a", "id + 1 as b").repartition(4)
+    assert len(list(minhash.contractions(path))) == 1
+    # Tasks that contract five edges at once leave the rest to the rounds.
+    rounds = list(minhash.contractions(path.limit(400).repartition(80), chunk=5))
+    assert 1 <= len(rounds) <= 5
+    out = minhash.components(path.filter("a < 300"), chunk=20).collect()
+    assert {(r.id, r.comp) for r in out} == {(i, 0) for i in range(301)}
+
+
+def test_roots_of_mutual_neighbours(spark):
+    edges = spark.createDataFrame([(1, 9), (9, 3), (3, 8), (8, 2), (20, 21)], "a long, b long")
+    roots = {r.a: r.up for r in minhash.rooted(edges).collect()}
+    # 9 and 1, 8 and 2, 20 and 21 are each other's smallest neighbours; 3 goes to 8.
+    assert roots == {1: 1, 9: 1, 2: 2, 8: 2, 3: 2, 20: 20, 21: 20}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 0), (1, "another text of its own here", 0), (2, text.upper(), 0), (2, text, 1), (None, text, 0), (None, "", 0), (None, "five words that stand alone", 0), (3, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int")
+    out = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash.near_duplicates(docs, width=5).collect())
+    assert out == sorted([("1", 36, "1", True), ("1", 2, "1", True), ("2", 36, "1", False), ("2", 36, "1", False), ("None", 36, "1", False), ("None", 0, "None", True), ("None", 1, "None", True), ("3", 0, "3", True)])
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "3", "None", "None", "None"]
 
 
 def test_near_duplicates_are_dropped_with_all_columns(unique, near):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -15,6 +16,8 @@ from .tokens import slices
 #: Fixed value: how byte-level vocabularies of this kind split a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Words of more bytes keep the ranks of their pairs from one round to the next.
+LONG = 200
 #: Distinct pre-tokens whose ids a Python worker remembers.
 REMEMBERED = 400_000
 
@@ -60,8 +63,12 @@ class NumpyBPE:
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of non-empty words: in each round, every word merges its pair of lowest rank wherever it stands."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
-        sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.merge_long(w)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        sym = self.byte_ids[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]
+        word = np.repeat(np.array(short, np.int64), [len(words[i]) for i in short])
         none = len(self.merged)
         while len(sym):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -90,6 +97,60 @@ class NumpyBPE:
             sym, word = sym[left], word[left]
         return out
 
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; those that never merge have the number of merges."""
+        key = left * self.size + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], len(self.merged))
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word, by the same rounds; a round costs its merges, as ranks are renewed beside merged places only."""
+        sym = self.byte_ids[np.frombuffer(word, np.uint8)].copy()
+        n, none = len(sym), len(self.merged)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        live, rank = np.ones(n, bool), np.full(n, none, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] < none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1):
+                if len(part):
+                    r = int(rank[part[0]])
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(heap, r)
+                    waiting[r].append(part)
+
+        rank[:-1] = self.ranked(sym[:-1], sym[1:])
+        wait(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[live[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            # Of pairs that overlap in a run, every second counts, from the left.
+            follows = np.r_[False, after[at[:-1]] == at[1:]]
+            place = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(follows, 0, place))
+            at = at[(place - run) % 2 == 0]
+            right = after[at]
+            sym[at], live[right] = self.merged[r], False
+            beyond = after[right]
+            after[at] = beyond
+            inner = beyond < n
+            before[beyond[inner]] = at[inner]
+            left = before[at]
+            renew = np.unique(np.concatenate([at, left[left >= 0]]))
+            last = after[renew] >= n
+            rank[renew[last]] = none
+            renew = renew[~last]
+            rank[renew] = self.ranked(sym[renew], sym[after[renew]])
+            wait(renew)
+        return sym[live].astype(np.int32)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty. Strings of special tokens in a text become their ids."""
         split = []

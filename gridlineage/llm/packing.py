@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import zlib
-from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -16,94 +15,77 @@ from .tokens import encoder, slices
 
 #: Queues at most, as their token counts are one row each on the driver; the smallest sources beyond share the last one.
 QUEUES = 4096
+#: Entries of the arrays (turns x queues) that a task works on at once.
+ENTRIES = 1 << 19
 
 
-def served(units: list[int], turns: int) -> list[int]:
-    """Units that each queue has given after so many turns, if each turn serves the queue with the largest deficit.
+class Schedule:
+    """Where each queue's tokens go in one long row of tokens, which is then cut into sequences.
 
-    The queue of u units earns u / sum(units) a turn. The one served next has the smallest
-    (given + 1/2) / u, ties to the earlier queue. That order is a fixed one, so the state after any number
-    of turns follows from the number alone, and each partition starts with the very deficits that the
-    windows before it have left.
+    Turns of `quantum` tokens are served one after another, each to the queue with the largest deficit: the
+    queue of u turns earns u / sum(u) a turn, so the one served next has the smallest (given + 1/2) / u, ties
+    to the earlier queue. That order is a fixed one: turn k of a queue comes at (2 k + 1) / u. What has been
+    served before it follows from that number alone, so every task starts with the very deficits that
+    earlier windows and other tasks have left. A queue's last turn may be short; the next turn follows it at once.
     """
-    total = sum(units)
-    turns = min(turns, total)
-    given = [(2 * u * turns + total) // (2 * total) for u in units]
-    short = turns - sum(given)
-    # (given + 1/2) / u is compared exactly, as whole numbers over a common multiple would be too long.
-    if short > 0:
-        heap = [(_Share(2 * g + 1, u), s) for s, (g, u) in enumerate(zip(given, units, strict=True)) if g < u]
-        heapq.heapify(heap)
-        for _ in range(short):
-            _, s = heapq.heappop(heap)
-            given[s] += 1
-            if given[s] < units[s]:
-                heapq.heappush(heap, (_Share(2 * given[s] + 1, units[s]), s))
-    elif short < 0:
-        heap = [(_Share(1 - 2 * g, u), -s) for s, (g, u) in enumerate(zip(given, units, strict=True)) if g > 0]
-        heapq.heapify(heap)
-        for _ in range(-short):
-            _, s = heapq.heappop(heap)
-            given[-s] -= 1
-            if given[-s] > 0:
-                heapq.heappush(heap, (_Share(1 - 2 * given[-s], units[-s]), s))
-    return given
-
-
-class _Share:
-    """A fraction that compares exactly."""
-
-    __slots__ = ("num", "den")
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-
-    def __lt__(self, other: _Share) -> bool:
-        return self.num * other.den < other.num * self.den
-
-    def __eq__(self, other: object) -> bool:
-        return self.num * other.den == other.num * self.den
-
 
-class Schedule:
-    """Where each queue's tokens go: windows of `size` tokens, filled in turns of `quantum` tokens."""
-
-    def __init__(self, tokens: list[int], size: int, quantum: int):
-        self.tokens, self.quantum = tokens, quantum
-        self.units = [-(-n // quantum) for n in tokens]
-        self.turns = size // quantum
-        self.known: dict[int, list[int]] = {}
-
-    def starts(self, window: int) -> list[int]:
-        """Tokens of each queue before the window."""
-        if window not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            self.known[window] = [min(g * self.quantum, n) for g, n in zip(served(self.units, window * self.turns), self.tokens, strict=True)]
-        return self.known[window]
-
-    def window(self, queue: int, at: int) -> int:
-        """The window that holds token `at` of the queue."""
-        last = -(-sum(self.units) // self.turns)
-        guess = int(at / self.tokens[queue] * last)
-        low, high, step = guess, guess + 1, 1
-        while low > 0 and self.starts(low)[queue] > at:
-            low, step = max(0, low - step), step * 2
-        step = 1
-        while high < last and self.starts(high)[queue] <= at:
-            high, step = min(last, high + step), step * 2
-        return low + bisect_right(range(low, high + 1), at, key=lambda w: self.starts(w)[queue]) - 1
-
-    def pieces(self, queue: int, start: int, length: int):
-        """(start in the document, length, window, offset) of each piece of tokens start to start + length."""
-        at, end, w = start, start + length, self.window(queue, start)
-        while at < end:
-            here, after = self.starts(w), self.starts(w + 1)
-            upto = min(end, after[queue])
-            if upto > at:
-                before = sum(after[:queue]) - sum(here[:queue])
-                yield at - start, upto - at, w, before + at - here[queue]
-            at, w = max(at, upto), w + 1
+    def __init__(self, tokens: list[int], quantum: int):
+        self.tokens, self.quantum = np.array(tokens, np.int64), quantum
+        self.units = -(-self.tokens // quantum)
+        self.number = np.arange(len(tokens))
+
+    def starts(self, queue: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """The place of the first token of each (queue, turn)."""
+        out = np.empty(len(queue), np.int64)
+        step = max(1, ENTRIES // len(self.units))
+        for lo in range(0, len(queue), step):
+            q, k = queue[lo : lo + step, None], 2 * turn[lo : lo + step, None] + 1
+            own, others = self.units[q], self.units[None]
+            # k * others = whole * own + rest, exactly: products may leave 64 bits, but the rest, taken modulo 2**64, doesn't.
+            whole = (k.astype(np.float64) * others / own).astype(np.int64)
+            rest = k * others - whole * own
+            whole += rest // own
+            rest %= own
+            # Turns of a queue before this one: odd numbers below k * others / own, or up to it where the tie is won.
+            given = (whole + ((rest > 0) | (self.number[None] < q))) // 2
+            out[lo : lo + step] = np.minimum(given * self.quantum, self.tokens).sum(1)
+        return out
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+        """Rows (document's number, start in it, length, sequence, offset) for runs of tokens of queues, in order.
+
+        A run is cut where a turn or a sequence of `size` tokens ends; what follows on in its sequence is one piece.
+        """
+        first, last = start // self.quantum, (start + np.maximum(length, 1) - 1) // self.quantum
+        turns = last - first + 1
+        doc = np.repeat(np.arange(len(queue)), turns)
+        turn = np.arange(len(doc)) - np.repeat(np.cumsum(turns) - turns, turns) + first[doc]
+        lo = np.maximum(turn * self.quantum, start[doc])
+        hi = np.minimum((turn + 1) * self.quantum, (start + length)[doc])
+        at = self.starts(queue[doc], turn) + lo - turn * self.quantum
+        # Cut at the ends of sequences.
+        cuts = (at + hi - lo - 1) // size - at // size + 1
+        row = np.repeat(np.arange(len(doc)), cuts)
+        part = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        base = at // size * size
+        begin = np.maximum(at[row], base[row] + part * size)
+        end = np.minimum((at + hi - lo)[row], base[row] + (part + 1) * size)
+        doc, inside = doc[row], (lo - start[doc])[row] + begin - at[row]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (begin[1:] != end[:-1]) | (begin[1:] % size == 0)][: len(doc)]
+        heads = np.flatnonzero(new)
+        n = np.add.reduceat(end - begin, heads) if len(heads) else np.empty(0, np.int64)
+        return np.stack([doc[heads], inside[heads], n, begin[heads] // size, begin[heads] % size], axis=1)
+
+
+def runs(n: np.ndarray, most: int):
+    """Runs of documents of about `most` tokens."""
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -131,12 +113,11 @@ def encoded(docs: DataFrame, path: str, end: int, source: str = "source") -> Dat
 
 
 def pack(docs: DataFrame, path: str, end: int = 2, size: int = 4096, quantum: int = 256, source: str = "source") -> DataFrame:
-    """All tokens of `docs` in sequences of at most `size` tokens whose sources have the corpus's proportions.
+    """All tokens of `docs` in sequences of `size` tokens whose sources have the corpus's proportions.
 
-    Every source is a queue of documents; every window of `size` tokens is filled in turns of `quantum`
-    tokens, each turn serving the queue with the largest deficit (see `served`), so a window's mixture is
-    off by less than a turn for each source and the difference is carried on. A queue's last turn may be
-    short; windows with such a turn and the last one are the only ones below `size`.
+    Every source is a queue of documents, served in turns of `quantum` tokens, each turn to the queue with
+    the largest deficit (see `Schedule`), so a window's mixture is off by less than two turns for each source
+    and the difference is carried on. Only the last sequence is short.
 
     Texts are encoded once, in any order, and stored in the shared folder. A queue's order is that of the
     stored parts; sums for each part and queue, not documents, are cumulated to find where a part starts.
@@ -144,11 +125,9 @@ def pack(docs: DataFrame, path: str, end: int = 2, size: int = 4096, quantum: in
 
     Null texts are empty documents (the end id alone). A null source is a queue of its own. Of more than QUEUES
     sources, the largest have queues of their own, and all smaller ones share one queue. Documents with
-    equal ids are packed one by one. An empty table gives an empty result. Returns a row for each piece,
+    equal or null ids are packed one by one. An empty table gives an empty result. Returns a row for each piece,
     with columns of PIECES and `ids` (the piece's ids as little-endian unsigned 32-bit integers).
     """
-
-
     spark = docs.sparkSession
     kept = stored(encoded(docs, path, end, source), "packing")
     sums = kept.groupBy("part", "queue").agg(F.sum("n").alias("n"))
@@ -172,21 +151,18 @@ def pack(docs: DataFrame, path: str, end: int = 2, size: int = 4096, quantum: in
     placed = kept.join(small(bases), ["part", "queue"]).select("doc_id", "queue", (F.col("start") + F.col("base")).alias("start"), "n", "ids", "width")
 
     def run(batches):
-        import numpy as np
-
-        plan = Schedule(tokens, size, quantum)
+        plan = Schedule(tokens, quantum)
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for key, q, start, n, ids, width in zip(*(b.column(c).to_pylist() for c in ("doc_id", "queue", "start", "n", "ids", "width")), strict=True):
-                words = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
-                for lo, length, w, offset in plan.pieces(number[q], start, n):
-                    piece = words[4 * lo : 4 * (lo + length)]
-                    for column, v in zip(out, (key, lo, length, zlib.crc32(piece), n, w, offset, piece), strict=True):
-                        column.append(v)
-                if len(out[0]) >= 5_000:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), pa.array(out[7], pa.binary())], schema_names)
-                    out = [[] for _ in range(8)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), pa.array(out[7], pa.binary())], schema_names)
+            n = b.column(3).to_numpy()
+            for lo, hi in runs(n, 500_000):
+                part = b.slice(lo, hi - lo)
+                queue = np.array([number[q] for q in part.column(1).to_pylist()], np.int64)
+                rows = plan.pieces(queue, part.column(2).to_numpy(), n[lo:hi], size)
+                words = [np.frombuffer(x, f"<u{w}").astype("<u4").tobytes() for x, w in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)]
+                ids = [words[d][4 * at : 4 * (at + length)] for d, at, length in rows[:, :3].tolist()]
+                doc = rows[:, 0]
+                crcs = np.array([zlib.crc32(x) for x in ids], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *map(pa.array, (rows[:, 1], rows[:, 2], crcs, n[lo:hi][doc], rows[:, 3], rows[:, 4])), pa.array(ids, pa.binary())], schema_names)
 
     schema = f"{PIECES}, ids binary"
     schema_names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

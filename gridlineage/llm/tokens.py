@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from itertools import chain
 
 import numpy as np
 
-#: Letters before ASCII punctuation other than an apostrophe. U+0130 ends no run: its lower case ends in a mark, which goes with the punctuation.
-PUNCTUATED = re.compile(r"([^\W\d_]+)(?<!\u0130)([!-&(-/:-@\[-`{-~]+)")
+#: Letters before ASCII punctuation other than an apostrophe.
+PUNCTUATED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: Distinct chunks whose ids a Python worker remembers.
 REMEMBERED = 700_000
 
 
+def lettered(word: str) -> bool:
+    """True if a word is letters alone when it is lower-cased and composed; a mark that some letters leave would go with what follows."""
+    return unicodedata.normalize("NFC", word.lower()).isalpha() if not word.isascii() else word.isalpha()
+
+
 class ChunkEncoder:
     """Encodes texts with a lower-casing tokenizer that splits at white space and drops it.
 
@@ -44,9 +50,9 @@ class ChunkEncoder:
         known, heads, pairs, other = self.known, {}, [], []
         for raw in new:
             w = raw.decode("utf-8", "surrogatepass")
-            if w.isalpha() and "\u0130" not in w:
+            if lettered(w):
                 heads[w] = raw
-            elif m := PUNCTUATED.fullmatch(w):
+            elif (m := PUNCTUATED.fullmatch(w)) and lettered(m[1]):
                 head, tail = m[1].encode(), m[2].encode()
                 pairs.append((raw, head, tail))
                 if head not in known:

@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -40,11 +41,36 @@ def test_shards_do_not_depend_on_partitions(spark, unique):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("units", [[5, 3, 1], [100, 17, 3, 250], [7], [3, 3, 3]])
-def test_deficits_are_those_of_a_turn_by_turn_run(units):
-    order = sorted(((2 * j + 1) / u, s) for s, u in enumerate(units) for j in range(u))
-    for turns in range(sum(units) + 1):
-        assert packing.served(units, turns) == [sum(q == s for _, q in order[:turns]) for s in range(len(units))]
+@pytest.mark.parametrize("tokens", [[50, 23, 7], [1000, 170, 31, 2501], [7], [30, 30, 30], [4] * 40])
+def test_turns_come_by_deficit_and_leave_no_hole(tokens):
+    quantum, size = 10, 32
+    units = [-(-n // quantum) for n in tokens]
+    row, at = {}, 0
+    for _, s, j in sorted(((Fraction(2 * j + 1, u), s, j) for s, u in enumerate(units) for j in range(u))):
+        for k in range(j * quantum, min((j + 1) * quantum, tokens[s])):
+            row[s, k], at = at, at + 1
+    plan = packing.Schedule(tokens, quantum)
+    runs = [(s, lo, min(17, n - lo)) for s, n in enumerate(tokens) for lo in range(0, n, 17)]
+    found = {}
+    for d, start, length, sequence, offset in plan.pieces(*(np.array(c) for c in zip(*runs, strict=True)), size).tolist():
+        assert 0 < length and offset + length <= size
+        for k in range(length):
+            found[runs[d][0], runs[d][1] + start + k] = sequence * size + offset + k
+    assert found == row
+
+
+def test_turns_of_very_large_queues_are_exact():
+    tokens = [3 * 10**13 + 1, 10**13 + 7, 5, 999_999_937]
+    plan = packing.Schedule(tokens, 1)
+    for q, k in ((0, 10**13), (1, 10**13 + 6), (0, 3 * 10**13), (3, 999_999_936), (2, 4)):
+        want = sum(min(n, len_before(2 * k + 1, tokens[q], n, other < q)) for other, n in enumerate(tokens))
+        assert plan.starts(np.array([q]), np.array([k])).tolist() == [want]
+
+
+def len_before(k, own, other, wins):
+    """Odd numbers below k * other / own, or up to it."""
+    whole, rest = divmod(k * other, own)
+    return (whole + (rest > 0 or wins)) // 2
 
 
 def test_packing_puts_each_id_in_one_place(unique, nothing, library):
@@ -62,12 +88,12 @@ def test_packing_puts_each_id_in_one_place(unique, nothing, library):
             assert (r.start, r.doc_tokens, r.ids_crc32, bytes(r.ids)) == (at, len(v), zlib.crc32(part), part)
             at += r.length
         assert at == len(v)
-    for rows in sequences.values():
+    for k, rows in sequences.items():
         at = 0
         for r in sorted(rows, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 512
+        assert at == 512 or k == max(sequences)
     assert packing.pack(nothing, WORD).count() == 0
 
 
@@ -110,6 +136,8 @@ def test_bpe_on_odd_texts(library):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(500)] + ["a" * 2000, "<|endoftext|>"]
     model = bpe.NumpyBPE(BYTE)
     got = [x.tolist() for x in model.encode(texts)]
+    texts += ["".join(rng.choice(a) for _ in range(n)) for a in ("abcdefghijklmnopqrstuvwxyz", "aab", "ABab01+/", "日本語一二") for n in (201, 1000, 30_000)]
+    got = [x.tolist() for x in model.encode(texts)]
     assert got == [e.ids for e in library[BYTE].encode_batch(texts, add_special_tokens=False)]
     assert model.decode([np.array(x) for x in got]) == texts
 
@@ -125,6 +153,21 @@ def test_chunks_are_the_library_on_odd_texts(library):
     assert got == [e.ids for e in library[WORD].encode_batch(texts, add_special_tokens=False)]
 
 
+def test_chunks_of_every_letter_before_punctuation(library):
+    import unicodedata
+
+    from gridlineage.llm.tokens import ChunkEncoder
+
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha()]
+    marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    leave = [c for c in letters if not unicodedata.normalize("NFC", c.lower()).isalpha()]
+    assert len(leave) > 50
+    chunks = [f"{c}." for c in letters] + [f"a{c}{m}" for c in leave for m in marks] + [c + "b" for c in leave]
+    texts = [" ".join(chunks[i : i + 500]) for i in range(0, len(chunks), 500)]
+    got = [x[:-1].tolist() for x in ChunkEncoder(WORD).encode(texts, 2)]
+    assert got == [e.ids for e in library[WORD].encode_batch(texts, add_special_tokens=False)]
+
+
 def test_more_sources_than_queues_are_packed_whole(spark, library, monkeypatch):
     monkeypatch.setattr(packing, "QUEUES", 4)
     rows = [(i, "word " * (i % 9 + 1) + str(i), None if i % 31 == 0 else f"host{i % 17}" if i % 3 else "hot") for i in range(200)]

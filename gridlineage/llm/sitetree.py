@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small
+from .common import checkpointed
 from .tokens import slices
 
-#: Style nodes that stand in this many different pages of a host, and are less important than that, are removed.
-OCCURS, IMPORTANT = 8, 0.2
-#: Share of content (against presentation) in a node's importance.
-CONTENT = 0.9
+#: Branches that are less important than this are removed.
+IMPORTANT = 0.2
+#: Shares of a node's importance: what it says, how its children are arranged, how long it is.
+CONTENT, ARRANGED, LENGTH = 0.6, 0.2, 0.2
+#: What evidence leaves of the importance of a branch: its names say that it is no article; its text is links; it stands outside of the article.
+NAMED, LINKED, OUTSIDE = 0.15, 0.25, 0.15
+#: Share of a page's text from which a branch is taken for the page's body, so that its names say nothing.
+BODY = 0.5
+#: Bytes of the removed or doubtful nodes of all hosts that may be broadcast.
+BROADCAST_BYTES = 32_000_000
 
 #: Elements by what they do to the text around them.
 BLOCKS = frozenset(
@@ -24,14 +31,19 @@ BLOCKS = frozenset(
     " figure figcaption address hr details summary fieldset nav header footer aside form menu dialog center hgroup search".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style noscript template iframe object svg canvas audio video button select textarea option datalist nav footer aside form menu dialog search".split())
-#: Words in class, id and role that name a part which is no article.
+#: Elements whose text is never shown as text; those below are shown, but seldom hold an article.
+UNSEEN = frozenset("head title script style noscript template iframe object svg canvas audio video button select textarea option datalist".split())
+DOUBTFUL = frozenset("nav footer aside form menu dialog search".split())
+#: Words in class, id and role that name a part which is no article; the second line at the top of a page only, the third whatever its share of the page.
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs"
     " footer sidebar aside cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing"
     " social related recommended comment comments disqus respond replies reply widget toolbar pagination pager copyright contentinfo complementary search masthead".split()
 )
 TOP = frozenset("header banner masthead".split())
+TALK = frozenset("comment comments disqus respond replies reply".split())
+#: Beginnings of names that tell what a page has or lacks, not what a branch is.
+TELLS = ("has", "no", "with", "without", "is", "not")
 #: What closes an open element of the same kind when it starts, and where the search for it ends.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPE = frozenset("ul ol dl table div section article main body blockquote td th tr aside nav header footer form figure".split())
@@ -39,31 +51,66 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def digest(*parts: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def named_parts(names: list[str]) -> set[str]:
+    """The words of class, id and role names, but of names that tell what a page has or lacks."""
+    split = [[w.lower() for w in WORDS.findall(n)] for n in names]
+    return {w for words in split if words and words[0] not in TELLS for w in words}
+
+
+@dataclass(slots=True)
+class Node:
+    """A block element of a page, or a run of text among blocks (without a tag)."""
+
+    tag: str
+    path: str
+    above: Node | None = None
+    text: str = ""
+    look: str = ""
+    #: Characters of text, of text in links, and paragraphs, in the whole branch.
+    size: int = 0
+    links: int = 0
+    paragraphs: int = 0
+    #: What its tag and names say: 0 nothing, 1 no article, 2 reader comments.
+    says: int = 0
+    inside: bool = False
+    head: bool = False
+    below: list[Node] = field(default_factory=list)
 
 
 class Page(HTMLParser):
-    """Blocks of a page in order: (style node, presentation, text, in an article)."""
+    """The tree of a page's block elements, and the texts at its leaves."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        # Entries: tag, style path, hidden, inside an article.
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.root = Node("", "")
+        #: All nodes, parents first.
+        self.nodes = [self.root]
+        # Entries: tag, node, hidden, whether it stands in an article.
+        self.open: list[tuple[str, Node, bool, bool]] = [("", self.root, False, False)]
         self.text: list[str] = []
         self.inline: list[str] = []
-        self.blocks: list[tuple[str, str, str, bool]] = []
+        self.linked = self.anchors = 0
         self.feed(html)
         self.close()
         self.flush()
+        for node in reversed(self.nodes):
+            if node.above is not None:
+                node.above.size += node.size
+                node.above.links += node.links
+                node.above.paragraphs += node.paragraphs
 
     def flush(self) -> None:
         if self.text:
             words = " ".join("".join(self.text).split())
             if words:
-                _, path, _, article = self.open[-1]
-                self.blocks.append((path, " ".join(self.inline), words, article))
+                at = self.open[-1][1]
+                at.below.append(Node("", at.path + ">", at, words, " ".join(self.inline), len(words), min(self.linked, len(words)), inside=self.open[-1][3]))
+                self.nodes.append(at.below[-1])
             self.text = []
-        self.inline = []
+        self.inline, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -74,27 +121,35 @@ class Page(HTMLParser):
             return
         block, top = tag in BLOCKS, self.open[-1]
         named = [w for k, v in attrs if v and k in ("class", "id", "role") for w in v.split()] if attrs else ()
-        hidden = top[2] or tag in HIDDEN or (tag == "header" and not top[3])
-        if named and not hidden and tag not in ("html", "body", "main"):
-            words = {w.lower() for n in named for w in WORDS.findall(n)}
-            hidden = not words.isdisjoint(PARTS) or (not top[3] and not words.isdisjoint(TOP))
+        words = named_parts(named) if named and tag not in ("html", "body", "main") else ()
         if not block:
-            if hidden and not top[2]:
-                self.open.append((tag, top[1], True, top[3]))
-            elif top[2] and tag in HIDDEN:
+            # Inside a line there is no branch of the tree: elements that aren't shown or are named as a part go at once.
+            hidden = top[2] or tag in UNSEEN or tag in DOUBTFUL or bool(words and not words.isdisjoint(PARTS))
+            if hidden:
                 self.open.append((tag, top[1], True, top[3]))
-            elif not hidden:
+            else:
                 self.inline.append(tag)
+                self.anchors += tag == "a"
             return
         self.flush()
+        self.anchors = 0
         self.end_open(tag)
-        top = self.open[-1]
-        hidden = hidden if not named else hidden or top[2]
+        _, at, hidden, inside = self.open[-1]
         style = ".".join([tag, *sorted(named)]) if named else tag
-        path = f"{top[1]}>{style}"
+        path = f"{at.path}>{style}"
         if len(path) > 400:
             path = f"#{digest(path):x}"
-        self.open.append((tag, path, hidden, top[3] or tag in ("article", "main")))
+        node = Node(tag, path, at, inside=inside or tag in ("article", "main"), paragraphs=int(tag == "p"))
+        if words and not words.isdisjoint(TALK):
+            node.says = 2
+        elif tag in DOUBTFUL or (tag == "header" and not inside) or (words and (not words.isdisjoint(PARTS) or (not inside and not words.isdisjoint(TOP)))):
+            node.says = 1
+        at.below.append(node)
+        self.nodes.append(node)
+        if tag in ("h1", "main"):
+            while at is not None and not at.head:
+                at.head, at = True, at.above
+        self.open.append((tag, node, hidden, node.inside))
 
     def end_open(self, tag: str) -> None:
         """Closes what a start tag closes: an open item of a list by the next, a paragraph by any block."""
@@ -119,6 +174,9 @@ class Page(HTMLParser):
         block = tag in BLOCKS
         if block:
             self.flush()
+            self.anchors = 0
+        elif tag == "a":
+            self.anchors = max(0, self.anchors - 1)
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
@@ -129,79 +187,139 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.open[-1][2]:
             self.text.append(data)
+            if self.anchors:
+                self.linked += len(data)
+
 
+def styled(html: str | None) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """A page's hash, and (style node, content, arrangement, length) of each node of its tree that holds text.
 
-def article(html: str | None) -> list[tuple[str, str, str]]:
-    """(style node, presentation, text) of the blocks that may be main text: those in articles, if a page has any."""
-    blocks = Page(html).blocks if html else []
-    inside = any(b[3] for b in blocks)
-    return [b[:3] for b in blocks if b[3] or not inside]
+    Nodes of one path are one. Content is a hash of the texts below; arrangement one of an element's children
+    by tag and class, or of a text's inline markup; length is that of the mean branch as a power of two.
+    """
+    if not html:
+        return 0, []
+    page = Page(html)
+    content: dict[int, bytes] = {}
+    same: dict[str, list[Node]] = {}
+    for node in reversed(page.nodes):
+        if node.size:
+            content[id(node)] = xxhash.xxh3_64_digest(node.text.encode("utf-8", "surrogatepass") if node.text else b"".join(content[id(b)] for b in node.below if b.size))
+            same.setdefault(node.path, []).append(node)
+    out = []
+    for path, nodes in same.items():
+        if path:
+            looks = {n.look if n.text else " ".join(dict.fromkeys(b.path[len(path) :] for b in n.below if b.size)) for n in nodes}
+            texts = xxhash.xxh3_64_intdigest(b"".join(content[id(n)] for n in nodes)) - (1 << 63)
+            out.append((digest(path), texts, digest(*sorted(looks)), (sum(n.size for n in nodes) // len(nodes)).bit_length()))
+    return xxhash.xxh3_64_intdigest(content.get(id(page.root), b"")) - (1 << 63), out
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, node, content, look, page) of every block of (host, html); the last four are hashes."""
-    names = ["host", "node", "content", "look", "page"]
+    """(host, node, content, look, size, page) of every style node of every page of (host, html); all but the host are hashes or numbers."""
+    names = ["host", "node", "content", "look", "size", "page"]
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            hosts = b.column(0).to_pylist()
+            hosts, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts, 2_000_000):
                 out: list[list] = [[] for _ in names]
                 for host, html in zip(hosts[lo:hi], texts[lo:hi], strict=True):
-                    blocks = article(html)
-                    page = digest(*(t for _, _, t in blocks))
-                    for path, look, t in blocks:
-                        for c, v in zip(out, (host, digest(path), digest(t), digest(look), page), strict=True):
+                    page, nodes = styled(html)
+                    for node in nodes:
+                        for c, v in zip(out, (host, *node, page), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:])], names)
 
-    return pages.mapInArrow(run, "host string, node long, content long, look long, page long")
+    return pages.mapInArrow(run, "host string, node long, content long, look long, size long, page long")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
     """(host, node, n, importance) of each node of the merged trees.
 
-    n counts its occurrences in different pages. The entropy of what it holds is 1 if that differs each
-    time and 0 if it is always the same, and likewise for its presentation (the inline markup inside).
+    n counts the different pages that have the node; copies of a page count once. The entropy of a feature
+    is 1 if it differs each time and 0 if it is always the same. A node's importance is the mean entropy of
+    what it says, how its children are arranged and how long it is, drawn to 1 while few pages speak
+    against it: of the lack of entropy, (n - 1) / (n + 1) counts.
     """
     seen = nodes.distinct()
+    values = F.expr("stack(3, 0, content, 1, look, 2, size) as (feature, value)")
+    counts = seen.select("host", "node", values).groupBy("host", "node", "feature", "value").agg(F.count("*").alias("c"))
+    n, s = F.sum("c"), F.sum(F.col("c") * F.log("c"))
+    each = counts.groupBy("host", "node", "feature").agg(n.alias("n"), F.when(n > 1, 1 - s / (n * F.log(n))).otherwise(1.0).alias("h"))
+    share = F.when(F.col("feature") == 0, CONTENT).when(F.col("feature") == 1, ARRANGED).otherwise(LENGTH)
+    mean = each.groupBy("host", "node").agg(F.max("n").alias("n"), F.sum(share * F.col("h")).alias("h"))
+    return mean.select("host", "node", "n", (1 - (1 - F.col("h")) * (F.col("n") - 1) / (F.col("n") + 1)).alias("importance"))
+
 
-    def entropy(value: str) -> DataFrame:
-        counts = seen.groupBy("host", "node", value).agg(F.count("*").alias("c"))
-        return counts.groupBy("host", "node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s")).select("host", "node", "n", F.when(F.col("n") > 1, 1 - F.col("s") / (F.col("n") * F.log("n"))).otherwise(1.0).alias(f"h_{value}"))
+def evidence(node: Node, page: Node) -> float:
+    """What a page (its root) itself says of a branch, as a factor of its importance.
+
+    Names and tags count unless the branch is the page's body: it holds the heading, or BODY of the text and
+    half of the paragraphs or, on a page without heading, no matter what. Those of reader comments count
+    unless the branch holds the heading. A branch of links counts less.
+    """
+    most = node.size >= BODY * page.size and node.says < 2 and (not page.head or 2 * node.paragraphs >= max(page.paragraphs, 1))
+    return (NAMED if node.says and not (node.head or most) else 1.0) * (LINKED if node.links >= 0.8 * node.size else 1.0)
 
-    both = entropy("content").join(entropy("look").drop("n"), ["host", "node"])
-    return both.select("host", "node", "n", (CONTENT * F.col("h_content") + (1 - CONTENT) * F.col("h_look")).alias("importance"))
+
+def kept(html: str | None, known: dict[int, float], judge=evidence) -> list[str]:
+    """The texts of a page without the branches whose importance, times the evidence, is below IMPORTANT.
+
+    known: importance of nodes of the host's tree where it may matter; that of others is 1. If what stays
+    in article and main elements is BODY of what stays, all outside is evidence of no article.
+    """
+    if not html:
+        return []
+    root = Page(html).root
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.size and (node is root or known.get(digest(node.path), 1.0) * judge(node, root) >= IMPORTANT):
+            if node.text:
+                out.append(node)
+            stack.extend(reversed(node.below))
+    inside = sum(n.size for n in out if n.inside)
+    if inside and inside >= BODY * sum(n.size for n in out):
+        out = [n for n in out if n.inside or OUTSIDE >= IMPORTANT]
+    return [n.text for n in out]
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page, blocks joined by newlines.
 
-    Elements that are no article by their tag or by a word of their class, id or role go first. What is
-    left of a host's pages is merged in a tree of styles, in which a node is the path of tags and classes.
-    Nodes that stand in OCCURS different pages or more with an importance below IMPORTANT go too; copies of
-    a page count once, so they make nothing unimportant. Removing all such leaves removes the branches that
-    hold nothing else.
+    All pages of a host are merged in a tree of styles, in which a node is the path of tags and classes. A
+    node's importance is the entropy of what it holds and of how it is arranged over the host's pages
+    (`importance`), times what the page's tags, names and links say of the branch (`evidence`). Branches
+    below IMPORTANT are removed from each page, from the top down. Only scripts, styles and other things
+    that are not shown go before.
 
-    A null page, and one without main text, has an empty text. Pages without a host in their url, or
-    without a url, are merged with each other. An empty table gives an empty result.
+    A null page, and one without main text, has an empty text. Rows with equal or null keys are pages of
+    their own. Pages without a host in their url, or without a url, are merged with each other. Further
+    columns are not read. An empty table gives an empty result.
     """
     host = F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit(""))
     rows = pages.select(host.alias("host"), F.col(html).alias("html"), F.col(key).alias("page_id"), F.col(url).alias("url"))
-    weak = importance(style_nodes(rows.select("host", "html"))).filter((F.col("n") >= OCCURS) & (F.col("importance") < IMPORTANT))
-    weak = checkpointed(weak.groupBy("host").agg(F.collect_set("node").alias("weak")))
+    # Only where the entropy may decide: above, the evidence does so alone.
+    found = importance(style_nodes(rows.select("host", "html"))).filter(F.col("importance") < IMPORTANT / LINKED)
+    found = checkpointed(found.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("importance").alias("values")))
+    size = found.agg(F.sum(F.size("nodes") * 16 + F.octet_length("host") + 100)).first()[0] or 0
+    known = F.broadcast(found) if size <= BROADCAST_BYTES else found
     id_type = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            texts, rules = b.column(2).to_pylist(), b.column(3).to_pylist()
+            texts = b.column(2).to_pylist()
+            nodes, values = b.column(3), b.column(4)
+            last, rule = None, {}
             for lo, hi in slices(texts, 2_000_000):
                 out = []
-                for h, rule in zip(texts[lo:hi], rules[lo:hi], strict=True):
-                    gone = set(rule or ())
-                    out.append("\n".join(t for path, _, t in article(h) if not gone or digest(path) not in gone))
+                for i in range(lo, hi):
+                    now = nodes[i]
+                    if now != last:
+                        last, rule = now, dict(zip(now.as_py() or (), values[i].as_py() or (), strict=True))
+                    out.append("\n".join(kept(texts[i], rule)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(small(weak), "host", "left").select("page_id", "url", "html", "weak")
+    joined = rows.join(known, "host", "left").select("page_id", "url", "html", "nodes", "values")
     return joined.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long")

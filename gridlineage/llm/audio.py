@@ -15,7 +15,7 @@ from .tokens import slices
 
 #: Payloads are padded with bytes 255 to a multiple of BLOCK samples.
 BLOCK = 576
-RATE, UP, DOWN, TAPS = 8000, 1, 2, 16
+RATE, UP, DOWN, TAPS = 8000, 3, 4, 16
 FRAME, HOP, BANDS = 128, 64, 16
 #: Segments open above the mean frame energy plus OPEN, and close below plus CLOSE, in standard deviations.
 OPEN, CLOSE = 0.5, 0.0
@@ -81,9 +81,8 @@ def filterbank(rate: float, frame: int, bands: int) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: float, frame: int = FRAME, hop: int = HOP, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies (frames x bands) of overlapped Hann frames, and the log energy of each frame."""
-    if len(x) < frame:
-        x = np.concatenate([x, np.zeros(frame - len(x), np.float32)])
+    """Log-mel energies (frames x bands) of overlapped Hann frames, and the log energy of each frame; silence fills the last frame."""
+    x = np.concatenate([x, np.zeros(max(frame - len(x), 0) or (frame - len(x)) % hop, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
     window, bank = np.hanning(frame).astype(np.float32), filterbank(rate, frame, bands)
     out, energy = np.empty((len(frames), bands), np.float32), np.empty(len(frames), np.float32)
@@ -109,57 +108,65 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 #: Frames of a tensor; the last tensor of a text is filled up with its lowest value.
 TENSOR = 64
-SCHEMA = "doc_id long, n_bytes long, payload binary, media binary, frames long, tensors array<array<float>>, spans array<struct<start: double, end: double>>"
+SCHEMA = "doc_id long, n_bytes long, payload binary, media binary, frames long, tensors binary, means array<float>, deviations array<float>, spans array<struct<start: double, end: double>>"
 
 
-def tensor_type() -> pa.FixedShapeTensorType:
-    return pa.fixed_shape_tensor(pa.float32(), (TENSOR, BANDS))
-
-
-def features(media: bytes) -> tuple[bytes, np.ndarray, int, list[tuple[float, float]]]:
-    """Samples of a stored file, its log-mel tensors (n x TENSOR x BANDS), frames, and loud spans in seconds."""
-    samples, rate = from_wav(media)
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    y = resample(x)
-    mel, energy = log_mel(y, rate * UP / DOWN)
+def to_tensors(mel: np.ndarray, second: float) -> bytes:
+    """Log-mel frames as an Arrow stream of fixed-shape tensors (TENSOR x bands), each with the time it spans and its frames."""
     n = -(-len(mel) // TENSOR)
-    filled = np.full((n * TENSOR, BANDS), mel.min(), np.float32)
+    filled = np.full((n * TENSOR, mel.shape[1]), mel.min(), np.float32)
     filled[: len(mel)] = mel
+    first = np.arange(n) * TENSOR
+    frames = np.minimum(len(mel) - first, TENSOR)
+    tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(filled.reshape(n, TENSOR, -1))
+    batch = pa.RecordBatch.from_arrays([tensors, pa.array(first * second), pa.array((first + frames) * second), pa.array(frames)], ["tensor", "start", "end", "frames"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def from_tensors(data: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """Log-mel frames and the time spans of the tensors of a stored stream."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    tensors = table["tensor"].chunk(0).to_numpy_ndarray()
+    frames = table["frames"].to_pylist()
+    return np.concatenate([t[:n] for t, n in zip(tensors, frames, strict=True)]), list(zip(table["start"].to_pylist(), table["end"].to_pylist(), strict=True))
+
+
+def features(media: bytes) -> tuple[bytes, np.ndarray, float, list[tuple[float, float]]]:
+    """Samples of a stored file, its log-mel frames, the seconds from one to the next, and loud spans in seconds."""
+    samples, rate = from_wav(media)
+    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    mel, energy = log_mel(resample(x), rate * UP / DOWN)
     second = HOP / (rate * UP / DOWN)
-    return samples, filled.reshape(n, TENSOR, BANDS), len(mel), [(a * second, b * second) for a, b in segments(energy)]
+    return samples, mel, second, [(a * second, b * second) for a, b in segments(energy)]
 
 
 def audio_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores each whole text as audio and computes features from the stored bytes; columns of SCHEMA.
 
-    The payload is the text in UTF-8 (null: empty), padded by `payload`; media is a WAV file of it. Inside
-    a batch the tensors are a fixed-shape tensor array of Arrow, whose storage is the column `tensors`
-    (one flat list of TENSOR x BANDS values for each). spans are times in seconds. Each text is computed by
-    itself, so equal texts have equal values wherever they stand. An empty table gives an empty result.
+    The payload is the text in UTF-8 (null: empty), padded by `payload`; media is a WAV file of it. `tensors`
+    holds all log-mel frames as fixed-shape Arrow tensors with their time spans (`from_tensors` reads them);
+    means and deviations are those of each band over all frames; spans are the loud parts in seconds. Each
+    text is computed by itself, so equal texts have equal values wherever they stand. Rows that share a key,
+    or have none, are texts of their own; further columns are not read. An empty table gives an empty result.
     """
+    names = [f.split()[0] for f in SCHEMA.split(", ")[:8]] + ["spans"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.float32()), pa.list_(pa.float32()), pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))]
 
     def run(batches):
-        kind = tensor_type()
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()
             for lo, hi in slices(texts, 500_000):
-                cols: list[list] = [[] for _ in range(4)]
-                stacks, spans = [], []
+                cols: list[list] = [[] for _ in kinds]
                 for t in texts[lo:hi]:
                     data = (t or "").encode("utf-8", "surrogatepass")
                     media = to_wav(payload(data))
-                    back, tensors, frames, loud = features(media)
-                    for c, v in zip(cols, (len(data), back, media, frames), strict=True):
+                    back, mel, second, loud = features(media)
+                    row = (len(data), back, media, len(mel), to_tensors(mel, second), mel.mean(0), mel.std(0), [{"start": s, "end": e} for s, e in loud])
+                    for c, v in zip(cols, row, strict=True):
                         c.append(v)
-                    stacks.append(tensors)
-                    spans.append([{"start": s, "end": e} for s, e in loud])
-                array = pa.FixedShapeTensorArray.from_numpy_ndarray(np.concatenate(stacks))
-                assert array.type == kind
-                flat = array.storage.cast(pa.list_(pa.float32()))
-                ends = pa.array(np.cumsum([0, *map(len, stacks)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(lo, hi - lo), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(spans, pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])))],
-                    ["doc_id", "n_bytes", "payload", "media", "frames", "tensors", "spans"],
-                )
+                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)

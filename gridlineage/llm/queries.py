@@ -23,15 +23,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def held_out(scores: DataFrame, limit: float) -> DataFrame:
-    """Scores with what the contract asks for: whether labels of the row were kept from the model, and the prediction."""
-    return scores.select("doc_id", (~learns(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
+def held_out(scores: DataFrame, limit: float, *more: str) -> DataFrame:
+    """Scores with what the contract asks for: whether labels of the row were kept from the model, and the prediction; then further columns."""
+    return scores.select("doc_id", (~learns(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"), *more)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return held_out(scores, 0.7)
+    return held_out(scores, 0.7, "spans")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +73,8 @@ def op9_sitetree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.audio_features(table(spark, sf_dir, "documents"))
     loud = F.aggregate("spans", F.lit(0.0), lambda a, s: a + s["end"] - s["start"])
-    seen = F.transform("tensors", lambda t: F.concat_ws(" ", *[F.format_number(F.aggregate(F.slice(t, 1 + k, audio.BANDS), F.lit(0.0), lambda a, v: a + v.cast("double")) / audio.BANDS, 3) for k in (0, 32 * audio.BANDS)]))
-    feature = F.concat(F.lit("frames="), "frames", F.lit(";spans="), F.size("spans"), F.lit(";loud="), F.format_number(loud, 3), F.lit(";mel="), F.array_join(seen, "|"))
+    listed = lambda c: F.array_join(F.transform(c, lambda v: F.format_number(v.cast("double"), 3)), " ")
+    feature = F.concat(F.lit("frames="), "frames", F.lit(";spans="), F.size("spans"), F.lit(";loud="), F.format_number(loud, 3), F.lit(";mean="), listed("means"), F.lit(";deviation="), listed("deviations"))
     return out.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), crc(F.substring("payload", -32, 32)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),

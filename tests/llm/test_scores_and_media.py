@@ -78,6 +78,68 @@ def test_main_text(spark, nothing):
     assert sitetree.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def site(n=14):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    pages = []
+    for i in range(n):
+        body = [text(rng.randint(20, 90)) for _ in range(rng.randint(2, 5))]
+        links = "".join(f'<li><a href="/{k}">{text(1)}</a></li>' for k in range(5))
+        pages.append((f"<body><div class=x1><ul>{links}</ul></div><div class=x2><p>We sell best.</p></div><div class=x3>" + "".join(f"<p>{t}</p>" for t in body) + "</div><div class=x4><span>Imprint</span> here</div></body>", body))
+    return pages
+
+
+def importance_of(spark, pages, host="h"):
+    rows = spark.createDataFrame([(host, p) for p in pages], "host string, html string")
+    return {r.node: (r.n, r.importance) for r in sitetree.importance(sitetree.style_nodes(rows)).collect()}
+
+
+def test_entropy_alone_removes_what_repeats(spark):
+    pages = site()
+    known = {k: v for k, (_, v) in importance_of(spark, [p for p, _ in pages]).items()}
+    for html, body in pages:
+        alone = sitetree.kept(html, known, judge=lambda *_: 1.0)
+        # Names say nothing here: what repeats goes by entropy, and the links, whose words differ each time, with the evidence of links.
+        assert alone[-len(body) :] == body and not {"We sell best.", "Imprint here"} & set(alone)
+        assert sitetree.kept(html, known) == body
+        assert sitetree.kept(html, {}, judge=lambda *_: 1.0) != alone
+
+
+def test_importance_by_plain_counts(spark):
+    pages = [p for p, _ in site(6)]
+    pages += pages[:2]
+    found = importance_of(spark, pages)
+    seen = {}
+    for page, nodes in {sitetree.styled(p)[0]: sitetree.styled(p)[1] for p in pages}.items():
+        for node, *features in nodes:
+            seen.setdefault(node, {})[page] = features
+    assert found.keys() == seen.keys()
+    for node, rows in seen.items():
+        n, h = len(rows), 0.0
+        for share, values in zip((sitetree.CONTENT, sitetree.ARRANGED, sitetree.LENGTH), zip(*rows.values(), strict=True), strict=True):
+            p = np.unique(values, return_counts=True)[1] / n
+            h += share * (1.0 if n == 1 else float(-(p * np.log(p)).sum() / np.log(n)))
+        assert found[node][0] == n and np.isclose(found[node][1], 1 - (1 - h) * (n - 1) / (n + 1))
+
+
+def test_names_do_not_take_the_article(spark):
+    text = "One two three four five six seven."
+    for wrapper in ("<div class='layout has-sidebar'>", "<div class='page no-comments'>", "<form action=x>", "<div class=sidebar-layout>"):
+        html = f"<body>{wrapper}<h1>Head</h1><p>{text}</p></div></body>"
+        assert sitetree.kept(html, {}) == ["Head", text]
+    html = f"<body><article class=teaser>Short</article><div><p>{text * 5}</p></div><div class=comments><p>{'no ' * 400}</p></div></body>"
+    assert sitetree.kept(html, {}) == ["Short", text * 5]
+
+
+def test_pages_with_odd_rows(spark):
+    deep = "<div>" * 5_000 + "deep" + "</div>" * 5_000
+    rows = [(None, None, None, 1, "a"), (7, "http://h/1", "<p>a</p>" * 20_000, 2, "b"), (7, "http://h/1", "<p>a</p>" * 20_000, 2, "b"), (8, "http://h/2", deep, 3, "c"), (None, "http://h/3", "\ud800".encode("utf-16", "surrogatepass").decode("utf-16", "replace"), 3, "c")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, nodes int, host string")
+    out = sitetree.main_text(frame).collect()
+    assert len(out) == 5 and sorted(r.n_chars for r in out)[-3:] == [4, 39_999, 39_999]
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     rows = [(i, f"http://c.example/{i}", "<article><h1>One</h1><p>Text</p></article>") for i in range(30)]
     out = sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -93,14 +155,18 @@ def test_audio_holds_every_byte(docs, nothing):
         data = texts[r.doc_id]
         want = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
         assert bytes(r.payload) == want and audio.from_wav(bytes(r.media)) == (want, audio.RATE) and r.n_bytes == len(data)
-        assert len(r.tensors) == -(-r.frames // audio.TENSOR) and all(len(t) == audio.TENSOR * audio.BANDS for t in r.tensors)
+        mel, times = audio.from_tensors(bytes(r.tensors))
+        assert mel.shape == (r.frames, audio.BANDS) and len(times) == -(-r.frames // audio.TENSOR) and times[0][0] == 0
+        assert all(a[1] == b[0] for a, b in zip(times, times[1:], strict=False)) and np.allclose(mel.mean(0), r.means, atol=1e-4) and np.allclose(mel.std(0), r.deviations, atol=1e-4)
+        # Every resampled sample lies in a frame.
+        assert (r.frames - 1) * audio.HOP + audio.FRAME >= -(-len(want) * audio.UP // audio.DOWN)
         assert all(0 <= s.start < s.end for s in r.spans)
         key = hashlib.sha256(want).hexdigest()
         assert seen.setdefault(key, r.tensors) == r.tensors
     assert audio.audio_features(nothing).count() == 0
 
 
-@pytest.mark.parametrize(("up", "down"), [(1, 2), (3, 2), (2, 3), (1, 1)])
+@pytest.mark.parametrize(("up", "down"), [(1, 2), (3, 2), (2, 3), (1, 1), (3, 4)])
 def test_resampling_is_filtering_between_zeros(up, down):
     x = np.random.default_rng(1).normal(size=200).astype(np.float32)
     taps = 16
@@ -110,6 +176,35 @@ def test_resampling_is_filtering_between_zeros(up, down):
     assert np.allclose(audio.resample(x, up, down, taps)[: len(want)], want, atol=1e-4)
 
 
+def test_log_mel_by_plain_loops():
+    x = np.random.default_rng(2).normal(size=500).astype(np.float32)
+    mel, energy = audio.log_mel(x, 6000)
+    padded = np.concatenate([x, np.zeros(128)])
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + 3000 / 700), audio.BANDS + 2)]
+    assert len(mel) == 7
+    for i, row in enumerate(mel):
+        part = padded[i * 64 : i * 64 + 128] * np.hanning(128)
+        power = [abs(sum(part[k] * np.exp(-2j * np.pi * k * f / 128) for k in range(128))) ** 2 for f in range(65)]
+        want = []
+        for a, b, c in zip(edges, edges[1:], edges[2:], strict=False):
+            want.append(sum(p * max(0, min((f * 6000 / 128 - a) / (b - a), (c - f * 6000 / 128) / (c - b))) for f, p in enumerate(power)))
+        assert np.allclose(row, np.log(np.array(want) + 1e-6), atol=1e-2) and np.isclose(energy[i], np.log((part**2).sum() + 1e-6), atol=1e-3)
+
+
+def test_segments_by_a_walk():
+    energy = np.array([0, 0, 3, 1, 9, 9, 2.6, 0, 3, 3, 0, 8, 0], float)
+    mean, spread = energy.mean(), energy.std()
+    want, start, loud = [], None, False
+    for i, e in enumerate([*energy, -99]):
+        if e > mean + audio.CLOSE * spread:
+            start, loud = i if start is None else start, loud or e > mean + audio.OPEN * spread
+        else:
+            if start is not None and loud:
+                want.append((start, i))
+            start, loud = None, False
+    assert want and audio.segments(energy) == want
+
+
 def test_words_of_the_whole_corpus_have_vectors(spark):
     rng, rows = random.Random(6), []
     for i, (t, _) in enumerate(labelled(7, 120)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, shared_dir
@@ -51,20 +51,25 @@ def learns(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
-    """Texts and labels of at most `per_class` rows of either class, none of them held out.
+#: Bytes of the texts that a model is fitted on, of either label, at most.
+SAMPLE_BYTES = 12_000_000
 
-    The rows are those of smallest hash, so the sample does not depend on partitioning.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label): at most `per_class` rows and `most` bytes of text of either class, none of them held out.
+
+    Labelled documents that are among `docs` come in the order of a hash of their id, so the sample does not
+    depend on partitions; a class ends before the row that takes it above `most` bytes. Rows without id,
+    text or a label of 0 or 1 aren't taken. Of an id's texts and labels the smallest count. Empty tables give none.
     """
-    ids = None
+    known = labels.filter(F.col(label).isin(0, 1) & learns(F.col("doc_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.min(label).cast("int").alias("label"))
+    sizes = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size"))
+    found = sizes.join(known, "id").groupBy("id", "label").agg(F.max("size").alias("size")).withColumn("at", F.md5(F.concat(F.lit("fit"), F.col("id").cast("string"))))
+    first = None
     for value in (0, 1):
-        part = (
-            labels.filter((F.col(label) == value) & learns(F.col("doc_id")))
-            .select("doc_id", F.col(label).alias("label"), F.md5(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))).alias("at"))
-            .orderBy("at")
-            .limit(per_class)
-            .select("doc_id", "label")
-        )
-        ids = part if ids is None else ids.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.col("text").isNotNull())
-    return [(r.text, int(r.label)) for r in sorted(rows.select("doc_id", "text", "label").collect(), key=lambda r: (r.doc_id, r.text))]
+        part = found.filter(F.col("label") == value).orderBy("at", "id").limit(per_class)
+        first = part if first is None else first.unionByName(part)
+    upto = F.sum("size").over(Window.partitionBy("label").orderBy("at", "id"))
+    ids = checkpointed(first.withColumn("upto", upto).filter(F.col("upto") <= most).select("id", "label"))
+    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id")
+    return rows.groupBy("id", "label").agg(F.min("text").alias("text")).select(F.col("id").alias("doc_id"), "text", "label")

@@ -15,11 +15,12 @@ from operator import eq, itemgetter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, labelled_sample, learns, shared_dir, small, stored
+from .common import BROADCAST_ROWS, labelled_sample, learns, shared_dir, stored
 from .tokens import forget, slices
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -168,15 +169,23 @@ class Rows(dict):
 
 @dataclass
 class Quality:
-    """Words, the network's weights, the temperature of its output, and the stored table of words beyond those held here."""
+    """Words (or their broadcast), the network's weights, the temperature of its output, and the stored table of words beyond those held here."""
 
-    words: Words
+    held: Words | Broadcast
     mean: np.ndarray
     spread: np.ndarray
     layers: list[np.ndarray]
     heat: float = 1.0
     rest: str | None = None
 
+    @property
+    def words(self) -> Words:
+        return self.held.value if isinstance(self.held, Broadcast) else self.held
+
+    def sent(self, spark: SparkSession) -> Quality:
+        """The same with its words broadcast, so that tasks get them once and the driver need not keep them."""
+        return self if isinstance(self.held, Broadcast) else replace(self, held=spark.sparkContext.broadcast(self.held))
+
     def state(self, tokens: list[str], look: Rows) -> np.ndarray:
         """Sums of a document's word vectors and of their squares, how often its words repeat, and its length."""
         if not tokens:
@@ -195,7 +204,7 @@ class Quality:
 
     def features(self, states: np.ndarray) -> np.ndarray:
         """Mean and deviation of word vectors, repeated words and length, for each row of states."""
-        s = states.reshape(-1, STATE).astype(np.float64)
+        s = np.asarray(states, np.float64).reshape(-1, STATE)
         again, fresh, size = s[:, -3], s[:, -2], s[:, -1]
         share = 1 / np.maximum(size, 1)[:, None]
         mean = s[:, :DIMS] * share
@@ -293,32 +302,48 @@ def learned(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keyed(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and vectors of some words of the stored table, on the driver."""
-    rows = df.select("key", "vector").toArrow()
-    return rows["key"].to_numpy(), np.frombuffer(b"".join(rows["vector"].to_pylist()), np.int8).reshape(-1, DIMS)
+    """Keys and vectors of some words of the stored table, on the driver; they come as a few large rows."""
+
+    def run(batches):
+        keys, vectors = [], []
+        for b in batches:
+            keys.append(b.column(0).to_numpy().tobytes())
+            vectors += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(keys)], pa.binary()), pa.array([b"".join(vectors)], pa.binary())], ["keys", "vectors"])
+
+    rows = df.select("key", "vector").mapInArrow(run, "keys binary, vectors binary").collect()
+    keys = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r["keys"], np.int64) for r in rows)])
+    return keys, np.concatenate([np.empty((0, DIMS), np.int8), *(np.frombuffer(r.vectors, np.int8).reshape(-1, DIMS) for r in rows)])
+
+
+def fit(sample: list[tuple[str, int]]) -> Quality:
+    """A model from a few texts with labels, in one process: word vectors are those of the sample itself."""
+    seen, classes = Seen(), {}
+    seen.add([t for t, _ in sample])
+    own, _, vectors = finished(*seen.totals(), classes)
+    model = untrained(Words.of(classes, np.array([word_key(w) for w in own], np.int64), vectors))
+    look = Rows(model.words)
+    return trained(model, np.array([model.state(TOKEN.findall(t), look) for t, _ in sample]), np.array([label for _, label in sample], float))
 
 
-def fit(sample: list[tuple[str, int]], share: float | None = None, epochs: int = 40, seed: int = 5, words: Words | None = None) -> Quality:
-    """Network and temperature from texts with labels; a fifth is held back to stop and to calibrate.
+def untrained(words: Words) -> Quality:
+    return Quality(words, np.zeros(WIDTH), np.ones(WIDTH), [np.zeros((WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)])
+
+
+def trained(model: Quality, states: np.ndarray, y: np.ndarray, share: float | None = None, epochs: int = 40, seed: int = 5) -> Quality:
+    """Network and temperature from states of documents and their labels; a fifth is held back to stop and to calibrate.
 
     share: of label 1 among all labelled documents, to which the sample is weighted; None: as in the sample.
-    words: vectors of all words of the sample; None: they are learned from the sample itself.
+    Labels of one class alone give a constant score on its side of a half, no labels a half.
     """
-    if words is None:
-        seen, classes = Seen(), {}
-        seen.add([t for t, _ in sample])
-        own, _, vectors = finished(*seen.totals(), classes)
-        words = Words.of(classes, np.array([word_key(w) for w in own], np.int64), vectors)
-    model = Quality(words, np.zeros(WIDTH), np.ones(WIDTH), [])
-    look = Rows(words)
-    x = model.features(np.array([model.state(TOKEN.findall(t), look) for t, _ in sample]))
-    y = np.array([label for _, label in sample], float)
+    model = replace(model)
+    x = model.features(states)
     rng = np.random.default_rng(seed)
     layers = [rng.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     model.layers = layers
     if len(set(y.tolist())) < 2:
-        model.layers[2][:] = 0
-        model.layers[3][:] = 3.0 * (2 * y.mean() - 1) if len(y) else 0.0
+        layers[2][:] = 0
+        layers[3][:] = 3.0 * (2 * y.mean() - 1) if len(y) else 0.0
         return model
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-3
     share = y.mean() if share is None else share
@@ -358,55 +383,71 @@ def score(docs: DataFrame, model: Quality, key: str = "doc_id", text: str = "tex
 
     Nothing but the text enters a score. An empty table gives an empty result.
     """
+    model = model.sent(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if model.rest:
         return scored(rows, model, "text", keep=["doc_id"]).select("doc_id", "score")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        forget()
-        model = sent.value
-        look = Rows(model.words)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts, 1_500_000):
-                x = np.array([model.state(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(model.scores(x), pa.float64())], ["doc_id", "score"])
+        for b, x in pooled(batches, model, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x), pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def good_rows(docs: DataFrame, model: Quality, limit: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of `docs` whose text scores `limit` or more, with all their columns."""
+    """The rows of `docs` whose text scores `limit` or more, with all their columns; null texts count as empty."""
+    model, at = model.sent(docs.sparkSession), docs.columns.index(text)
     if model.rest:
         return scored(docs, model, text, keep=docs.columns).filter(F.col("score") >= limit).select(*docs.columns)
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
-        forget()
-        model = sent.value
-        look = Rows(model.words)
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            for lo, hi in slices(texts, 1_500_000):
-                x = np.array([model.state(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
-                yield b.slice(lo, hi - lo).filter(pa.array(model.scores(x) >= limit, pa.bool_()))
+        for b, x in pooled(batches, model, at):
+            yield b.filter(pa.array(model.scores(x) >= limit, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def pooled(batches, model: Quality, at: int):
+    """Slices of the batches with the state of each text in column `at`, by the words that go with the model."""
+    forget()
+    look = Rows(model.words)
+    for b in batches:
+        texts = b.column(at).to_pylist()
+        for lo, hi in slices(texts, 1_500_000):
+            yield b.slice(lo, hi - lo), np.array([model.state(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
+
+
 def scored(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> DataFrame:
-    """Columns `keep` of `docs` with `score`, for a vocabulary that is more than may be broadcast.
+    """Columns `keep` of `docs` with `score`, for a vocabulary that is more than may be broadcast."""
+
+    def run(batches):
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.float64).reshape(-1, STATE)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(x), pa.float64())], [*keep, "score"])
+
+    states = states_of(docs, model, text, keep)
+    return states.mapInArrow(run, T.StructType([*states.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+
+
+def states_of(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> DataFrame:
+    """Columns `keep` of `docs` with `quality_state`, the state of each text by all words, as 64-bit numbers.
 
     The words of the model are summed where the text is; each other word counts as its class first and is
     sent, with its count, to the stored table, whose vectors come back as differences to be added.
     """
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
-    places = [docs.columns.index(c) for c in keep]
+    at, places = docs.columns.index(text), [docs.columns.index(c) for c in keep]
+
+    def plain(batches):
+        for b, x in pooled(batches, model, at):
+            yield pa.RecordBatch.from_arrays([*(b.column(p) for p in places), pa.array([s.tobytes() for s in x.astype(np.float64)], pa.binary())], [*keep, "quality_state"])
+
+    if not model.rest:
+        return docs.mapInArrow(plain, T.StructType([*(docs.schema[p] for p in places), T.StructField("quality_state", T.BinaryType())]))
 
     def states(batches):
         forget()
-        model, part, row = sent.value, TaskContext.get().partitionId() << 40, 0
+        part, row = TaskContext.get().partitionId() << 40, 0
         look = Rows(model.words)
         for b in batches:
             texts = b.column(at).to_pylist()
@@ -419,7 +460,7 @@ def scored(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> DataF
                 yield pa.RecordBatch.from_arrays([*columns, *(b.column(p).slice(lo, hi - lo) for p in places)], names)
 
     def totals(batches):
-        model = sent.value
+        vectors = model.words.vectors
 
         def parts():
             for b in batches:
@@ -429,29 +470,30 @@ def scored(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> DataF
                 m[whole] = np.frombuffer(b"".join([s for s in state if s is not None]), np.float32).reshape(-1, STATE)
                 if not whole.all():
                     v = np.frombuffer(b"".join([x for x in vector if x is not None]), np.int8).reshape(-1, DIMS) / STEPS
-                    c = model.words.vectors[[x for x in of if x is not None]] / STEPS
+                    c = vectors[[x for x in of if x is not None]] / STEPS
                     times = np.array([x for x in n if x is not None], float)[:, None]
                     m[~whole, : 2 * DIMS] = np.concatenate([times * (v - c), times * (v * v - c * c)], axis=1)
                 yield b.column(0).to_pylist(), m
 
         for ids, m in summed(parts(), STATE):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.scores(m), pa.float64())], ["quality_row", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in m], pa.binary())], ["quality_row", "quality_state"])
 
-    names = ["quality_row", "quality_state", "quality_keys", "quality_counts", "quality_classes", *keep]
-    schema = T.StructType([*T._parse_datatype_string("quality_row long, quality_state binary, quality_keys array<long>, quality_counts array<long>, quality_classes array<int>").fields, *(docs.schema[p] for p in places)])
+    names = ["quality_row", "quality_own", "quality_keys", "quality_counts", "quality_classes", *keep]
+    schema = T.StructType([*T._parse_datatype_string("quality_row long, quality_own binary, quality_keys array<long>, quality_counts array<long>, quality_classes array<int>").fields, *(docs.schema[p] for p in places)])
     kept = stored(docs.mapInArrow(states, schema), "quality-states")
     tails = kept.select("quality_row", F.explode(F.arrays_zip("quality_keys", "quality_counts", "quality_classes")).alias("t")).select("quality_row", F.col("t.quality_keys").alias("key"), F.col("t.quality_counts").alias("n"), F.col("t.quality_classes").alias("of"))
     rest = docs.sparkSession.read.parquet(model.rest).filter("not class").select("key", "vector")
     found = tails.join(rest, "key").select("quality_row", F.lit(None).cast("binary").alias("state"), "n", "of", "vector")
-    own = kept.select("quality_row", F.col("quality_state").alias("state"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("int").alias("of"), F.lit(None).cast("binary").alias("vector"))
-    sums = own.unionByName(found).repartition("quality_row").sortWithinPartitions("quality_row").mapInArrow(totals, "quality_row long, score double")
-    return kept.select("quality_row", *keep).join(sums, "quality_row").select(*keep, "score")
+    own = kept.select("quality_row", F.col("quality_own").alias("state"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("int").alias("of"), F.lit(None).cast("binary").alias("vector"))
+    sums = own.unionByName(found).repartition("quality_row").sortWithinPartitions("quality_row").mapInArrow(totals, "quality_row long, quality_state binary")
+    return kept.select("quality_row", *keep).join(sums, "quality_row").select(*keep, "quality_state")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held: int = HELD) -> Quality:
-    """Word vectors from all of `docs`, and a network from at most `per_class` labelled documents of either class, none of them held out.
+    """Word vectors from all of `docs`, and a network from at most `per_class` labelled documents of either class (and SAMPLE_BYTES of them), none of them held out.
 
-    Up to `held` of the most frequent words go with the model; the others stay in the stored table.
+    Up to `held` of the most frequent words go with the model; the others stay in the stored table. Of the
+    sample only the states, of STATE numbers each, come to the driver.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/quality-words-{uuid.uuid4().hex}"
@@ -467,15 +509,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held:
         if size > held:
             least = r.n + 1
             break
-    keys, vectors = keyed(own.filter(F.col("n") >= least))
-    words = Words.of(classes, keys, vectors)
-    sample = labelled_sample(docs, labels, "quality", per_class)
+    model = untrained(Words.of(classes, *keyed(own.filter(F.col("n") >= least)))).sent(spark)
+    model.rest = path if size > held else None
+    sample = states_of(labelled_sample(docs, labels, "quality", per_class), model, "text", keep=["doc_id", "label"]).collect()
+    sample.sort(key=lambda r: r.doc_id)
     known = labels.filter(learns(F.col("doc_id")) & F.col("quality").isin(0, 1))
-    whole = words
-    if size > held:
-        asked = sorted({word_key(t) for text, _ in sample for t in TOKEN.findall(text)}.difference(keys.tolist()))
-        asked = spark.createDataFrame(pa.table({"key": pa.array(asked, pa.int64())}))
-        more = keyed(own.join(small(asked), "key"))
-        whole = Words.of(classes, np.concatenate([keys, more[0]]), np.concatenate([vectors, more[1]]))
-    model = fit(sample, known.agg(F.avg("quality")).first()[0], words=whole)
-    return replace(model, words=words, rest=path if size > held else None)
+    states = np.frombuffer(b"".join([r.quality_state for r in sample]), np.float64)
+    return trained(model, states, np.array([r.label for r in sample], float), known.agg(F.avg("quality")).first()[0])

@@ -412,10 +412,15 @@ def pooled(batches, model: Quality, at: int):
     """Slices of the batches with the state of each text in column `at`, by the words that go with the model."""
     forget()
     look = Rows(model.words)
-    for b in batches:
-        texts = b.column(at).to_pylist()
-        for lo, hi in slices(texts, 1_500_000):
-            yield b.slice(lo, hi - lo), np.array([model.state(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
+    try:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for lo, hi in slices(texts, 1_500_000):
+                yield b.slice(lo, hi - lo), np.array([model.state(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
+    finally:
+        # Workers are used again by other operators, which need the room; the next task reads the words anew.
+        if isinstance(model.held, Broadcast):
+            vars(model.held).pop("_value", None)
 
 
 def scored(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> DataFrame:

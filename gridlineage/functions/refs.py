@@ -186,4 +186,8 @@ def _relative_ref(sheet: Column, p: Column, row: Column, col: Column) -> Column:
     out = F.when(sheet.isNull(), out).otherwise(F.concat(quote_sheet(sheet), F.lit("!"), out))
     full = (g(2) != "") | (g(4) != "")
     whole = (g(5) == ":") & full & ((g(7) != "") | (g(9) != ""))
-    return F.when(p["ok"] & (whole | ((g(5) == "") & (g(2) != "") & (g(4) != ""))), out)
+    fits = F.lit(True)
+    for k in (1, 6):
+        fits &= (F.length(g(k + 1)) < 3) | (col_to_num(g(k + 1)) <= MAX_COL)
+        fits &= (F.length(g(k + 3)) < 7) | (g(k + 3).cast("int") <= MAX_ROW)
+    return F.when(p["ok"] & (whole | ((g(5) == "") & (g(2) != "") & (g(4) != ""))) & fits, out)

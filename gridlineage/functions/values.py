@@ -6,11 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VALUE = "struct<kind: string, n: double, s: string, b: boolean, err: string>"
-#: Error kinds and their texts.
-ERRORS = {"Div": "#DIV/0!", "Na": "#N/A", "Name": "#NAME?", "Num": "#NUM!", "Null": "#NULL!", "Ref": "#REF!", "Value": "#VALUE!", "Spill": "#SPILL!", "Calc": "#CALC!"}
+#: The errors that a cell can show.
+ERRORS = ("#CALC!", "#DIV/0!", "#N/A", "#NAME?", "#NULL!", "#NUM!", "#REF!", "#SPILL!", "#VALUE!")
 NUMERAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
-#: Kinds that stand for no value at all.
-UNCOMPUTED = ("NImpl", "Cancelled", "Circ")
 
 
 def _value(kind: str, n=None, s=None, b=None, err=None) -> Column:
@@ -42,11 +40,6 @@ def uncomputed() -> Column:
     return _value("uncomputed")
 
 
-def error_text(kind: Column) -> Column:
-    """Text of an error kind; null for kinds that are no value."""
-    return F.create_map(*[F.lit(x) for pair in ERRORS.items() for x in pair])[kind]
-
-
 def as_text(v: Column) -> Column:
     """A value as the & operator joins it: whole numbers without a fraction, TRUE and FALSE, blank as nothing."""
     whole = F.when((v["n"] == F.floor(v["n"])) & (F.abs(v["n"]) < 1e15), v["n"].cast("long").cast("string")).otherwise(v["n"].cast("string"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shortened, token_estimate
+from ..session import checkpointed
 from .graph import neighbours
 
 NODE_CHARS, CODE_CHARS, TOP_PATTERNS = 6000, 2500, 20
@@ -29,11 +30,21 @@ def top_patterns(patterns: DataFrame, most: int = TOP_PATTERNS) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, tokens: Column, order: list[str], budget: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows in order as long as what was spent before is below the budget; the last one may pass it."""
+    """Rows in order as long as what was spent before is below the budget; the last one may pass it.
+
+    Rows are sorted in ranges of groups and order; sums of ranges, not rows, are cumulated, so a group that
+    holds most rows is summed by many tasks.
+    """
     if budget <= 0:
         raise ValueError("the budget must be positive")
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("tokens", tokens).withColumn("spent", F.coalesce(F.sum("tokens").over(w), F.lit(0))).filter(F.col("spent") < budget)
+    keys = [*by, *order]
+    ranged = checkpointed(rows.withColumn("tokens", tokens).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_part").agg(F.sum("tokens").alias("_n"))
+    before = checkpointed(sums.select(*by, "_part", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")).alias("_base")))
+    # Ranges that begin beyond the budget have no row to keep.
+    joined = ranged.join(before.filter(F.col("_base") < budget), [*by, "_part"])
+    w = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.withColumn("spent", F.col("_base") + F.coalesce(F.sum("tokens").over(w), F.lit(0))).filter(F.col("spent") < budget).drop("_part", "_base")
 
 
 def usage(requests: DataFrame) -> DataFrame:
@@ -45,7 +56,8 @@ def usage(requests: DataFrame) -> DataFrame:
 def documented(dossiers: DataFrame, provider, budget_chars: int = NODE_CHARS) -> DataFrame:
     """(workbook_id, id, doc, error): a provider (a function from prompt to text) asked for each dossier.
 
-    Calls run in tasks; one that fails leaves an error in its row and the others go on.
+    Calls run in tasks; one that fails leaves an error in its row and the others go on. A dossier above
+    `budget_chars` is an error too: `node_dossiers` sheds parts before, and half of a JSON text says nothing.
     """
     import pyarrow as pa
 
@@ -54,7 +66,9 @@ def documented(dossiers: DataFrame, provider, budget_chars: int = NODE_CHARS) ->
             docs, errors = [], []
             for prompt in b.column(2).to_pylist():
                 try:
-                    docs.append(str(provider(prompt[:budget_chars])))
+                    if len(prompt) > budget_chars:
+                        raise ValueError(f"dossier of {len(prompt)} characters")
+                    docs.append(str(provider(prompt)))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001  a provider may raise anything
                     docs.append(None)

@@ -191,7 +191,7 @@ def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part = ranged.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    part = checkpointed(ranged.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}))
     counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
     return part.join(F.broadcast(before), "_part").withColumn("at", F.col("_base") + F.col("_at") + 1).drop("_id", "_part", "_at", "_base")
@@ -306,19 +306,19 @@ def customer_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return nodes, link(nation, "region", "n_regionkey", "nation", "n_nationkey").unionByName(link(customer, "nation", "c_nationkey", "customer", "c_custkey"))
 
 
-@query("SELECT 'nation:' || c_nationkey AS id, n_name AS label, 'customer:' || c_custkey AS of FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 = 3")
+@query("SELECT 'nation:' || c_nationkey AS id, n_name AS label, 'customer:' || c_custkey AS of FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def precedents(spark, sf_dir):
     """Nodes one step before others."""
     nodes, e = customer_graph(spark, sf_dir)
-    of = read(spark, sf_dir, "customer").filter("c_custkey % 7 = 3").select(F.lit("tables").alias("workbook_id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    of = read(spark, sf_dir, "customer").select(F.lit("tables").alias("workbook_id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
     return graph.precedents(nodes, e, of).select("id", "label", "of")
 
 
-@query("SELECT 'customer:' || c_custkey AS id, c_name AS label, 'nation:' || c_nationkey AS of FROM customer WHERE c_nationkey < 5")
+@query("SELECT 'customer:' || c_custkey AS id, c_name AS label, 'nation:' || c_nationkey AS of FROM customer")
 def dependents(spark, sf_dir):
     """Nodes one step behind others."""
     nodes, e = customer_graph(spark, sf_dir)
-    of = read(spark, sf_dir, "nation").filter("n_nationkey < 5").select(F.lit("tables").alias("workbook_id"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"))
+    of = read(spark, sf_dir, "nation").select(F.lit("tables").alias("workbook_id"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"))
     return graph.dependents(nodes, e, of).select("id", "label", "of")
 
 
@@ -414,6 +414,34 @@ def eval_ranges(spark, sf_dir):
     return wide.select(F.round(v(1), 2).alias("total"), F.round(v(2), 2).alias("mean"), v(3).alias("numbers"), v(4).alias("filled"), v(5).alias("low"), v(6).alias("high"))
 
 
+@query("""
+    SELECT CAST(o_orderkey + 2 AS INT) AS "row", round(sum(o_totalprice) OVER w, 2) AS balance, CAST(count(*) OVER w AS DOUBLE) AS steps FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)
+""")
+def eval_running(spark, sf_dir):
+    """A running balance and a counter, which read the cell above them."""
+    from .operators.evaluate import evaluate
+
+    orders = read(spark, sf_dir, "orders")
+    row = F.col("o_orderkey") + 2
+    above = lambda c: F.concat(F.lit(f"={c}"), (row - 1).cast("string"))
+    f = sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: F.concat(above("G"), F.lit("+D"), row.cast("string")), 8: F.concat(above("H"), F.lit("+1"))})
+    wide = evaluate(f, sheets.sheet_cells(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "o_orderkey")).groupBy("row").pivot("col", [7, 8]).agg(F.first("value"))
+    return wide.select("row", F.round(F.col("`7`")["n"], 2).alias("balance"), F.col("`8`")["n"].alias("steps"))
+
+
+@query("""
+    SELECT CAST(o_orderkey + 2 AS INT) AS "row", round(sum(o_totalprice) OVER w, 2) AS total, max(o_totalprice) OVER w AS high FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)
+""")
+def eval_running_sums(spark, sf_dir):
+    """Sums and maxima of ever longer ranges down a column."""
+    from .operators.evaluate import evaluate
+
+    orders = read(spark, sf_dir, "orders")
+    f = sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: "=SUM(D$2:D{r})", 8: "=MAX(D$2:D{r})"})
+    wide = evaluate(f, sheets.sheet_cells(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "o_orderkey")).groupBy("row").pivot("col", [7, 8]).agg(F.first("value"))
+    return wide.select("row", F.round(F.col("`7`")["n"], 2).alias("total"), F.col("`8`")["n"].alias("high"))
+
+
 @query("SELECT o_orderkey, c_acctbal AS n, CASE WHEN c_custkey IS NULL THEN '#N/A' END AS err FROM orders LEFT JOIN customer ON c_custkey = o_custkey + 200")
 def eval_vlookup(spark, sf_dir):
     """A column of exact lookups, missing keys as #N/A."""
@@ -546,27 +574,26 @@ def mismatch_cap(spark, sf_dir):
 
 
 @query("""
-    WITH c AS (SELECT p_partkey + 2 AS r, unnest([1, 2, 3, 4, 5, 6]) AS c, unnest([p_size % 2 = 0, true, p_size % 3 = 0, true, p_size % 5 = 0, true]) AS t FROM part WHERE p_partkey < 28),
-         i AS (SELECT r, c, c - row_number() OVER (PARTITION BY r ORDER BY c) AS g FROM c WHERE t), g AS (SELECT r, min(c) AS a, max(c) AS b FROM i GROUP BY r, g)
-    SELECT CAST(r AS INT) AS "row", a AS first_col, b AS last_col FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY b - a DESC, a) AS rn FROM g) WHERE rn = 1
+    WITH c AS (SELECT p_partkey // 28 AS k, p_partkey % 28 + 2 AS r, unnest([1, 2, 3, 4, 5, 6]) AS c, unnest([p_size % 2 = 0, true, p_size % 3 = 0, true, p_size % 5 = 0, true]) AS t FROM part),
+         i AS (SELECT k, r, c, c - row_number() OVER (PARTITION BY k, r ORDER BY c) AS g FROM c WHERE t), g AS (SELECT k, r, min(c) AS a, max(c) AS b FROM i GROUP BY k, r, g)
+    SELECT 'part' || k AS sheet, CAST(r AS INT) AS "row", a AS first_col, b AS last_col FROM (SELECT *, row_number() OVER (PARTITION BY k, r ORDER BY b - a DESC, a) AS rn FROM g) WHERE rn = 1
 """)
 def static_runs(spark, sf_dir):
-    """The longest run of texts in each row."""
-    part = read(spark, sf_dir, "part").filter("p_partkey < 28")
-    size = F.col("p_size")
+    """The longest run of texts in each row of each sheet's corner; a sheet holds 28 parts."""
+    part, size, key = read(spark, sf_dir, "part"), F.col("p_size"), F.col("p_partkey")
     cell = lambda c, t: F.struct(F.lit(c).alias("col"), F.when(t, V.text(F.lit("x"))).otherwise(V.number(F.lit(1))).alias("value"))
-    rows = part.select((F.col("p_partkey") + 2).cast("int").alias("row"), F.explode(F.array(cell(1, size % 2 == 0), cell(2, F.lit(True)), cell(3, size % 3 == 0), cell(4, F.lit(True)), cell(5, size % 5 == 0), cell(6, F.lit(True)))).alias("x"))
-    return tables.text_runs(rows.select(F.lit("tables").alias("workbook_id"), F.lit("part").alias("sheet"), "row", "x.*")).select("row", "first_col", "last_col")
+    rows = part.select(F.lit("tables").alias("workbook_id"), F.concat(F.lit("part"), F.floor(key / 28).cast("string")).alias("sheet"), (key % 28 + 2).cast("int").alias("row"), F.explode(F.array(cell(1, size % 2 == 0), cell(2, F.lit(True)), cell(3, size % 3 == 0), cell(4, F.lit(True)), cell(5, size % 5 == 0), cell(6, F.lit(True)))).alias("x"))
+    return tables.text_runs(rows.select("workbook_id", "sheet", "row", "x.*")).select("sheet", "row", "first_col", "last_col")
 
 
 @query("""
     SELECT CAST(o_orderkey + 2 AS INT) AS "row", c AS col, t AS "table", CASE c WHEN 2 THEN 'Cust' WHEN 3 THEN 'Status' END AS "column", CAST(greatest(0, o_orderkey + 2 - h) AS INT) AS table_row
-    FROM (SELECT o_orderkey, unnest([2, 3]) AS c, CASE WHEN o_orderkey < 100 THEN 'First' ELSE 'Second' END AS t, CASE WHEN o_orderkey < 100 THEN 2 ELSE 50 END AS h FROM orders WHERE o_orderkey < 500)
+    FROM (SELECT o_orderkey, unnest([2, 3]) AS c, CASE WHEN o_orderkey < 100 THEN 'First' ELSE 'Second' END AS t, CASE WHEN o_orderkey < 100 THEN 2 ELSE 50 END AS h FROM orders)
 """)
 def table_tags(spark, sf_dir):
     """Cells with their table, the first of two that overlap."""
-    cells = sheets.sheet_cells(read(spark, sf_dir, "orders").filter("o_orderkey < 500"), "orders", "o_orderkey")
-    t = spark.createDataFrame([("tables", "orders", "First", 1, 2, 101, 2, 3, ["Cust", "Status"]), ("tables", "orders", "Second", 2, 50, 1000, 2, 3, ["Cust", "Status"])], "workbook_id string, sheet string, name string, ord int, header_row int, last_row int, first_col int, last_col int, headers array<string>")
+    cells = sheets.sheet_cells(read(spark, sf_dir, "orders"), "orders", "o_orderkey")
+    t = spark.createDataFrame([("tables", "orders", "First", 1, 2, 101, 2, 3, ["Cust", "Status"]), ("tables", "orders", "Second", 2, 50, 2**31 - 1, 2, 3, ["Cust", "Status"])], "workbook_id string, sheet string, name string, ord int, header_row int, last_row int, first_col int, last_col int, headers array<string>")
     return tables.tagged(cells, t).select("row", "col", "table", "column", "table_row")
 
 

@@ -3,6 +3,7 @@
 import zipfile
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,40 +25,45 @@ def book(path, sheets, names=""):
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{MAIN}"><sheetData>{rows}</sheetData></worksheet>')
 
 
+PLOTS = 60
+
+
 @pytest.fixture(scope="module")
 def lineage(spark, tmp_path_factory):
+    """A garden: plots with length and width, their area as a shared formula, and a report that reads areas and a named price."""
     folder = tmp_path_factory.mktemp("books")
-    sales = "".join(f'<row><c r="B{r}"><v>{r % 7 + 1}</v></c><c r="C{r}"><v>{10.5 + r % 13}</v></c>' + ('<c r="D2"><f t="shared" ref="D2:D101" si="0">B2*C2</f><v>1</v></c>' if r == 2 else f'<c r="D{r}"><f t="shared" si="0"/></c>') + "</row>" for r in range(2, 102))
-    summary = '<row><c r="B1"><f>SUM(Sales!D2:D101)</f></c></row><row><c r="B2"><f>ROUND(AVERAGE(Sales!D2:D101),2)</f></c></row><row><c r="B3"><f>IF(SUM(Sales!D2:D101)&gt;Goal,"OK","KO")</f></c></row>'
-    book(folder / "a.xlsx", {"Sales": sales, "Summary": summary, "Params": '<row><c r="A1"><v>5000</v></c></row>'}, "<definedName name='Goal'>Params!$A$1</definedName>")
-    (folder / "bad.xlsx").write_bytes(b"no workbook")
+    rows = []
+    for r in range(4, 4 + PLOTS):
+        area = '<c r="E4"><f t="shared" ref="E4:E63" si="3">C4*D4</f><v>5</v></c>' if r == 4 else f'<c r="E{r}"><f t="shared" si="3"/></c>'
+        rows.append(f'<row><c r="C{r}"><v>{2 + r % 5}</v></c><c r="D{r}"><v>{r / 4}</v></c>{area}</row>')
+    report = "".join(f"<row>{c}</row>" for c in ('<c r="A2"><f>MAX(Plots!E4:E63)</f></c>', '<c r="A3"><f>COUNT(Plots!E4:E63)*Price</f></c>', '<c r="A4"><f>IF(A2&gt;A3,"wide","narrow")&amp;"!"</f></c>'))
+    book(folder / "garden.xlsx", {"Plots": "".join(rows), "Report": report, "Prices": '<row><c r="F9"><v>1.5</v></c></row>'}, "<definedName name='Price'>Prices!$F$9</definedName>")
+    (folder / "broken.xlsx").write_bytes(b"no workbook")
     return analyze(spark, str(folder))
 
 
 def test_nodes_and_edges(lineage):
     nodes = {r.id: r for r in lineage.nodes.collect()}
-    assert set(nodes) == {"g:Sales!D2#100", "c:Summary!B1", "c:Summary!B2", "c:Summary!B3", "i:Sales!B2:B101", "i:Sales!C2:C101", "i:Params!A1", "n:Goal"}
+    plots, inputs = f"g:Plots!E4#{PLOTS}", ["i:Plots!C4:C63", "i:Plots!D4:D63"]
+    assert set(nodes) == {plots, *inputs, "c:Report!A2", "c:Report!A3", "c:Report!A4", "i:Prices!F9", "n:Price"}
     edges = {(r.src, r.dst, r.kind) for r in lineage.edges.collect()}
-    assert edges == {
-        ("g:Sales!D2#100", "c:Summary!B1", "dep"), ("g:Sales!D2#100", "c:Summary!B2", "dep"), ("g:Sales!D2#100", "c:Summary!B3", "dep"), ("i:Sales!B2:B101", "g:Sales!D2#100", "dep"), ("i:Sales!C2:C101", "g:Sales!D2#100", "dep"),
-        ("i:Params!A1", "n:Goal", "name"), ("n:Goal", "c:Summary!B3", "name"),
-    }
-    total = sum((r % 7 + 1) * (10.5 + r % 13) for r in range(2, 102))
-    assert nodes["c:Summary!B1"].value.n == pytest.approx(total) and nodes["c:Summary!B3"].value.s == "OK"
+    want = {(i, plots, "dep") for i in inputs} | {(plots, "c:Report!A2", "dep"), (plots, "c:Report!A3", "dep"), ("c:Report!A2", "c:Report!A4", "dep"), ("c:Report!A3", "c:Report!A4", "dep")}
+    assert edges == want | {("i:Prices!F9", "n:Price", "name"), ("n:Price", "c:Report!A3", "name")}
+    assert (nodes["c:Report!A2"].value.n, nodes["c:Report!A3"].value.n, nodes["c:Report!A4"].value.s) == (88.5, 90, "narrow!")
     assert {r.code for r in lineage.warnings.collect()} == {"values", "file"}
 
 
 def test_exports(lineage):
     assert "\\u003c" not in graph_json(lineage).first().graph
     html = pages(lineage).first().html
-    assert html.startswith("<!DOCTYPE html>") and "c:Summary!B1" in html and "base64" in iframe(html)
+    assert html.startswith("<!DOCTYPE html>") and "c:Report!A2" in html and "base64" in iframe(html)
     with pytest.raises(ValueError):
         pages(lineage, "xx")
 
 
 CASES = [
-    ("=1/0", "#DIV/0!"), ("=NA()", "#N/A"), ("=SQRT(-1)", "#NUM!"), ('="a"+1', "#VALUE!"), ("=NoSuchFunction(1)", "#NAME?"), ("=IFERROR(1/0,42)", 42.0), ("=IFERROR(Z9+1,7)", 1.0), ("=-2^2", 4.0), ("=10%*2", 0.2), ("=NOSHEET!A1", None),
-    ("=SUM(Z1:Z3 Z2:Z3)", None), ("=NOW()", None), ('=LEN("abc")&"x"&1.5&TRUE', "3x1.5TRUE"), ('="a"="A"', True), ('=1<"a"', True), ("=ROUND(-2.5,0)", -3.0), ('=CONCATENATE(3.0,"k")', "3k"), ("=IF(0,1)", False), ("=ISERROR(1/0)", True), ("=IFNA(1/0,1)", "#DIV/0!"),
+    ("=7/(3-3)", "#DIV/0!"), ("=NA()", "#N/A"), ("=SQRT(2-6)", "#NUM!"), ('=3*"cat"', "#VALUE!"), ("=Frobnicate(4)", "#NAME?"), ("=IFERROR(SQRT(0-1),-8)", -8.0), ("=IFERROR(Y8*2,5)", 0.0), ("=-3^2", 9.0), ("=25%*8", 2.0), ("=Nowhere!C3", None),
+    ("=SUM(W1:W4 W2:W6)", None), ("=RAND()", None), ('=LEN("green")&"/"&0.5&FALSE', "5/0.5FALSE"), ('="Tea"="tEA"', True), ('=99<"1"', True), ("=ROUND(-7.45,1)", -7.5), ('=CONCATENATE("no",6.0)', "no6"), ("=IF(1-1,3)", False), ("=ISERROR(LEN(4))", False), ("=IFNA(5/0,2)", "#DIV/0!"),
 ]
 
 
@@ -71,6 +77,65 @@ def test_formulas(spark):
         assert got == (pytest.approx(want) if isinstance(want, float) else want), f
 
 
+def test_knots(spark):
+    """Running balances, running sums, patterns that read each other, and real circles."""
+    n, rows, cells = 300, [], []
+    for r in range(2, n + 2):
+        cells.append(("w", "S", r, 1, float(r % 7)))
+        rows.append(("w", "S", r, 2, f"=B{r - 1}+A{r}" if r > 2 else "=A2"))
+        rows.append(("w", "S", r, 3, f"=SUM(A$2:A{r})"))
+        rows.append(("w", "S", r, 4, f'=IF(A{r}=0,0,IF(ISNUMBER(D{r - 1}),D{r - 1},0)+1)'))
+        rows.append(("w", "S", r, 5, f"=SUM(E$1:E{r - 1})+1"))
+        rows.append(("w", "S", r, 6, f"=G{r - 1}*2" if r > 2 else "=1"))
+        rows.append(("w", "S", r, 7, f"=MOD(F{r},5)+1"))
+    rows += [("w", "T", 1, 1, "=B1+1"), ("w", "T", 1, 2, "=A1+1"), ("w", "T", 1, 3, "=IFERROR(S!B5,0)"), ("w", "T", 1, 4, "=SUM(S!B2:C9)"), ("w", "T", 1, 5, "=LET(x,S!A3,y,x*2,x+y)")]
+    values = spark.createDataFrame(cells, "workbook_id string, sheet string, row int, col int, n double").withColumn("value", V.number(F.col("n")))
+    out = {(r.sheet, r.row, r.col): r.value for r in evaluate.evaluate(spark.createDataFrame(rows, "workbook_id string, sheet string, row int, col int, formula string"), values).collect()}
+    total, run, f, g, powers = 0, 0, None, None, []
+    for r in range(2, n + 2):
+        total, run = total + r % 7, run + 1 if r % 7 else 0
+        f = 1 if r == 2 else g * 2
+        g = f % 5 + 1
+        powers.append(sum(powers) + 1)
+        assert [out["S", r, c].n for c in range(2, 8)] == [total, total, run, pytest.approx(powers[-1]), f, g], r
+    assert [out["T", 1, c].kind for c in (1, 2)] == ["uncomputed"] * 2
+    assert [out["T", 1, c].n for c in (3, 4, 5)] == [2 + 3 + 4 + 5, 2 * sum(sum(k % 7 for k in range(2, r + 1)) for r in range(2, 10)), 9]
+
+
+def test_lookups_in_formulas(spark):
+    stock = [("pear", 3.0, "x"), ("fig", 5.0, "y"), ("Plum", 7.0, "x"), ("fig", 9.0, "z"), ("date", None, "x")]
+    cells = [("w", "S", r, c, v if c != 2 else None, v if c == 2 else None) for r, row in enumerate(stock, 2) for c, v in enumerate(row, 1) if v is not None]
+    frame = spark.createDataFrame(cells, "workbook_id string, sheet string, row int, col int, s string, n double")
+    values = frame.select("workbook_id", "sheet", "row", "col", F.when(F.col("s").isNull(), V.number(F.col("n"))).otherwise(V.text(F.col("s"))).alias("value"))
+    cases = [
+        ('=VLOOKUP("FIG",S!$A$2:$C$6,2,FALSE)', 5.0), ('=VLOOKUP("kiwi",S!A2:C6,2,0)', "#N/A"), ('=IFERROR(VLOOKUP("kiwi",S!A2:C6,2,0),-1)+1', 0.0), ('=VLOOKUP("date",S!A2:C6,2,FALSE)', 0.0), ('=VLOOKUP("fig",S!A2:C6,2)', None),
+        ('=XLOOKUP(7,S!B2:B6,S!A2:A6)&"!"', "Plum!"), ('=XLOOKUP(8,S!B2:B6,S!A2:A6,"none")', "none"), ('=MATCH("plum",S!A2:A6,0)', 3.0), ('=INDEX(S!A2:C6,MATCH("z",S!C2:C6,0),1)', "fig"), ("=INDEX(S!A2:A6,9)", "#REF!"), ('=INDEX(S!B2:B6,MATCH("kiwi",S!A2:A6,0))', "#N/A"),
+        ('=SUMIFS(S!B2:B6,S!A2:A6,"fig",S!C2:C6,"z")', 9.0), ('=SUMIF(S!A2:A6,"FIG",S!B2:B6)*2', 28.0), ('=COUNTIFS(S!C2:C6,"x")', 3.0), ('=COUNTIF(S!B2:B6,5)', 1.0), ('=SUMIFS(S!B2:B6,S!A2:A6,">a")', None), ("=SUMPRODUCT(S!B2:B6,S!B2:B6)", 164.0), ('=SUM(VLOOKUP("fig",S!A2:B6,2,FALSE),COUNTIF(S!A2:A6,"fig"))', 7.0),
+    ]
+    rows = [("w", "T", i, 1, f) for i, (f, _) in enumerate(cases, 1)]
+    out = {r.row: r.value for r in evaluate.evaluate(spark.createDataFrame(rows, "workbook_id string, sheet string, row int, col int, formula string"), values).collect()}
+    for i, (f, want) in enumerate(cases, 1):
+        v = out[i]
+        assert {"num": v.n, "text": v.s, "error": v.err}.get(v.kind) == want, f
+
+
+def test_long_chain_of_patterns(spark):
+    rows = [("w", "S", 1, c, f"={'ABCDEFGHIJKLMNOPQRSTUVWXYZ'[c - 2]}1+{c}") for c in range(2, 14)]
+    cells = spark.createDataFrame([("w", "S", 1, 1, 0.0)], "workbook_id string, sheet string, row int, col int, n double").withColumn("value", V.number(F.col("n")))
+    out = evaluate.evaluate(spark.createDataFrame(rows, "workbook_id string, sheet string, row int, col int, formula string"), cells).collect()
+    assert {r.col: r.value.n for r in out} == {c: sum(range(2, c + 1)) for c in range(2, 14)}
+
+
+def test_levels_and_knots_of_a_graph():
+    import numpy as np
+
+    edges = [(1, 2), (2, 3), (3, 2), (3, 4), (5, 5), (6, 4), (7, 6), (1, 6)]
+    found = evaluate.ordered(*(np.array(c) for c in zip(*edges, strict=True)))
+    assert {r.pid: (r.level, None if pd.isna(r.knot) else r.knot) for r in found.itertuples()} == {1: (0, None), 2: (1, 2), 3: (1, 2), 4: (2, None), 5: (0, 5), 6: (1, None), 7: (0, None)}
+    chain = evaluate.ordered(np.arange(50_000), np.arange(1, 50_001))
+    assert chain.level.tolist() == list(range(50_001)) and chain.knot.isna().all()
+
+
 def test_closure_ends_on_a_cycle(spark):
     edges = spark.createDataFrame([("w", "a", "b"), ("w", "b", "c"), ("w", "c", "a"), ("w", "c", "d")], "workbook_id string, src string, dst string")
     start = spark.createDataFrame([("w", "d")], "workbook_id string, id string")
@@ -78,18 +143,26 @@ def test_closure_ends_on_a_cycle(spark):
 
 
 def test_query_sections(spark):
-    text = 'section Section1;\nshared Sales = let a = "x;y" in a; // no\nshared #"B ""q""" = Sales & 1;'
+    text = 'section Garden;\n[Description = "a;b"] shared Beds = let t = "p;q" in t; // ; no\nshared #"Old ""beds""" = Beds & 1;\nshared Far = let a = Web.Contents("http://h/x"), b = Beds /* Old */ in {a, b, "Beds"};'
     members = code.sections(spark.createDataFrame([("w", text), ("w", None)], "workbook_id string, text string"))
-    assert {(r.name, r.source) for r in members.collect()} == {("Sales", 'let a = "x;y" in a'), ('B "q"', "Sales & 1")}
-    assert {(r.name, r.kind, r.target) for r in code.query_sources(members).collect()} == {('B "q"', "query", "Sales")}
+    assert {(r.name, r.source) for r in members.filter("name <> 'Far'").collect()} == {("Beds", 'let t = "p;q" in t'), ('Old "beds"', "Beds & 1")}
+    assert {(r.name, r.kind, r.target) for r in code.query_sources(members).collect()} == {('Old "beds"', "query", "Beds"), ("Far", "web", "http://h/x"), ("Far", "query", "Beds")}
 
 
 def test_macros(spark):
-    text = 'Attribute VB_Name = "M"\nSub Fill()\n  Worksheets("S").Range("A1:A2").Value = Tax(Sheets("S").Range("B1"))\n  x = [B7]\nEnd Sub\nFunction Tax(x)\n  Tax = x\nEnd Function'
+    text = "\n".join([
+        'Attribute VB_Name = "Beds"', "Private Static Sub Water()", '  Sheets("S").Range("A1", "A2").Offset(Row(1), 0).Value = Dose(Worksheets("S").Cells(1, "B")) \' Range("Q9")', '  note = "Range(""Z1"")" & [B7]', "  Beds.Dose 3", "End Sub",
+        "Property Get Dose(x)", "  Dose = x + Cells(2, 28)", "End Property",
+    ])
     owned = spark.createDataFrame([("w", "S", 1, 1, "c:S!A1"), ("w", "T", 1, 2, "c:T!B1")], "workbook_id string, sheet string, row int, col int, node_id string")
-    nodes, edges = code.macro_graph(spark.createDataFrame([("w", "M", text), ("w", "Empty", 'Attribute VB_Name = "E"')], "workbook_id string, module string, code string"), owned)
-    assert {r.id for r in nodes.collect()} == {"vp:M.Fill", "vp:M.Tax"}
-    assert {(r.src, r.dst, r.kind) for r in edges.collect()} == {("vp:M.Fill", "vp:M.Tax", "call"), ("vp:M.Fill", "c:S!A1", "vba-write"), ("i:S!B1", "vp:M.Fill", "vba-read"), ("x:VBA:?!B7", "vp:M.Fill", "vba-read")}
+    modules = spark.createDataFrame([("w", "Beds", text), ("w", "Empty", 'Attribute VB_Name = "E"'), ("w", "None", None)], "workbook_id string, module string, code string")
+    nodes, edges = code.macro_graph(modules, owned)
+    assert {r.id for r in nodes.collect()} == {"vp:Beds.Water", "vp:Beds.Dose"}
+    assert {(r.src, r.dst, r.kind) for r in edges.collect()} == {
+        ("vp:Beds.Water", "vp:Beds.Dose", "call"), ("vp:Beds.Water", "c:S!A1", "vba-write"), ("i:S!B1", "vp:Beds.Water", "vba-read"), ("x:VBA:?!B7", "vp:Beds.Water", "vba-read"), ("x:VBA:?!AB2", "vp:Beds.Dose", "vba-read"),
+    }
+    kinds = {(r.proc, r.kind) for r in code.procedures(code.code_lines(modules)).select("proc", "kind").distinct().collect()}
+    assert kinds == {("Water", "Sub"), ("Dose", "Property Get")}
 
 
 CHEAP = ["cells_unpivot", "col_letters", "parse_refs", "r1c1_canonical", "pattern_groups", "pattern_topk_misc", "eval_vlookup", "eval_sumifs", "reconcile_values", "static_runs", "table_tags", "vba_refs", "query_sources", "token_estimate", "escapes"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.refs import num_to_col
+from ..session import checkpointed
 
 #: The corner of a sheet in which blocks without a declaration are looked for, and what makes one.
 ROWS, COLUMNS, LEAST_COLUMNS, LEAST_ROWS = 30, 50, 2, 2
@@ -102,3 +103,39 @@ def external_values(refs: DataFrame, folder: DataFrame, cache: DataFrame) -> Dat
     value = F.when(F.col("_f").isNotNull(), F.col("_f.value")).otherwise(F.col("_c.value"))
     source = F.when(F.col("_f").isNotNull(), "external").when(F.col("_c").isNotNull(), "external-cache")
     return out.withColumns({"value": value, "source": source}).drop("_f", "_c")
+
+
+def external_cells(patterns: DataFrame, links: DataFrame, files: DataFrame, folder: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of other workbooks as cells of sheets of the one that reads them, named as formulas name them; and the books (workbook_id, node_id, target, read).
+
+    `patterns` has workbook_id, node_id, formula; `links` workbook_id, index, name; `files` name, path and
+    workbook_id; `folder` the cells of the files; `cache` what links keep (workbook_id, link, ...). A file
+    comes before the cache; only cells that formulas name are taken.
+    """
+    from ..functions.formulas import external_refs
+    from ..functions.refs import parse_ref
+    from .edges import cells_in
+
+    refs = checkpointed(patterns.filter("formula like '%[%'").select("workbook_id", "node_id", F.explode(external_refs(F.col("formula"))).alias("x")).select("workbook_id", "node_id", "x.*"))
+    declared = links.join(cache.select("workbook_id", F.col("link").alias("index"), F.lit(True).alias("cached")).distinct(), ["workbook_id", "index"], "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    books = external_books(refs, declared, files.select("name", "path"))
+    named = F.concat("dir", F.lit("["), "book", F.lit("]"), "sheet")
+    wanted = books.select("workbook_id", "book", F.lower("target").alias("file"), "sheet", named.alias("as"), parse_ref(F.col("cell")).alias("d")).filter("d is not null and file is not null").distinct()
+    wanted = checkpointed(wanted)
+    rect_ = F.struct(F.col("sheet").alias("sheet"), *[F.col("d")[f].alias(f) for f in ("r1", "c1", "r2", "c2")])
+
+    def taken(asks: DataFrame, cells: DataFrame) -> DataFrame:
+        # cells_in matches by workbook, sheet and bin; here the workbook is the other one.
+        hit = cells_in(asks.withColumn("target", rect_), cells)
+        return hit.select(F.col("reader").alias("workbook_id"), F.col("as").alias("sheet"), F.col("cell_row").alias("row"), F.col("cell_col").alias("col"), F.col("cell_value").alias("value"))
+
+    held = files.select(F.lower("name").alias("file"), F.col("workbook_id").alias("_other"))
+    of_files = wanted.join(held, "file").withColumnRenamed("workbook_id", "reader").withColumnRenamed("_other", "workbook_id")
+    from_files = taken(of_files, folder.select("workbook_id", "sheet", "row", "col", "value"))
+    numbered = links.select("workbook_id", F.col("index").alias("link"), F.lower("name").alias("file"))
+    of_cache = wanted.join(numbered, ["workbook_id", "file"]).withColumn("reader", F.col("workbook_id")).withColumn("workbook_id", F.concat_ws("\n", "workbook_id", F.col("link").cast("string")))
+    kept = cache.select(F.concat_ws("\n", "workbook_id", F.col("link").cast("string")).alias("workbook_id"), "sheet", "row", "col", "value")
+    from_cache = taken(of_cache, kept)
+    both = from_files.withColumn("_first", F.lit(0)).unionByName(from_cache.withColumn("_first", F.lit(1)))
+    cells = both.groupBy("workbook_id", "sheet", "row", "col").agg(F.min_by("value", "_first").alias("value"))
+    return cells, books.select("workbook_id", "node_id", "target", "read").distinct()

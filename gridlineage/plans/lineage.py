@@ -11,7 +11,7 @@ from ..functions import refs as R
 from ..functions import values as V
 from ..functions.formulas import guard_fallback
 from ..functions.programs import parsed
-from ..operators import code, edges, evaluate, graph, patterns, reconcile, tables
+from ..operators import code, context, dossiers, edges, evaluate, graph, notices, patterns, reconcile, tables
 from ..session import checkpointed, ship
 from ..sources import sheets, workbooks
 
@@ -47,21 +47,42 @@ class Lineage:
     def dependents(self, node_id: str) -> DataFrame:
         return graph.dependents(self.nodes, self.edges, self.node(node_id))
 
+    def dated(self) -> DataFrame:
+        """Values with the dates of cells in date formats."""
+        return context.dated(self.values, self.cells, self.structure)
+
+    def examples(self) -> DataFrame:
+        return context.examples(self.formulas)
+
+    def heads(self) -> DataFrame:
+        """The first values of each input range."""
+        return context.heads(checkpointed(self.nodes.filter("kind = 'input'").select("workbook_id", R.parse_ref(F.col("label")).alias("target"))), self.values)
+
+    def dossiers(self) -> DataFrame:
+        """A JSON text for each workbook, and one for each formula or macro node (id is null for the former)."""
+        whole = context.workbook_dossiers(self.structure, self.cells, self.patterns, self.formulas)
+        return whole.select("workbook_id", F.lit(None).cast("string").alias("id"), "dossier").unionByName(dossiers.node_dossiers(self.nodes, self.edges))
+
     def steps(self) -> DataFrame:
         """The evaluated steps of each pattern's representative, volatile ones left out."""
         return evaluate.steps(self.patterns.filter("not volatile").withColumn("program", parsed(F.col("formula"))), self.values.filter("value is not null"))
 
 
-def analyze(spark: SparkSession, paths: str | list[str], modules: DataFrame | None = None) -> Lineage:
-    """Reads workbooks and resolves everything in them; `modules` has the text of their macros (workbook_id, module, code)."""
+def analyze(spark: SparkSession, paths: str | list[str], modules: DataFrame | None = None, refs_dir: str | None = None) -> Lineage:
+    """Reads workbooks and resolves everything in them.
+
+    modules: the text of their macros (workbook_id, module, code). refs_dir: a folder in which linked
+    workbooks are looked for; without it, links have what they keep of the other workbook.
+    """
     ship(spark)
     books = workbooks.files(spark, paths)
     cells = checkpointed(workbooks.cells(workbooks.raw_cells(books)))
-    return resolved(cells, checkpointed(workbooks.structure(books)), modules)
+    outside = folder_values(spark, refs_dir) if refs_dir else None
+    return resolved(cells, checkpointed(workbooks.structure(books)), modules, outside)
 
 
-def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None = None) -> Lineage:
-    """The analysis of cells and declarations, wherever they come from."""
+def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None = None, outside: tuple[DataFrame, DataFrame] | None = None) -> Lineage:
+    """The analysis of cells and declarations, wherever they come from; `outside` has linked files and their cells."""
     place = ["workbook_id", "sheet", "row", "col"]
     formulas = checkpointed(patterns.relative(cells.filter("formula is not null").select(*place, "formula")))
     constants = cells.filter((F.col("formula").isNull()) & (F.col("value.kind") != "blank")).select(*place, "value")
@@ -82,8 +103,13 @@ def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None =
     kind = F.when(F.col("dst").startswith("n:"), "name").otherwise(F.col("kind"))
     all_edges = checkpointed(edges.merged(all_edges.withColumn("kind", kind)))
 
+    links = structure.filter("kind = 'link'").select("workbook_id", F.col("ord").alias("index"), "name")
+    files, there = outside if outside else (links.select(F.col("name"), F.lit("").alias("path"), "workbook_id").limit(0), constants.limit(0))
+    linked, books = tables.external_cells(kept, links, files, there, workbooks.cached_cells(structure))
+    linked = checkpointed(linked)
+
     # Stored values of formula cells come second to calculated ones.
-    computed = evaluate.evaluate(formulas, constants, checkpointed(names))
+    computed = evaluate.evaluate(formulas, constants.unionByName(linked), checkpointed(names))
     stored = cells.filter("formula is not null and value.kind <> 'blank'").select(*place, "value")
     flagged = formulas.select(*place, "formula", "volatile")
     fallback = fallbacks(formulas)
@@ -97,7 +123,9 @@ def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None =
     name_nodes = names.select("workbook_id", F.concat(F.lit("n:"), F.col("name")).alias("id"), F.lit("name").alias("kind"), F.col("name").alias("label"))
     opaque_nodes = opaque.select("workbook_id", F.col("src").alias("id"), F.lit("opaque").alias("kind"), F.expr("substring(src, 3)").alias("label")).distinct()
     misc_nodes = patterns.rest(grouped).select("workbook_id", F.concat(F.lit("misc:"), F.col("sheet")).alias("id"), F.lit("misc").alias("kind"), F.col("sheet").alias("label"), "sheet", "cells")
-    query_nodes, query_edges = queries(structure)
+    query_nodes, query_edges = queries(structure, names)
+    # A range that a query reads or fills may be an input of formulas already.
+    query_nodes = query_nodes.join(input_nodes.select("workbook_id", "id"), ["workbook_id", "id"], "left_anti")
     nodes = sheets.union([formula_nodes, input_nodes, name_nodes, opaque_nodes, misc_nodes, query_nodes])
     all_edges = all_edges.unionByName(query_edges)
     if modules is not None:
@@ -115,6 +143,10 @@ def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None =
     message = F.concat(F.col("sheet"), F.lit("!"), R.a1(F.col("row"), F.col("col")), F.lit(": calculated "), V.as_text(F.col("engine")), F.lit(", stored "), V.as_text(F.col("stored")))
     warnings = reconcile.capped(differing, message, ("sheet", "row", "col")).select("workbook_id", F.lit("values").alias("code"), "ord", "message")
     problems = structure.filter("kind = 'problem'").select("workbook_id", F.lit("file").alias("code"), F.lit(0).alias("ord"), F.col("text").alias("message"))
+    said = notices.external_books(books)
+    names_of = lambda c: F.array_join(c, ", ")
+    outside_ = said.select("workbook_id", F.lit("links").alias("code"), F.lit(0).alias("ord"), F.concat_ws("; ", *[F.when(F.size(c) > 0, F.concat(F.lit(f"{c}: "), names_of(c))) for c in ("read", "cached", "missing")]).alias("message"))
+    problems = problems.unionByName(outside_)
     return Lineage(cells, formulas, kept, values.select(*place, "value", "source").unionByName(constants.withColumn("source", F.lit("constant"))), nodes, all_edges, dims, names, every, structure, warnings.unionByName(problems))
 
 
@@ -135,15 +167,27 @@ def fallbacks(formulas: DataFrame) -> DataFrame:
     return formulas.select(*place, value.alias("value")).filter("value is not null")
 
 
-def queries(structure: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the queries that workbooks hold: sources outside are opaque nodes."""
-    members = code.sections(structure.filter("kind = 'query'").select("workbook_id", "text"))
-    reads = code.query_sources(members)
+def queries(structure: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the queries that workbooks hold.
+
+    A table that a query reads is an input of its range, a name the name's node; sources outside are opaque
+    nodes. A query that loads to a table has an edge to that range.
+    """
+    members = checkpointed(code.sections(structure.filter("kind = 'query'").select("workbook_id", "text")))
+    reads = checkpointed(code.query_sources(members))
     nodes = members.select("workbook_id", F.concat(F.lit("q:"), F.col("name")).alias("id"), F.lit("query").alias("kind"), F.col("name").alias("label"), F.substring("source", 1, 6000).alias("formula"))
-    src = F.when(F.col("kind") == "query", F.concat(F.lit("q:"), F.col("target"))).otherwise(F.concat(F.lit("x:"), F.col("target")))
-    outside = reads.filter("kind <> 'query'").select("workbook_id", src.alias("id"), F.lit("opaque").alias("kind"), F.col("target").alias("label")).distinct()
-    edges_ = reads.select("workbook_id", src.alias("src"), F.concat(F.lit("q:"), F.col("name")).alias("dst"), F.lit("query").alias("kind"), F.lit(False).alias("approx")).distinct()
-    return nodes.unionByName(outside, allowMissingColumns=True), edges_
+    found = structure.filter("kind = 'table'").select("workbook_id", "name", "sheet", F.col("text").alias("ref"))
+    placed = code.placed_sources(reads, found, names)
+    id_ = lambda kind, of: F.concat(F.lit(kind), of)
+    src = F.when(F.col("place") == "table", id_("i:", F.col("ref"))).when(F.col("place") == "name", id_("n:", F.col("ref"))).otherwise(id_("x:", F.col("target")))
+    own = placed.select("workbook_id", "name", src.alias("src"), F.when(F.col("place") == "table", "input").when(F.col("place") == "opaque", "opaque").alias("node"), F.coalesce("ref", "target").alias("label"))
+    beyond = reads.filter("kind <> 'table'").select("workbook_id", "name", F.when(F.col("kind") == "query", id_("q:", F.col("target"))).otherwise(id_("x:", F.col("target"))).alias("src"), F.when(F.col("kind") != "query", "opaque").alias("node"), F.col("target").alias("label"))
+    ends = checkpointed(own.unionByName(beyond))
+    loaded = checkpointed(code.destinations(members, structure.filter("kind = 'load'").select("workbook_id", "name", "sheet", F.col("text").alias("ref"))))
+    more = ends.filter("node is not null").select("workbook_id", F.col("src").alias("id"), F.col("node").alias("kind"), "label").unionByName(loaded.select("workbook_id", id_("i:", F.col("target")).alias("id"), F.lit("input").alias("kind"), F.col("target").alias("label"))).distinct()
+    edge = lambda src, dst: ["workbook_id", src.alias("src"), dst.alias("dst"), F.lit("query").alias("kind"), F.lit(False).alias("approx")]
+    edges_ = ends.select(*edge(F.col("src"), id_("q:", F.col("name")))).unionByName(loaded.select(*edge(id_("q:", F.col("name")), id_("i:", F.col("target"))))).distinct()
+    return nodes.unionByName(more, allowMissingColumns=True), edges_
 
 
 def folder_values(spark: SparkSession, refs_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from .functions import formulas as fo
 from .functions import refs as R
 from .functions import text as tx
 from .functions import values as V
-from .operators import code, dossiers, edges, graph, lookups, notices, patterns, reconcile, tables
+from .operators import code, context, dossiers, edges, graph, lookups, notices, patterns, reconcile, tables
 from .session import checkpointed
 from .sources import sheets
 
@@ -223,6 +223,52 @@ def pattern_samples(spark, sf_dir):
     return s.select("r1c1", "row", F.col("at").cast("long").alias("at"))
 
 
+@query("""
+    WITH m AS (SELECT o_orderkey, o_orderpriority AS p, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders)
+    SELECT 'RC[-3]&"' || p || '"' AS r1c1, string_agg('=D' || (o_orderkey + 2) || '&"' || p || '"', ' ' ORDER BY rn) AS examples FROM m WHERE rn <= 3 GROUP BY p
+""")
+def pattern_examples(spark, sf_dir):
+    """The first three formulas of each pattern."""
+    text = F.concat(F.lit("=D"), (F.col("o_orderkey") + 2).cast("string"), F.lit('&"'), F.col("o_orderpriority"), F.lit('"'))
+    return context.examples(orders_formulas(spark, sf_dir, {7: text})).select("r1c1", F.array_join("examples", " ").alias("examples"))
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k, lead(c_custkey) OVER w AS k2, c_name AS n1, lead(c_name) OVER w AS n2, c_nationkey AS a1 FROM customer WINDOW w AS (ORDER BY c_custkey))
+    SELECT 'A' || (k + 2) || ':C' || (k + 11) AS range, k || ',' || n1 || ',' || a1 || coalesce(',' || k2 || ',' || n2, '') AS head FROM c
+""")
+def range_heads(spark, sf_dir):
+    """The first five values of a range's corner, in row order."""
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    row = (F.col("c_custkey") + 2).cast("int")
+    ranges = customer.select(F.lit("tables").alias("workbook_id"), R.rect(F.lit("customer"), row, F.lit(1), row + 9, F.lit(3)).alias("target"))
+    t = F.struct(F.lit(None).cast("string").alias("sheet"), *[F.col("target")[f].alias(f) for f in ("r1", "c1", "r2", "c2")])
+    return context.heads(checkpointed(ranges), sheets.sheet_cells(customer, "customer", "c_custkey")).select(R.rect_to_a1(t).alias("range"), F.array_join("head", ",").alias("head"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders")
+def value_dates(spark, sf_dir):
+    """Dates of numbers in cells of date formats, by the epoch of the workbook."""
+    o = read(spark, sf_dir, "orders")
+    k, new = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
+    serial = F.floor(F.when(new, V.date_to_serial(F.col("o_orderdate"), True)).otherwise(V.date_to_serial(F.col("o_orderdate")))).cast("double")
+    cells = o.select(F.when(new, "new").otherwise("old").alias("workbook_id"), F.lit("S").alias("sheet"), k.cast("int").alias("row"), F.lit(1).alias("col"), V.number(serial).alias("value"), (k % 3 != 0).alias("is_date"))
+    out = context.dated(cells.drop("is_date"), cells, spark.createDataFrame([("new", "epoch")], "workbook_id string, kind string"))
+    return out.select(F.col("row").cast("long").alias("o_orderkey"), F.col("date").cast("string").alias("day"))
+
+
+@query("""
+    SELECT 'part' || (p_partkey // 20) AS sheet, CAST(p_partkey % 20 + 1 AS INT) AS "row", p_partkey || CASE WHEN p_size % 2 = 0 THEN '' ELSE '|' || '|' || p_size END AS texts FROM part WHERE p_partkey % 20 < 12
+""")
+def sheet_previews(spark, sf_dir):
+    """The corner of each sheet without trailing blanks; a sheet holds 20 parts."""
+    part, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    cell = lambda c, v: F.struct(F.lit(c).alias("col"), v.alias("value"))
+    cells = part.select(F.lit("tables").alias("workbook_id"), F.concat(F.lit("part"), F.floor(k / 20).cast("string")).alias("sheet"), (k % 20 + 1).cast("int").alias("row"), F.explode(F.array(cell(1, V.number(k)), cell(3, F.when(F.col("p_size") % 2 == 0, V.blank()).otherwise(V.number(F.col("p_size")))), cell(9, V.text(F.lit("far"))))).alias("x"))
+    out = context.previews(cells.select("workbook_id", "sheet", "row", "x.*"))
+    return out.select("sheet", F.explode("preview").alias("p")).select("sheet", "p.row", F.array_join("p.texts", "|").alias("texts"))
+
+
 # Edges
 
 
@@ -442,6 +488,39 @@ def eval_running_sums(spark, sf_dir):
     return wide.select("row", F.round(F.col("`7`")["n"], 2).alias("total"), F.col("`8`")["n"].alias("high"))
 
 
+@query("""
+    SELECT CAST(o_orderkey + 2 AS INT) AS "row", coalesce(CAST(c_acctbal AS DOUBLE), -1.0) AS balance, coalesce(c_name, 'none') AS name, CAST(CASE WHEN c_custkey IS NULL THEN NULL ELSE rank END AS DOUBLE) AS place, CASE WHEN c_custkey IS NULL THEN '#N/A' END AS missing
+    FROM orders LEFT JOIN (SELECT *, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer) c ON c_custkey = o_custkey + 200
+""")
+def eval_lookup_formulas(spark, sf_dir):
+    """VLOOKUP, XLOOKUP, INDEX with MATCH and MATCH from formula text down a column."""
+    from .operators.evaluate import evaluate
+
+    orders, customer = (read(spark, sf_dir, t) for t in ("orders", "customer"))
+    area = lambda a, b: f"customer!${a}$2:${b}$1048576"
+    f = sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: f"=IFERROR(VLOOKUP(B{{r}}+200,{area('A', 'D')},4,FALSE),-1)", 8: f'=XLOOKUP(B{{r}}+200,{area("A", "A")},{area("B", "B")},"none")', 9: f"=MATCH(B{{r}}+200,{area('A', 'A')},0)", 10: f'=IFERROR(INDEX({area("B", "B")},MATCH(B{{r}}+200,{area("A", "A")},0)),"none")'})
+    cells = sheets.sheet_cells(orders.select("o_orderkey", "o_custkey"), "orders", "o_orderkey").unionByName(sheets.sheet_cells(customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), "customer", "c_custkey"))
+    wide = evaluate(f, cells).groupBy("row").pivot("col", [7, 8, 9, 10]).agg(F.first("value"))
+    v = lambda c, f: F.col(f"`{c}`")[f]
+    return wide.select("row", v(7, "n").alias("balance"), F.when(v(8, "s") == v(10, "s"), v(8, "s")).alias("name"), v(9, "n").alias("place"), v(9, "err").alias("missing"))
+
+
+@query("""
+    WITH s AS (SELECT o_custkey, sum(o_totalprice) AS t, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f, count(*) AS n FROM orders GROUP BY 1)
+    SELECT CAST(c_custkey + 2 AS INT) AS "row", round(coalesce(t, 0), 2) AS total, round(coalesce(f, 0), 2) AS finished, CAST(coalesce(n, 0) AS DOUBLE) AS orders, (SELECT round(sum(o_totalprice * o_custkey) / 1000000, 2) FROM orders) AS product FROM customer LEFT JOIN s ON o_custkey = c_custkey
+""")
+def eval_conditional_formulas(spark, sf_dir):
+    """SUMIFS, COUNTIFS and SUMPRODUCT from formula text down a column."""
+    from .operators.evaluate import evaluate
+
+    orders, customer = (read(spark, sf_dir, t) for t in ("orders", "customer"))
+    area = lambda c: f"orders!${c}$2:${c}$1048576"
+    f = sheets.sheet_formulas(customer, "customer", "c_custkey", {7: f"=SUMIFS({area('D')},{area('B')},A{{r}})", 8: f'=SUMIFS({area("D")},{area("B")},A{{r}},{area("C")},"f")', 9: f"=COUNTIFS({area('B')},A{{r}})", 10: f"=SUMPRODUCT({area('D')},{area('B')})/1000000"})
+    cells = sheets.sheet_cells(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "o_orderkey").unionByName(sheets.sheet_cells(customer.select("c_custkey"), "customer", "c_custkey"))
+    wide = evaluate(f, cells).groupBy("row").pivot("col", [7, 8, 9, 10]).agg(F.first("value"))
+    return wide.select("row", *[F.round(F.col(f"`{c}`")["n"], 2).alias(n) for c, n in ((7, "total"), (8, "finished"), (9, "orders"), (10, "product"))])
+
+
 @query("SELECT o_orderkey, c_acctbal AS n, CASE WHEN c_custkey IS NULL THEN '#N/A' END AS err FROM orders LEFT JOIN customer ON c_custkey = o_custkey + 200")
 def eval_vlookup(spark, sf_dir):
     """A column of exact lookups, missing keys as #N/A."""
@@ -669,6 +748,21 @@ def query_notice(spark, sf_dir):
     return out.select("workbook_id", "queries", "loaded", F.array_join("outside", ",").alias("outside"), "more")
 
 
+@query("""
+    SELECT 'Q' || s_suppkey AS name, 'T' || s_nationkey AS target, CASE WHEN s_nationkey < 10 THEN 'table' WHEN s_nationkey < 20 THEN 'name' ELSE 'opaque' END AS place,
+      CASE WHEN s_nationkey < 10 THEN 'nation!A' || (s_nationkey + 1) || ':B' || (s_nationkey + 9) WHEN s_nationkey < 20 THEN 't' || s_nationkey END AS ref FROM supplier
+""")
+def query_tables(spark, sf_dir):
+    """Tables that queries read: a table's range, else a name, else nothing."""
+    w = F.lit("tables").alias("workbook_id")
+    s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
+    key = F.col("n_nationkey").cast("string")
+    sources = s.select(w, F.concat(F.lit("Q"), F.col("s_suppkey").cast("string")).alias("name"), F.lit("table").alias("kind"), F.concat(F.lit("T"), F.col("s_nationkey").cast("string")).alias("target"))
+    t = n.filter("n_nationkey < 10").select(w, F.concat(F.lit("t"), key).alias("name"), F.lit("nation").alias("sheet"), F.concat(F.lit("A"), (F.col("n_nationkey") + 1).cast("string"), F.lit(":B"), (F.col("n_nationkey") + 9).cast("string")).alias("ref"))
+    named = n.filter("n_nationkey between 5 and 19").select(w, F.concat(F.lit("t"), key).alias("name"))
+    return code.placed_sources(sources, t, named).select("name", "target", "place", "ref")
+
+
 # Text and documents
 
 

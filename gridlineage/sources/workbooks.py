@@ -172,7 +172,8 @@ def structure(books: DataFrame) -> DataFrame:
     """(workbook_id, kind, sheet, ord, name, text, list): what a workbook declares, one row for each thing.
 
     kind is sheet (text: state), name (name, sheet: scope, text: definition), table (name, sheet, text:
-    range, list: headers), link (ord, name: file, text: target), merged and hidden (sheet, text: range or
+    range, list: headers), link (ord, name: file, text: target), cached (a cell that link `ord` keeps), load
+    (name: query, sheet, text: range), merged and hidden (sheet, text: range or
     columns), comment (sheet, name: cell, text), epoch (text: 1904), query (text: the section), macros
     (name: part), problem (text).
     """
@@ -210,8 +211,11 @@ def _declared(z: zipfile.ZipFile) -> list[tuple]:
         part = rels.get(e.get(rid), "")
         target = next(iter(_rels(z, part).values()), "") if part in parts else ""
         out.append(("link", None, i, re.split(r"[\\/]", target)[-1], target, None))
+        if part in parts:
+            out += [("cached", *c) for c in _cached(z.read(part), i)]
     if "xl/vbaProject.bin" in parts:
         out.append(("macros", None, 0, "xl/vbaProject.bin", None, None))
+    loads = _connections(z.read("xl/connections.xml")) if "xl/connections.xml" in parts else {}
     for i, (name, part, state) in enumerate(sheets):
         out.append(("sheet", name, i, None, state, None))
         if part not in parts:
@@ -225,6 +229,10 @@ def _declared(z: zipfile.ZipFile) -> list[tuple]:
                 out.append(("hidden", name, 0, None, f"{e.get('min')}:{e.get('max')}", None))
             elif tag == "tablePart" and own.get(e.get(rid)) in parts:
                 t = ElementTree.fromstring(z.read(own[e.get(rid)]))
+                for q in (q for q in _rels(z, own[e.get(rid)]).values() if "queryTable" in q and q in parts):
+                    source = loads.get(ElementTree.fromstring(z.read(q)).get("connectionId"))
+                    if source:
+                        out.append(("load", name, 0, source, t.get("ref"), None))
                 heads = [c.get("name") for c in t.iter() if local(c.tag) == "tableColumn"]
                 out.append(("table", name, int(t.get("headerRowCount", 1)), t.get("displayName") or t.get("name"), t.get("ref"), heads))
             elif tag == "row":
@@ -240,6 +248,40 @@ def _declared(z: zipfile.ZipFile) -> list[tuple]:
     return out
 
 
+def _cached(xml: bytes, link: int) -> list[tuple]:
+    """Rows (sheet, ord: link, name: cell, text, list: type) of the cells that a link keeps of another workbook."""
+    root, out = ElementTree.fromstring(xml), []
+    names = [e.get("val") for e in root.iter() if local(e.tag) == "sheetName"]
+    for data in (e for e in root.iter() if local(e.tag) == "sheetData"):
+        at = int(data.get("sheetId", -1))
+        for c in (c for c in data.iter() if local(c.tag) == "cell" and 0 <= at < len(names)):
+            text = next((v.text for v in c if local(v.tag) == "v"), None)
+            if text is not None:
+                out.append((names[at], link, c.get("r"), text, [c.get("t", "n")]))
+    return out
+
+
+def _connections(xml: bytes) -> dict[str, str]:
+    """The query behind each connection's id, as its connection string names it."""
+    out = {}
+    for c in (c for c in ElementTree.fromstring(xml).iter() if local(c.tag) == "connection"):
+        text = ";".join(d.get("connection", "") for d in c if local(d.tag) == "dbPr")
+        fields = dict(f.split("=", 1) for f in text.split(";") if "=" in f)
+        if "mashup" in fields.get("Provider", "").lower() and fields.get("Location"):
+            out[c.get("id")] = fields["Location"].strip('"')
+    return out
+
+
+def cached_cells(structure: DataFrame) -> DataFrame:
+    """(workbook_id, link, sheet, row, col, value) of the cells that links keep."""
+    from ..functions.refs import parse_ref
+
+    t, kind = F.col("text"), F.col("list")[0]
+    value = F.when(kind == "e", V.error(t)).when(kind == "b", V.boolean(t == "1")).when(kind == "str", V.text(t)).when(t.try_cast("double").isNotNull(), V.number(t.try_cast("double"))).otherwise(V.text(t))
+    d = parse_ref(F.col("name"))
+    return structure.filter("kind = 'cached'").select("workbook_id", F.col("ord").alias("link"), "sheet", d["r1"].alias("row"), d["c1"].alias("col"), value.alias("value"))
+
+
 def _section(xml: bytes) -> str | None:
     """The query section inside a mashup part: base64 of a length, a zip and more."""
     import base64

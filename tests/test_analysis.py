@@ -1,5 +1,8 @@
 """The whole analysis on workbooks made here, and queries against DuckDB."""
 
+import base64
+import io
+import json
 import zipfile
 
 import duckdb
@@ -10,17 +13,19 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridlineage import analyze
 from gridlineage.functions import values as V
-from gridlineage.operators import code, evaluate, graph
+from gridlineage.operators import code, context, evaluate, graph
 from gridlineage.sinks.export import graph_json, iframe, pages
 
 MAIN, REL = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
-def book(path, sheets, names=""):
+def book(path, sheets, names="", more=(), rels="", head=""):
     with zipfile.ZipFile(path, "w") as z:
+        for part, text in more:
+            z.writestr(part, text)
         listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets>{listed}</sheets><definedNames>{names}</definedNames></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{REL}">{head}<sheets>{listed}</sheets><definedNames>{names}</definedNames></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + rels + "</Relationships>")
         for i, rows in enumerate(sheets.values(), 1):
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{MAIN}"><sheetData>{rows}</sheetData></worksheet>')
 
@@ -53,6 +58,99 @@ def test_nodes_and_edges(lineage):
     assert {r.code for r in lineage.warnings.collect()} == {"values", "file"}
 
 
+def section(text):
+    """A query section as workbooks hold it."""
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("Formulas/Section1.m", text)
+    raw = data.getvalue()
+    return f"<DataMashup xmlns='http://schemas.microsoft.com/DataMashup'>{base64.b64encode(bytes(4) + len(raw).to_bytes(4, 'little') + raw).decode()}</DataMashup>"
+
+
+def linked_books(folder, inside):
+    """A workbook that reads another one and has queries, and the other one."""
+    link = f'<externalLink xmlns="{MAIN}" xmlns:r="{REL}"><externalBook r:id="rId1"><sheetNames><sheetName val="Rates"/></sheetNames><sheetDataSet><sheetData sheetId="0"><row r="2"><cell r="B2"><v>3</v></cell><cell r="C2" t="str"><v>old</v></cell></row></sheetData></sheetDataSet></externalBook></externalLink>'
+    rows = '<row><c r="A1"><f>[1]Rates!B2*2</f><v>5</v></c><c r="B1"><f>IFERROR([1]Rates!C2,"none")</f></c><c r="C1"><f>SUM([1]Rates!B2:B4)</f></c></row>'
+    more = [
+        ("xl/externalLinks/externalLink1.xml", link),
+        ("xl/externalLinks/_rels/externalLink1.xml.rels", '<Relationships><Relationship Id="rId1" Target="file:///C:/far/rates.xlsx" TargetMode="External"/></Relationships>'),
+        ("customXml/item1.xml", section('section S; shared Crop = let t = Excel.CurrentWorkbook(){[Name="beds"]}[Content] in t; shared Sum = Crop & Excel.CurrentWorkbook(){[Name="gone"]}[Content];')),
+        ("xl/connections.xml", f'<connections xmlns="{MAIN}"><connection id="4" name="x"><dbPr connection="Provider=Microsoft.Mashup.OleDb.1;Data Source=$Workbook$;Location=crop"/></connection></connections>'),
+        ("xl/tables/table1.xml", f'<table xmlns="{MAIN}" displayName="Beds" ref="E1:F3"><tableColumns><tableColumn name="a"/><tableColumn name="b"/></tableColumns></table>'),
+        ("xl/tables/table2.xml", f'<table xmlns="{MAIN}" displayName="Out" ref="H1:I3"><tableColumns><tableColumn name="a"/></tableColumns></table>'),
+        ("xl/tables/_rels/table2.xml.rels", '<Relationships><Relationship Id="rId1" Target="../queryTables/queryTable1.xml"/></Relationships>'),
+        ("xl/queryTables/queryTable1.xml", f'<queryTable xmlns="{MAIN}" connectionId="4"/>'),
+        ("xl/worksheets/_rels/sheet1.xml.rels", '<Relationships><Relationship Id="rId1" Target="../tables/table1.xml"/><Relationship Id="rId2" Target="../tables/table2.xml"/></Relationships>'),
+    ]
+    rels = '<Relationship Id="rId9" Target="externalLinks/externalLink1.xml"/>'
+    tables = f'<tableParts xmlns="{MAIN}" xmlns:r="{REL}"><tablePart r:id="rId1"/><tablePart r:id="rId2"/></tableParts>'
+    head = f'<workbookPr date1904="1"/><externalReferences xmlns:r="{REL}"><externalReference r:id="rId9"/></externalReferences>'
+    book(folder / "reader.xlsx", {"Main": rows + "</sheetData>" + tables + "<sheetData>"}, "", more, rels, head)
+    inside.mkdir()
+    book(inside / "Rates.xlsx", {"Rates": '<row r="2"><c r="B2"><v>10</v></c></row><row r="3"><c r="B3"><v>7</v></c></row>'})
+
+
+def test_links_and_queries(spark, tmp_path):
+    linked_books(tmp_path, tmp_path / "deep")
+    for refs_dir, a1, b1, c1, read in ((None, 6, "old", 3, "cached"), (str(tmp_path / "deep"), 20, "old", 17, "read")):
+        found = analyze(spark, str(tmp_path / "reader.xlsx"), refs_dir=refs_dir)
+        values = {(r.sheet, r.col): r.value for r in found.values.collect()}
+        assert (values["Main", 1].n, values["Main", 2].s, values["Main", 3].n) == (a1, b1, c1)
+        assert [r.message for r in found.warnings.filter("code = 'links'").collect()] == [f"{read}: rates.xlsx"]
+    edges = {(r.src, r.dst) for r in found.edges.filter("kind = 'query'").collect()}
+    assert edges == {("i:Main!E1:F3", "q:Crop"), ("q:Crop", "q:Sum"), ("x:gone", "q:Sum"), ("q:Crop", "i:Main!H1:I3")}
+    ids = {r.id: r.kind for r in found.nodes.collect()}
+    assert {ids[a] for a, _ in edges} | {ids[b] for _, b in edges} == {"input", "query", "opaque"}
+
+
+def test_context(lineage):
+    heads = {r.target.c1: r["head"] for r in lineage.heads().collect() if r.target.sheet == "Plots"}
+    assert heads == {3: [str(2 + r % 5) for r in range(4, 9)], 4: ["1", "1.25", "1.5", "1.75", "2"]}
+    examples = {r.r1c1: r.examples for r in lineage.examples().collect()}
+    assert examples["RC[-2]*RC[-1]"] == ["=C4*D4", "=C5*D5", "=C6*D6"]
+    found = {r.id: json.loads(r.dossier) for r in lineage.dossiers().collect() if "garden" in r.workbook_id or r.id}
+    whole = found[None]
+    assert [s["sheet"] for s in whole["sheets"]] == ["Plots", "Report", "Prices"] and whole["sheets"][0]["formulas"] == PLOTS and whole["patterns"][0]["cells"] == PLOTS
+    assert whole["sheets"][0]["preview"][0] == {"row": 4, "texts": ["", "", "6", "1", "5"]} and "c:Report!A2" in found
+
+
+def test_dossiers_shed_what_is_too_long(spark):
+    structure = spark.createDataFrame([("w", "sheet", f"S{k}", k, None, "visible", None) for k in range(3)] + [("w", "comment", "S0", 0, "A1", "note", None)], "workbook_id string, kind string, sheet string, ord int, name string, text string, list array<string>")
+    cells = spark.createDataFrame([("w", f"S{k % 4}", r, 1, "x" * 20) for k in range(4) for r in range(1, 11)], "workbook_id string, sheet string, row int, col int, s string").withColumn("value", V.text(F.col("s")))
+    formulas = spark.createDataFrame([("w", "S0", r, 2, f"=A{r}") for r in range(1, 5)], "workbook_id string, sheet string, row int, col int, formula string")
+    patterns = spark.createDataFrame([("w", "S0", f"R{k}", k, 1, f"=A{k}", 10 - k) for k in range(9)], "workbook_id string, sheet string, r1c1 string, rep_row int, rep_col int, formula string, cells int")
+    told = lambda longest: json.loads(context.workbook_dossiers(structure, cells, patterns, formulas, longest=longest).first().dossier)
+    size = lambda d: (len(d["sheets"][0].get("preview", [])), len(d["patterns"]), "comments" in d["sheets"][0], [s["sheet"] for s in d["sheets"]])
+    every = ["S0", "S1", "S2", "S3"]
+    assert sorted(size(told(10**6))[3]) == every
+    whole = len(json.dumps(told(10**6)))
+    assert size(told(10**6))[:3] == (10, 9, True)
+    steps = [(10, 9, True), (4, 9, True), (4, 5, True), (0, 5, False)]
+    seen = [size(told(k))[:3] for k in range(whole, 100, -(whole // 8))]
+    assert seen == sorted(seen, key=steps.index) and {steps[0], steps[1], steps[3]} <= set(seen)
+
+
+def test_dates_and_previews(spark):
+    from gridlineage.functions.refs import parse_ref
+
+    place = "workbook_id string, sheet string, row int, col int"
+    cells = spark.createDataFrame([("old", "S", 1, 1, 61.0, True), ("new", "S", 1, 1, 0.0, True), ("old", "S", 2, 1, 5.0, False)], f"{place}, n double, is_date boolean").withColumn("value", V.number(F.col("n")))
+    structure = spark.createDataFrame([("new", "epoch")], "workbook_id string, kind string")
+    assert {(r.workbook_id, r.row): r.date and str(r.date) for r in context.dated(cells.select("workbook_id", "sheet", "row", "col", "value"), cells, structure).collect()} == {("old", 1): "1900-03-01", ("new", 1): "1904-01-01", ("old", 2): None}
+    reads = spark.createDataFrame([("old", "rect", None, "S!A1"), ("old", "rect", None, "S!A1:B9"), ("old", "name", "Tax", None), ("old", "opaque", "T[a]", None)], "workbook_id string, kind string, ref string, at string").withColumn("target", parse_ref(F.col("at")))
+    names = spark.createDataFrame([("old", "TAX", "S!A2")], "workbook_id string, name string, at string").withColumn("targets", F.array(parse_ref(F.col("at"))))
+    found = {(r.ref, r.at): r.preview for r in context.shown(reads, cells.select("workbook_id", "sheet", "row", "col", "value"), names).collect()}
+    assert found == {(None, "S!A1"): "61", (None, "S!A1:B9"): "S!A1:B9 (18)", ("Tax", None): "S!A2", ("T[a]", None): None}
+
+
+def test_modules_of_addins(spark):
+    streams = spark.createDataFrame([("w", "M", 2, "b"), ("w", "M", 1, "a"), ("w", "N", 1, "c")], "workbook_id string, module string, ord int, code string")
+    addins = spark.createDataFrame([("w", "M", "z")], "workbook_id string, module string, code string")
+    assert {(r.module, r.code) for r in code.with_addins(code.joined_streams(streams), addins).collect()} == {("M", "a\nb"), ("N", "c"), ("addin:M", "z")}
+    called = spark.createDataFrame([("w", "M", "p", "N", "z"), ("w", "M", "p", "M", "a")], "workbook_id string, module string, proc string, callee_module string, callee string")
+    assert [r.calls for r in code.call_lists(called).collect()] == [["M.a", "N.z"]]
+
+
 def test_exports(lineage):
     assert "\\u003c" not in graph_json(lineage).first().graph
     html = pages(lineage).first().html

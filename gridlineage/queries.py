@@ -521,6 +521,98 @@ def eval_conditional_formulas(spark, sf_dir):
     return wide.select("row", *[F.round(F.col(f"`{c}`")["n"], 2).alias(n) for c, n in ((7, "total"), (8, "finished"), (9, "orders"), (10, "product"))])
 
 
+@query("""
+    WITH s AS (SELECT o_custkey, sum(o_totalprice) AS t, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS f, count(*) AS n, bool_or(o_orderkey % 911 = 0) AS bad FROM orders GROUP BY 1)
+    SELECT CAST(c_custkey + 2 AS INT) AS "row", CASE WHEN bad THEN NULL ELSE round(coalesce(t, 0), 2) END AS total, CASE WHEN bad THEN '#DIV/0!' END AS failed, CAST(coalesce(n, 0) AS DOUBLE) AS as_text,
+      CAST((SELECT count(*) FILTER (o_orderkey % 7 = 0) + max(o_orderkey) + 1 - count(*) FROM orders) AS DOUBLE) AS blanks, '#DIV/0!' AS product FROM customer LEFT JOIN s ON o_custkey = c_custkey
+""")
+def eval_conditions_with_errors(spark, sf_dir):
+    """Conditional sums over errors, of numbers that criteria write as text, and of blanks."""
+    from .operators.evaluate import evaluate
+
+    orders, customer = (read(spark, sf_dir, t) for t in ("orders", "customer"))
+    last = orders.agg(F.max("o_orderkey")).first()[0] + 2
+    area = lambda c: f"orders!${c}$2:${c}${last}"
+    f = sheets.sheet_formulas(customer, "customer", "c_custkey", {7: f"=SUMIFS({area('D')},{area('B')},A{{r}})", 8: f'=COUNTIFS({area("B")},"="&A{{r}})', 9: f'=COUNTIF({area("C")},"")', 10: f"=SUMPRODUCT({area('D')},{area('B')})"})
+    cells = sheets.sheet_cells(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "o_orderkey")
+    broken = (F.col("col") == 4) & ((F.col("row") - 2) % 911 == 0)
+    cells = cells.withColumn("value", F.when(broken, V.error("#DIV/0!")).otherwise(F.col("value"))).filter((F.col("col") != 3) | ((F.col("row") - 2) % 7 != 0))
+    wide = evaluate(f, cells.unionByName(sheets.sheet_cells(customer.select("c_custkey"), "customer", "c_custkey"))).groupBy("row").pivot("col", [7, 8, 9, 10]).agg(F.first("value"))
+    v = lambda c, f: F.col(f"`{c}`")[f]
+    return wide.select("row", F.round(v(7, "n"), 2).alias("total"), v(7, "err").alias("failed"), v(8, "n").alias("as_text"), v(9, "n").alias("blanks"), v(10, "err").alias("product"))
+
+
+@query("""
+    SELECT CAST(o_orderkey + 2 AS INT) AS "row", CAST(row_number() OVER w AS DOUBLE) AS nth, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS so_far,
+      CAST(min(o_orderkey) OVER (PARTITION BY o_custkey) + 1 AS DOUBLE) AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+""")
+def eval_running_counts(spark, sf_dir):
+    """How often a key has come up in a column so far, what it sums up to, and where it first stood: ranges that grow with every row."""
+    from .operators.evaluate import evaluate
+
+    orders = read(spark, sf_dir, "orders")
+    f = sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: "=COUNTIF(B$2:B{r},B{r})", 8: "=SUMIF(B$2:B{r},B{r},D$2:D{r})", 9: "=MATCH(B{r},B$2:B{r},0)"})
+    wide = evaluate(f, sheets.sheet_cells(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "o_orderkey")).groupBy("row").pivot("col", [7, 8, 9]).agg(F.first("value"))
+    v = lambda c: F.col(f"`{c}`")["n"]
+    return wide.select("row", v(7).alias("nth"), F.round(v(8), 2).alias("so_far"), v(9).alias("first"))
+
+
+@query("""
+    WITH c AS (SELECT c_custkey + 2 AS r, c_acctbal AS b FROM customer WHERE c_custkey % 5 <> 0),
+         d AS (SELECT b, max(r) AS last, min(r) AS first FROM c GROUP BY 1),
+         a AS (SELECT o_orderkey + 2 AS r, CASE WHEN o_orderkey % 4 = 0 THEN (SELECT b FROM c ORDER BY r LIMIT 1 OFFSET 3) ELSE round(o_totalprice / 40, 2) END AS x FROM orders),
+         lo AS (SELECT a.r, d.b, last, first FROM a ASOF LEFT JOIN d ON a.x >= d.b), hi AS (SELECT a.r, d.b, first, last FROM a ASOF LEFT JOIN d ON a.x <= d.b)
+    SELECT CAST(lo.r AS INT) AS "row", CAST(lo.last - 1 AS DOUBLE) AS below, lo.b AS rate, CAST(lo.first - 1 AS DOUBLE) AS smaller, CAST(coalesce(hi.last - 1, 0) AS DOUBLE) AS above, coalesce('Customer#' || (hi.first - 2), 'none') AS larger FROM lo JOIN hi ON lo.r = hi.r
+""")
+def eval_nearest_lookups(spark, sf_dir):
+    """MATCH with 1 and -1, VLOOKUP with TRUE and XLOOKUP with both modes, over ties and blanks."""
+    from .operators.evaluate import evaluate
+
+    orders, customer = (read(spark, sf_dir, t) for t in ("orders", "customer"))
+    tie = customer.filter("c_custkey % 5 <> 0").orderBy("c_custkey").limit(4).select("c_acctbal").collect()[3][0]
+    asks = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, tie).otherwise(F.round(F.col("o_totalprice") / 40, 2)).alias("x"))
+    area = lambda a, b: f"customer!${a}$2:${b}$1048576"
+    f = sheets.sheet_formulas(asks, "orders", "o_orderkey", {7: f"=MATCH(B{{r}},{area('B', 'B')},1)", 8: f"=VLOOKUP(B{{r}},{area('B', 'C')},1)", 9: f"=XMATCH(B{{r}},{area('B', 'B')},-1)", 10: f"=IFERROR(MATCH(B{{r}},{area('B', 'B')},-1),0)", 11: f'=XLOOKUP(B{{r}},{area("B", "B")},{area("C", "C")},"none",1)'})
+    table = customer.filter("c_custkey % 5 <> 0").select("c_custkey", "c_acctbal", F.concat(F.lit("Customer#"), F.col("c_custkey").cast("string")).alias("name"))
+    wide = evaluate(f, sheets.sheet_cells(asks, "orders", "o_orderkey").unionByName(sheets.sheet_cells(table, "customer", "c_custkey"))).groupBy("row").pivot("col", [7, 8, 9, 10, 11]).agg(F.first("value"))
+    v = lambda c: F.col(f"`{c}`")["n"]
+    return wide.select("row", v(7).alias("below"), v(8).alias("rate"), v(9).alias("smaller"), v(10).alias("above"), F.col("`11`")["s"].alias("larger"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_totalprice AS p, o_custkey AS c, o_orderstatus AS s FROM orders), u AS (SELECT p, count(*) AS n, sum(p) AS t FROM o GROUP BY 1),
+         k AS (SELECT p, sum(n) OVER (ORDER BY p) AS n, sum(t) OVER (ORDER BY p) AS t FROM u), m AS (SELECT max(n) AS n, max(t) AS t, count(*) FILTER (p = 0) AS z FROM k)
+    SELECT CAST(o.o_orderkey + 2 AS INT) AS "row", CAST(m.n - a.n AS DOUBLE) AS larger, round(b.t - coalesce(d.t, 0), 2) AS near, CAST((SELECT count(*) FROM o WHERE s <> 'F') AS DOUBLE) AS others
+    FROM o JOIN m ON true JOIN k a ON a.p = o.p ASOF LEFT JOIN k b ON o.p + 1000 >= b.p ASOF LEFT JOIN k d ON o.p - 1000 > d.p
+""")
+def eval_comparing_criteria(spark, sf_dir):
+    """Criteria that compare: ">"&x, a window from x - 1000 to x + 1000, and "<>F", for every row against every row."""
+    from .operators.evaluate import evaluate
+
+    orders = read(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0] + 2
+    d = f"$D$2:$D${last}"
+    f = sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: f'=COUNTIF({d},">"&D{{r}})', 8: f'=SUMIFS({d},{d},">="&(D{{r}}-1000),{d},"<="&(D{{r}}+1000))', 9: f'=COUNTIFS($C$2:$C${last},"<>F",{d},">=0")'})
+    wide = evaluate(f, sheets.sheet_cells(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "o_orderkey")).groupBy("row").pivot("col", [7, 8, 9]).agg(F.first("value"))
+    v = lambda c: F.col(f"`{c}`")["n"]
+    return wide.select("row", v(7).alias("larger"), F.round(v(8), 2).alias("near"), v(9).alias("others"))
+
+
+@query("""
+    SELECT CAST(o_orderkey + 2 AS INT) AS "row", 'uncomputed' AS direct, 'uncomputed' AS chained, CASE WHEN o_orderkey % 3 = 0 THEN 'uncomputed' ELSE 'num' END AS branch, 'uncomputed' AS ranged, CASE WHEN o_custkey = 1 THEN 'num' ELSE 'uncomputed' END AS looked_up, 'num' AS apart FROM orders
+""")
+def eval_volatile(spark, sf_dir):
+    """What reads volatile cells isn't computed: directly, along a chain, in a branch, in a range, in a lookup before its match."""
+    from .operators.evaluate import evaluate
+
+    orders = read(spark, sf_dir, "orders")
+    change = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("=G"), (F.col("o_orderkey") + 2).cast("string"))).otherwise("=1")
+    one = spark.createDataFrame([("tables", "list", 1, 1, "=1"), ("tables", "list", 2, 1, "=RAND()")], "workbook_id string, sheet string, row int, col int, formula string")
+    f = sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: "=RAND()*B{r}", 8: "=G{r}+1", 9: "=IF(H{r}>0,1,2)", 10: change, 11: "=SUM(F{r}:G{r})", 12: "=IFERROR(MATCH(B{r},list!A$1:A$2,0),0)", 13: "=B{r}*2"})
+    wide = evaluate(f.unionByName(one), sheets.sheet_cells(orders.select("o_orderkey", "o_custkey"), "orders", "o_orderkey")).filter("sheet = 'orders'").groupBy("row").pivot("col", list(range(8, 14))).agg(F.first("value.kind"))
+    return wide.select("row", *[F.col(f"`{c}`").alias(n) for c, n in ((8, "direct"), (9, "chained"), (10, "branch"), (11, "ranged"), (12, "looked_up"), (13, "apart"))])
+
+
 @query("SELECT o_orderkey, c_acctbal AS n, CASE WHEN c_custkey IS NULL THEN '#N/A' END AS err FROM orders LEFT JOIN customer ON c_custkey = o_custkey + 200")
 def eval_vlookup(spark, sf_dir):
     """A column of exact lookups, missing keys as #N/A."""

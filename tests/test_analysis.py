@@ -206,9 +206,9 @@ def test_lookups_in_formulas(spark):
     frame = spark.createDataFrame(cells, "workbook_id string, sheet string, row int, col int, s string, n double")
     values = frame.select("workbook_id", "sheet", "row", "col", F.when(F.col("s").isNull(), V.number(F.col("n"))).otherwise(V.text(F.col("s"))).alias("value"))
     cases = [
-        ('=VLOOKUP("FIG",S!$A$2:$C$6,2,FALSE)', 5.0), ('=VLOOKUP("kiwi",S!A2:C6,2,0)', "#N/A"), ('=IFERROR(VLOOKUP("kiwi",S!A2:C6,2,0),-1)+1', 0.0), ('=VLOOKUP("date",S!A2:C6,2,FALSE)', 0.0), ('=VLOOKUP("fig",S!A2:C6,2)', None),
+        ('=VLOOKUP("FIG",S!$A$2:$C$6,2,FALSE)', 5.0), ('=VLOOKUP("kiwi",S!A2:C6,2,0)', "#N/A"), ('=IFERROR(VLOOKUP("kiwi",S!A2:C6,2,0),-1)+1', 0.0), ('=VLOOKUP("date",S!A2:C6,2,FALSE)', 0.0), ('=VLOOKUP("fig",S!A2:C6,2)', 9.0),
         ('=XLOOKUP(7,S!B2:B6,S!A2:A6)&"!"', "Plum!"), ('=XLOOKUP(8,S!B2:B6,S!A2:A6,"none")', "none"), ('=MATCH("plum",S!A2:A6,0)', 3.0), ('=INDEX(S!A2:C6,MATCH("z",S!C2:C6,0),1)', "fig"), ("=INDEX(S!A2:A6,9)", "#REF!"), ('=INDEX(S!B2:B6,MATCH("kiwi",S!A2:A6,0))', "#N/A"),
-        ('=SUMIFS(S!B2:B6,S!A2:A6,"fig",S!C2:C6,"z")', 9.0), ('=SUMIF(S!A2:A6,"FIG",S!B2:B6)*2', 28.0), ('=COUNTIFS(S!C2:C6,"x")', 3.0), ('=COUNTIF(S!B2:B6,5)', 1.0), ('=SUMIFS(S!B2:B6,S!A2:A6,">a")', None), ("=SUMPRODUCT(S!B2:B6,S!B2:B6)", 164.0), ('=SUM(VLOOKUP("fig",S!A2:B6,2,FALSE),COUNTIF(S!A2:A6,"fig"))', 7.0),
+        ('=SUMIFS(S!B2:B6,S!A2:A6,"fig",S!C2:C6,"z")', 9.0), ('=SUMIF(S!A2:A6,"FIG",S!B2:B6)*2', 28.0), ('=COUNTIFS(S!C2:C6,"x")', 3.0), ('=COUNTIF(S!B2:B6,5)', 1.0), ('=SUMIFS(S!B2:B6,S!A2:A6,">a")', 24.0), ("=SUMPRODUCT(S!B2:B6,S!B2:B6)", 164.0), ('=SUM(VLOOKUP("fig",S!A2:B6,2,FALSE),COUNTIF(S!A2:A6,"fig"))', 7.0),
     ]
     rows = [("w", "T", i, 1, f) for i, (f, _) in enumerate(cases, 1)]
     out = {r.row: r.value for r in evaluate.evaluate(spark.createDataFrame(rows, "workbook_id string, sheet string, row int, col int, formula string"), values).collect()}

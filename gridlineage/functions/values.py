@@ -41,11 +41,20 @@ def uncomputed() -> Column:
 
 
 def as_text(v: Column) -> Column:
-    """A value as the & operator joins it: whole numbers without a fraction, TRUE and FALSE, blank as nothing."""
-    whole = F.when((v["n"] == F.floor(v["n"])) & (F.abs(v["n"]) < 1e15), v["n"].cast("long").cast("string")).otherwise(v["n"].cast("string"))
+    """A value as the & operator joins it: numbers of 15 digits, TRUE and FALSE, blank as nothing."""
+    whole = F.when((v["n"] == F.floor(v["n"])) & (F.abs(v["n"]) < 1e15), v["n"].cast("long").cast("string")).otherwise(digits(v["n"]))
     return F.when(v["kind"] == "num", whole).when(v["kind"] == "text", v["s"]).when(v["kind"] == "bool", F.upper(v["b"].cast("string"))).when(v["kind"] == "error", v["err"]).otherwise("")
 
 
+def digits(n: Column) -> Column:
+    """A number by its 15 leading digits, without zeros at the end; with an exponent from 1E+15 on and below 0.0001."""
+    e = F.format_string("%.14e", n)
+    power = F.regexp_extract(e, r"e([+-]\d+)$", 1).try_cast("int")
+    short = lambda t: F.regexp_replace(t, r"\.?0+$", "")
+    far = F.concat(short(F.regexp_extract(e, r"^(-?\d\.\d+)", 1)), F.when(power < 0, "E-").otherwise("E+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    return F.when(F.isnan(n) | (F.abs(n) == float("inf")), n.cast("string")).when((power >= 15) | (power < -4), far).otherwise(short(e.try_cast("decimal(38,20)").cast("string")))
+
+
 def as_number(v: Column) -> Column:
     """A value as arithmetic takes it: blank is 0, TRUE is 1, text that reads as a number is one; else null."""
     return F.when(v["kind"] == "num", v["n"]).when(v["kind"] == "blank", F.lit(0.0)).when(v["kind"] == "bool", v["b"].cast("double")).when((v["kind"] == "text") & v["s"].rlike(NUMERAL), v["s"].try_cast("double"))

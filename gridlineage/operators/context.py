@@ -13,7 +13,9 @@ from .patterns import KEY, relative
 #: Example formulas of a pattern; side of the corner of a range and values taken from it; rows and columns of a preview.
 EXAMPLES, CORNER, HEAD, ROWS, COLUMNS = 3, 5, 5, 12, 8
 #: Characters of a workbook's dossier, and what the steps of the ladder leave: rows of previews, patterns, procedures.
-LONGEST, FEW_ROWS, PATTERNS, FEW_PATTERNS, FEW_PROCEDURES = 24_000, 4, 20, 5, 10
+LONGEST, FEW_ROWS, PATTERNS, FEW_PATTERNS, FEW_PROCEDURES = 16_000, 4, 20, 5, 10
+#: Sheets that the last steps of the ladder list at most; the others are counted.
+FEW_SHEETS = (200, 20)
 
 
 def _first(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
@@ -74,9 +76,9 @@ def sheet_context(structure: DataFrame, facts: DataFrame) -> DataFrame:
     return declared.join(facts, list(KEY), "full")
 
 
-def listed(df: DataFrame, order: list[str], most: int, name: str, *columns: str) -> DataFrame:
-    """(workbook_id, name): at most `most` rows of each workbook in order, as an array of structs."""
-    few = _first(df, ["workbook_id"], order, most)
+def listed(df: DataFrame, order: list[str], most: int | None, name: str, *columns: str) -> DataFrame:
+    """(workbook_id, name): the rows of each workbook (or `most` of them) in order, as an array of structs."""
+    few = _first(df, ["workbook_id"], order, 2**31 - 1 if most is None else most)
     return few.groupBy("workbook_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(*columns).alias("x")))), lambda r: r["x"]).alias(name))
 
 
@@ -92,23 +94,26 @@ def workbook_dossiers(structure: DataFrame, cells: DataFrame, patterns: DataFram
     """(workbook_id, dossier): one JSON text for each workbook: its sheets with previews and comments, and its largest patterns and procedures.
 
     What is too long sheds parts: previews keep FEW_ROWS rows, then FEW_PATTERNS patterns and FEW_PROCEDURES
-    procedures are left, then previews and comments go.
+    procedures are left, then previews and comments go, then sheets above FEW_SHEETS; what is left out is counted
+    (sheets_left, patterns_left, procedures_left).
     """
     counts = formulas.groupBy(*KEY).agg(F.count("*").alias("formulas"))
     comments = structure.filter("kind = 'comment'").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("name", "text"))).alias("comments"))
     facts = previews(cells).join(counts, list(KEY), "full").join(comments, list(KEY), "full")
-    sheets = listed(sheet_context(structure, facts).fillna({"formulas": 0}), [F.asc_nulls_last("ord"), "sheet"], 1_000, "sheets", "sheet", "state", "formulas", "preview", "comments")
+    sheets = listed(sheet_context(structure, facts).fillna({"formulas": 0}), [F.asc_nulls_last("ord"), "sheet"], None, "sheets", "sheet", "state", "formulas", "preview", "comments")
     largest = listed(patterns, [F.desc("cells"), "sheet", "rep_row", "rep_col"], PATTERNS, "patterns", "sheet", "r1c1", "formula", "cells")
     whole = structure.select("workbook_id").distinct().join(sheets, "workbook_id", "left").join(largest, "workbook_id", "left")
     if procedures is not None:
-        whole = whole.join(listed(procedures, ["module", "proc"], 1_000, "procedures", "module", "proc", "kind"), "workbook_id", "left")
+        whole = whole.join(listed(procedures, ["module", "proc"], None, "procedures", "module", "proc", "kind"), "workbook_id", "left")
     else:
         whole = whole.withColumn("procedures", F.lit(None).cast("array<struct<module: string, proc: string, kind: string>>"))
     keep = lambda s, rows, notes: F.struct(s["sheet"].alias("sheet"), s["state"].alias("state"), s["formulas"].alias("formulas"), *([F.slice(s["preview"], 1, rows).alias("preview")] if rows else []), *([s["comments"].alias("comments")] if notes else []))
 
-    def version(rows: int, notes: bool, few: bool) -> Column:
-        cut = lambda c, n: F.slice(c, 1, n) if few else F.col(c)
-        return F.to_json(F.struct("workbook_id", F.transform("sheets", lambda s: keep(s, rows, notes)).alias("sheets"), cut("patterns", FEW_PATTERNS).alias("patterns"), cut("procedures", FEW_PROCEDURES).alias("procedures")))
+    def version(rows: int, notes: bool, few: bool, most: int | None = None) -> Column:
+        cut = lambda c, n: F.slice(c, 1, n) if n and (few or c == "sheets") else F.col(c)
+        left = lambda c, n: F.when(F.size(c) > n, F.size(c) - n).alias(f"{c}_left")
+        gone = ([left("patterns", FEW_PATTERNS), left("procedures", FEW_PROCEDURES)] if few else []) + ([left("sheets", most)] if most else [])
+        return F.to_json(F.struct("workbook_id", F.transform(cut("sheets", most), lambda s: keep(s, rows, notes)).alias("sheets"), cut("patterns", FEW_PATTERNS).alias("patterns"), cut("procedures", FEW_PROCEDURES).alias("procedures"), *gone))
 
-    steps = [version(ROWS, True, False), version(FEW_ROWS, True, False), version(FEW_ROWS, True, True), version(0, False, True)]
+    steps = [version(ROWS, True, False), version(FEW_ROWS, True, False), version(FEW_ROWS, True, True), version(0, False, True), *(version(0, False, True, k) for k in FEW_SHEETS)]
     return whole.select("workbook_id", ladder(steps, longest).alias("dossier"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import shortened, token_estimate
 from ..session import checkpointed
+from .context import LONGEST
 from .graph import neighbours
 
-NODE_CHARS, CODE_CHARS, TOP_PATTERNS = 6000, 2500, 20
+NODE_CHARS, CODE_CHARS = 6000, 2500
 
 
 def node_dossiers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -23,12 +24,6 @@ def node_dossiers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return near.select("workbook_id", "id", F.when(F.length(full) > NODE_CHARS, short).otherwise(full).alias("dossier"))
 
 
-def top_patterns(patterns: DataFrame, most: int = TOP_PATTERNS) -> DataFrame:
-    """The largest patterns of each workbook; ties in sheet order."""
-    rank = F.row_number().over(Window.partitionBy("workbook_id").orderBy(F.desc("cells"), "sheet", "rep_row", "rep_col"))
-    return patterns.withColumn("rank", rank).filter(F.col("rank") <= most)
-
-
 def within_budget(rows: DataFrame, tokens: Column, order: list[str], budget: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows in order as long as what was spent before is below the budget; the last one may pass it.
 
@@ -48,31 +43,36 @@ def within_budget(rows: DataFrame, tokens: Column, order: list[str], budget: int
 
 
 def usage(requests: DataFrame) -> DataFrame:
-    """Tokens of each workbook's requests (tokens_in, tokens_out, prompt, reply): reported ones, else estimates."""
+    """Tokens of each workbook's requests (tokens_in, tokens_out, prompt, reply): what is reported counts, what isn't is estimated, either by itself."""
     one = requests.select("workbook_id", F.coalesce("tokens_in", token_estimate(F.col("prompt"))).alias("i"), F.coalesce("tokens_out", token_estimate(F.col("reply"))).alias("o"), (F.col("tokens_in").isNull() | F.col("tokens_out").isNull()).alias("e"))
     return one.groupBy("workbook_id").agg(F.sum("i").alias("tokens_in"), F.sum("o").alias("tokens_out"), F.count("*").alias("requests"), F.max("e").alias("estimated"))
 
 
-def documented(dossiers: DataFrame, provider, budget_chars: int = NODE_CHARS) -> DataFrame:
-    """(workbook_id, id, doc, error): a provider (a function from prompt to text) asked for each dossier.
+def documented(dossiers: DataFrame, provider, node_chars: int = NODE_CHARS, workbook_chars: int = LONGEST) -> DataFrame:
+    """(workbook_id, id, prompt, doc, tokens_in, tokens_out, error): a provider asked for each dossier.
 
-    Calls run in tasks; one that fails leaves an error in its row and the others go on. A dossier above
-    `budget_chars` is an error too: `node_dossiers` sheds parts before, and half of a JSON text says nothing.
+    A provider is a function from prompt to text, or an object with `generate`, or with `generate_with_usage`,
+    which gives the text and the tokens of prompt and reply (null where it doesn't know). Calls run in tasks;
+    one that fails leaves an error in its row and the others go on. A dossier above the bound of its kind
+    (without id: a workbook's) is an error too: parts are shed before, and half of a JSON text says nothing.
     """
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            docs, errors = [], []
-            for prompt in b.column(2).to_pylist():
+            rows = []
+            for id_, prompt in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 try:
-                    if len(prompt) > budget_chars:
+                    if len(prompt) > (workbook_chars if id_ is None else node_chars):
                         raise ValueError(f"dossier of {len(prompt)} characters")
-                    docs.append(str(provider(prompt)))
-                    errors.append(None)
+                    if hasattr(provider, "generate_with_usage"):
+                        text, used, made = provider.generate_with_usage(prompt)
+                    else:
+                        text, used, made = (provider.generate if hasattr(provider, "generate") else provider)(prompt), None, None
+                    rows.append((str(text), used, made, None))
                 except Exception as e:  # noqa: BLE001  a provider may raise anything
-                    docs.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(docs, pa.string()), pa.array(errors, pa.string())], ["workbook_id", "id", "doc", "error"])
+                    rows.append((None, None, None, f"{type(e).__name__}: {e}"))
+            docs, used, made, errors = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(docs, pa.string()), pa.array(used, pa.int64()), pa.array(made, pa.int64()), pa.array(errors, pa.string())], ["workbook_id", "id", "prompt", "doc", "tokens_in", "tokens_out", "error"])
 
-    return dossiers.select("workbook_id", "id", "dossier").mapInArrow(run, "workbook_id string, id string, doc string, error string")
+    return dossiers.select("workbook_id", "id", F.col("dossier").alias("prompt")).mapInArrow(run, "workbook_id string, id string, prompt string, doc string, tokens_in long, tokens_out long, error string")

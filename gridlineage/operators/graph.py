@@ -35,7 +35,7 @@ def _step(nodes: DataFrame, edges: DataFrame, of: DataFrame, here: str, there: s
     return hops.join(wanted, ["workbook_id", "of"], "left_semi").join(nodes, ["workbook_id", "id"])
 
 
-def closure(edges: DataFrame, start: DataFrame, upstream: bool = True, checkpoint=None, most: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, upstream: bool = True, checkpoint=None) -> DataFrame:
     """(workbook_id, root, id, depth): everything that can be reached from (workbook_id, id) of `start`, and how far it is.
 
     Breadth first: each round joins the frontier with the edges and drops what was reached before, so
@@ -48,13 +48,14 @@ def closure(edges: DataFrame, start: DataFrame, upstream: bool = True, checkpoin
     hops = cut(edges.select("workbook_id", F.col(a).alias("id"), F.col(b).alias("next")).distinct())
     seen = cut(start.select("workbook_id", F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
     front = seen
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = front.join(hops, ["workbook_id", "id"]).select("workbook_id", "root", F.col("next").alias("id")).distinct()
         front = cut(step.join(seen, ["workbook_id", "root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
         seen = cut(seen.unionByName(front))
-    raise RuntimeError(f"deeper than {most} steps")
 
 
 def in_sheet(nodes: DataFrame, edges: DataFrame, sheet: str) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +103,3 @@ def neighbours(nodes: DataFrame, edges: DataFrame, most: int = HIDDEN_LIMIT) ->
     lists = few.groupBy("workbook_id", "id").pivot("side", ["precedents", "dependents"]).agg(F.sort_array(F.collect_list(F.struct(F.col("other").alias("id"), "label", F.col("edge").alias("kind")))))
     return lists
 
-
-def sheet_options(nodes: DataFrame) -> DataFrame:
-    """Sheets in the order in which nodes first name them."""
-    return nodes.filter("sheet is not null").groupBy("workbook_id", "sheet").agg(F.min("ord").alias("ord")).orderBy("workbook_id", "ord")

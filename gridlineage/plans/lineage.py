@@ -31,6 +31,7 @@ class Lineage:
     tables: DataFrame
     structure: DataFrame
     warnings: DataFrame
+    procedures: DataFrame | None = None
 
     def stats(self) -> DataFrame:
         return graph.stats(self.nodes, self.edges, self.formulas, self.names, self.tables)
@@ -60,9 +61,18 @@ class Lineage:
 
     def dossiers(self) -> DataFrame:
         """A JSON text for each workbook, and one for each formula or macro node (id is null for the former)."""
-        whole = context.workbook_dossiers(self.structure, self.cells, self.patterns, self.formulas)
+        whole = context.workbook_dossiers(self.structure, self.cells, self.patterns, self.formulas, self.procedures)
         return whole.select("workbook_id", F.lit(None).cast("string").alias("id"), "dossier").unionByName(dossiers.node_dossiers(self.nodes, self.edges))
 
+    def documents(self, provider) -> DataFrame:
+        """What a provider writes about every dossier (see `dossiers.documented`); `usage` of it sums up the tokens, `pages` puts it beside the nodes."""
+        return checkpointed(dossiers.documented(self.dossiers(), provider))
+
+    @staticmethod
+    def usage(documents: DataFrame) -> DataFrame:
+        """Tokens of each workbook's requests; those that failed didn't cost any."""
+        return dossiers.usage(documents.filter("error is null").withColumnRenamed("doc", "reply"))
+
     def steps(self) -> DataFrame:
         """The evaluated steps of each pattern's representative, volatile ones left out."""
         return evaluate.steps(self.patterns.filter("not volatile").withColumn("program", parsed(F.col("formula"))), self.values.filter("value is not null"))
@@ -128,7 +138,9 @@ def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None =
     query_nodes = query_nodes.join(input_nodes.select("workbook_id", "id"), ["workbook_id", "id"], "left_anti")
     nodes = sheets.union([formula_nodes, input_nodes, name_nodes, opaque_nodes, misc_nodes, query_nodes])
     all_edges = all_edges.unionByName(query_edges)
+    procedures = None
     if modules is not None:
+        procedures = code.procedures(code.code_lines(modules)).select("workbook_id", "module", "proc", "kind").distinct()
         macro_nodes, macro_edges = code.macro_graph(modules, owned)
         ends = macro_edges.select("workbook_id", F.explode(F.array("src", "dst")).alias("id")).distinct().join(nodes.select("workbook_id", "id"), ["workbook_id", "id"], "left_anti").filter(F.col("id").rlike("^[ix]:"))
         new = ends.select("workbook_id", "id", F.when(F.col("id").startswith("i:"), "input").otherwise("opaque").alias("kind"), F.expr("substring(id, 3)").alias("label"))
@@ -146,8 +158,10 @@ def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None =
     said = notices.external_books(books)
     names_of = lambda c: F.array_join(c, ", ")
     outside_ = said.select("workbook_id", F.lit("links").alias("code"), F.lit(0).alias("ord"), F.concat_ws("; ", *[F.when(F.size(c) > 0, F.concat(F.lit(f"{c}: "), names_of(c))) for c in ("read", "cached", "missing")]).alias("message"))
-    problems = problems.unionByName(outside_)
-    return Lineage(cells, formulas, kept, values.select(*place, "value", "source").unionByName(constants.withColumn("source", F.lit("constant"))), nodes, all_edges, dims, names, every, structure, warnings.unionByName(problems))
+    told = query_notices(structure)
+    problems = problems.unionByName(outside_).unionByName(told)
+    all_edges = all_edges.withColumn("id", F.concat(F.lit("e"), F.lower(F.hex(F.xxhash64("src", "dst", "kind")))))
+    return Lineage(cells, formulas, kept, values.select(*place, "value", "source").unionByName(constants.withColumn("source", F.lit("constant"))), nodes, all_edges, dims, names, every, structure, warnings.unionByName(problems), procedures)
 
 
 def clip(reads: DataFrame, dims: DataFrame) -> DataFrame:
@@ -190,6 +204,16 @@ def queries(structure: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFram
     return nodes.unionByName(more, allowMissingColumns=True), edges_
 
 
+def query_notices(structure: DataFrame) -> DataFrame:
+    """A warning for each workbook with queries: how many, how many load to a sheet, and what they read outside of it."""
+    members = code.sections(structure.filter("kind = 'query'").select("workbook_id", "text"))
+    loaded = code.destinations(members, structure.filter("kind = 'load'").select("workbook_id", "name", "sheet", F.col("text").alias("ref")))
+    said = notices.queries(members, code.query_sources(members), loaded)
+    outside = F.when(F.size("outside") > 0, F.concat(F.lit("; outside: "), F.array_join("outside", ", "), F.when(F.col("more") > 0, F.concat(F.lit(" and "), F.col("more").cast("string"), F.lit(" more"))).otherwise(""))).otherwise("")
+    message = F.concat(F.col("queries").cast("string"), F.lit(" queries, "), F.col("loaded").cast("string"), F.lit(" loaded"), outside)
+    return said.select("workbook_id", F.lit("queries").alias("code"), F.lit(0).alias("ord"), message.alias("message"))
+
+
 def folder_values(spark: SparkSession, refs_dir: str) -> tuple[DataFrame, DataFrame]:
     """Linked files of a folder (at most two levels deep, the shallowest of a name), and their stored cells."""
     books = workbooks.files(spark, refs_dir, recursive=True)

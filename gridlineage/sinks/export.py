@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,35 +17,38 @@ def write_graph(lineage, path: str, format: str = "parquet") -> None:
         getattr(lineage, name).write.mode("overwrite").format(format).save(f"{path}/{name}")
 
 
-def graph_json(lineage) -> DataFrame:
-    """(workbook_id, graph): one JSON document for each workbook.
+def graph_json(lineage, docs: DataFrame | None = None) -> DataFrame:
+    """(workbook_id, graph): one JSON document for each workbook; `docs` (workbook_id, id, doc) are told with their nodes, '' where there is none.
 
     A document holds a workbook's nodes and edges, so this is for workbooks whose graph fits a row: at most
     400 patterns a sheet are nodes.
     """
     rows = lambda df, name: df.groupBy("workbook_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "workbook_id"]))).alias(name))
     flat = lineage.nodes.withColumn("value", F.to_json("value")) if "value" in lineage.nodes.columns else lineage.nodes
+    if docs is not None:
+        told = docs.filter("id is not null and doc is not null").groupBy("workbook_id", "id").agg(F.min("doc").alias("doc"))
+        flat = flat.drop("doc").join(told, ["workbook_id", "id"], "left").withColumn("doc", F.coalesce("doc", F.lit("")))
     out = rows(lineage.sheets, "sheets").join(rows(flat, "nodes"), "workbook_id", "left").join(rows(lineage.edges, "edges"), "workbook_id", "left").join(rows(lineage.warnings, "warnings"), "workbook_id", "left")
     return out.select("workbook_id", F.to_json(F.struct("sheets", "nodes", "edges", "warnings")).alias("graph"))
 
 
-def pages(lineage, language: str = "en") -> DataFrame:
-    """(workbook_id, html): a page for each workbook that needs no network: its graph as a table, filtered by sheet."""
+def pages(lineage, language: str = "en", docs: DataFrame | None = None) -> DataFrame:
+    """(workbook_id, html): a page for each workbook that needs no network: its graph as a table, filtered by sheet and text, with documents if there are any."""
     if language not in LANGUAGES:
         raise ValueError(f"language must be one of {', '.join(LANGUAGES)}")
     title, nodes, edges, every = LANGUAGES[language]
     safe = script_safe(F.col("graph"))
     head = f'<!DOCTYPE html><html lang="{language}"><meta charset="utf-8"><title>'
     body = (
-        f"<h1>{title}</h1><select id=s><option value=''>{every}</option></select><p id=n></p><table id=t></table><script>const g="
+        f"<h1>{title}</h1><select id=s><option value=''>{every}</option></select><input id=q type=search><p id=n></p><table id=t></table><script>const g="
     )
     script = (
-        ";const s=document.getElementById('s'),t=document.getElementById('t');for(const x of g.sheets||[]){const o=document.createElement('option');o.textContent=x.sheet;s.append(o)}"
-        "function show(){t.textContent='';const v=(g.nodes||[]).filter(x=>!s.value||x.sheet===s.value);document.getElementById('n').textContent=v.length+' "
+        ";const s=document.getElementById('s'),q=document.getElementById('q'),t=document.getElementById('t');for(const x of g.sheets||[]){const o=document.createElement('option');o.textContent=x.sheet;s.append(o)}"
+        "function show(){t.textContent='';const v=(g.nodes||[]).filter(x=>(!s.value||x.sheet===s.value)&&((x.label||'')+' '+(x.formula||'')).toLowerCase().includes(q.value.toLowerCase()));document.getElementById('n').textContent=v.length+' "
         f"{nodes}, '+(g.edges||[]).length+' {edges}';for(const x of v)"
-        "{const r=t.insertRow();for(const c of [x.kind,x.label,x.formula||'',x.value||''])r.insertCell().textContent=c}}s.onchange=show;show()</script></html>"
+        "{const r=t.insertRow();for(const c of [x.kind,x.label,x.formula||'',x.value||'',x.doc||''])r.insertCell().textContent=c}}s.onchange=q.oninput=show;show()</script></html>"
     )
-    return graph_json(lineage).select("workbook_id", F.concat(F.lit(head), html_text(F.col("workbook_id")), F.lit("</title>"), F.lit(body), safe, F.lit(script)).alias("html"))
+    return graph_json(lineage, docs).select("workbook_id", F.concat(F.lit(head), html_text(F.col("workbook_id")), F.lit("</title>"), F.lit(body), safe, F.lit(script)).alias("html"))
 
 
 def iframe(html: str, height: int = 600) -> str:
@@ -56,6 +57,3 @@ def iframe(html: str, height: int = 600) -> str:
 
     return f'<iframe sandbox="allow-scripts" style="width:100%;height:{int(height)}px;border:0" src="data:text/html;base64,{base64.b64encode(html.encode()).decode()}"></iframe>'
 
-
-def pretty(text: str) -> str:
-    return json.dumps(json.loads(text), indent=2, ensure_ascii=False)

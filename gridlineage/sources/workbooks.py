@@ -20,7 +20,7 @@ from ..functions.refs import col_to_num, parse_ref
 
 #: Cells of a batch.
 BATCH = 20_000
-#: A mashup of queries up to this size is unpacked.
+#: A mashup of queries up to this size is unpacked; a larger one is a problem that is told.
 MASHUP = 32 << 20
 #: Built-in number formats that show a date or time.
 DATES = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
@@ -174,8 +174,9 @@ def structure(books: DataFrame) -> DataFrame:
     kind is sheet (text: state), name (name, sheet: scope, text: definition), table (name, sheet, text:
     range, list: headers), link (ord, name: file, text: target), cached (a cell that link `ord` keeps), load
     (name: query, sheet, text: range), merged and hidden (sheet, text: range or
-    columns), comment (sheet, name: cell, text), epoch (text: 1904), query (text: the section), macros
-    (name: part), problem (text).
+    columns), comment (sheet, name: cell, text), size (sheet, text: the range it declares), frozen (sheet, text: the
+    first cell that scrolls), epoch (text: 1904), query (text: the section), macros (name: part), problem (name:
+    part, text).
     """
     schema = "workbook_id string, kind string, sheet string, ord int, name string, text string, list array<string>"
 
@@ -223,7 +224,11 @@ def _declared(z: zipfile.ZipFile) -> list[tuple]:
         own = _rels(z, part)
         for _, e in ElementTree.iterparse(z.open(part)):
             tag = local(e.tag)
-            if tag == "mergeCell":
+            if tag == "dimension":
+                out.append(("size", name, 0, None, e.get("ref"), None))
+            elif tag == "pane" and e.get("state") in ("frozen", "frozenSplit"):
+                out.append(("frozen", name, 0, None, e.get("topLeftCell"), None))
+            elif tag == "mergeCell":
                 out.append(("merged", name, 0, None, e.get("ref"), None))
             elif tag == "col" and e.get("hidden") in ("1", "true"):
                 out.append(("hidden", name, 0, None, f"{e.get('min')}:{e.get('max')}", None))
@@ -242,8 +247,12 @@ def _declared(z: zipfile.ZipFile) -> list[tuple]:
                 for c in (c for c in ElementTree.fromstring(z.read(target)).iter() if local(c.tag) == "comment"):
                     out.append(("comment", name, 0, c.get("ref"), "".join(t.text or "" for t in c.iter() if local(t.tag) == "t"), None))
     for p in sorted(p for p in parts if re.fullmatch(r"customXml/item\d+\.xml", p)):
-        text = _section(z.read(p))
-        if text:
+        xml = z.read(p)
+        if len(xml) > MASHUP * 4 // 3:
+            # Its length alone tells nothing of its kind, so the part's name is looked for at its beginning.
+            if b"DataMashup" in xml[:4096]:
+                out.append(("problem", None, 0, p, f"queries of {len(xml)} bytes are not read", None))
+        elif text := _section(xml):
             out.append(("query", None, 0, None, text, None))
     return out
 
@@ -288,7 +297,7 @@ def _section(xml: bytes) -> str | None:
 
     try:
         root = ElementTree.fromstring(xml)
-        if local(root.tag) != "DataMashup" or len(root.text or "") > MASHUP * 4 // 3:
+        if local(root.tag) != "DataMashup":
             return None
         data = base64.b64decode(root.text)
         size = int.from_bytes(data[4:8], "little")

@@ -11,10 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gridlineage import analyze
+from gridlineage import analyze, cli
 from gridlineage.functions import values as V
-from gridlineage.operators import code, context, evaluate, graph
+from gridlineage.functions import vectors
+from gridlineage.operators import code, context, dossiers, evaluate, graph
 from gridlineage.sinks.export import graph_json, iframe, pages
+from gridlineage.sources import workbooks
 
 MAIN, REL = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
@@ -159,6 +161,62 @@ def test_exports(lineage):
         pages(lineage, "xx")
 
 
+def test_documents(lineage):
+    class Writer:
+        """A provider that fails on some dossiers and knows the tokens of some others."""
+
+        def generate_with_usage(self, prompt):
+            found = json.loads(prompt)
+            if found.get("id") == "c:Report!A3":
+                raise RuntimeError("busy")
+            return f"<{found.get('id', 'book')}>", 7 if "sheets" in found else None, None
+
+    docs = lineage.documents(Writer())
+    found = {r.id: r for r in docs.collect() if "garden" in r.workbook_id}
+    assert {i: r.doc for i, r in found.items() if r.error is None} == {None: "<book>", "c:Report!A2": "<c:Report!A2>", "c:Report!A4": "<c:Report!A4>", f"g:Plots!E4#{PLOTS}": f"<g:Plots!E4#{PLOTS}>"}
+    assert found["c:Report!A3"].error == "RuntimeError: busy" and found[None].tokens_in == 7
+    spent = next(r for r in lineage.usage(docs).collect() if "garden" in r.workbook_id)
+    assert spent.requests == 4 and spent.estimated and spent.tokens_in > 7 and spent.tokens_out > 0
+    graph_ = json.loads(graph_json(lineage, docs).filter("graph like '%Report%'").first().graph)
+    assert {n["id"]: n["doc"] for n in graph_["nodes"]}["c:Report!A2"] == "<c:Report!A2>" and {n["doc"] for n in graph_["nodes"] if n["kind"] == "input"} == {""}
+    assert all(e["id"].startswith("e") for e in graph_["edges"]) and len({e["id"] for e in graph_["edges"]}) == len(graph_["edges"])
+    assert "x.doc" in pages(lineage, docs=docs).first().html
+    too_long = dossiers.documented(docs.select("workbook_id", "id", F.col("prompt").alias("dossier")), lambda p: p, node_chars=3).collect()
+    assert {r.id for r in too_long if r.error} == {i for i in found if i}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    book(tmp_path / "a.xlsx", {"One": '<row><c r="A1"><f>B1*2</f><v>1</v></c><c r="B1"><v>4</v></c></row>', "Two": "</sheetData><sheetViews><sheetView><pane state='frozen' topLeftCell='B3'/></sheetView></sheetViews><dimension ref='A1:XFD1048576'/><sheetData>"})
+    path = str(tmp_path / "a.xlsx")
+    assert cli.main(["--dry-run", path]) == 0
+    told = capsys.readouterr().out
+    assert "17179869184" in told and "true" in told
+    assert cli.main(["--json", "-", "-v", "--no-html", "--html", str(tmp_path / "html"), path]) == 0
+    out, err = capsys.readouterr()
+    assert {n["id"] for n in json.loads(out)["nodes"]} == {"c:One!A1", "i:One!B1"} and "calculated 8, stored 1" in err and not (tmp_path / "html").exists()
+    assert cli.main(["--dry-run", str(tmp_path / "none.xlsx")]) == 2
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    kinds = workbooks.structure(workbooks.files(spark, path)).filter("kind = 'frozen'").collect()
+    assert [(r.sheet, r.text) for r in kinds] == [("Two", "B3")]
+
+
+def test_large_queries_are_told(spark, tmp_path, monkeypatch):
+    book(tmp_path / "q.xlsx", {"S": ""}, "", [("customXml/item1.xml", section("section S; shared Q = 1;"))])
+    assert [r.kind for r in workbooks.structure(workbooks.files(spark, str(tmp_path))).filter("kind in ('query', 'problem')").collect()] == ["query"]
+    monkeypatch.setattr(workbooks, "MASHUP", 10)
+    with zipfile.ZipFile(tmp_path / "q.xlsx") as z:
+        assert [r[0] for r in workbooks._declared(z) if r[0] in ("query", "problem")] == ["problem"]
+
+
+def test_numbers_as_text(spark):
+    numbers = [0.1 + 0.2, 1e20, -1.5e-7, 1 / 3, 123456789012345678.0, 0.0001, -2.5, 1e15, 99999999999999.0, 7.0]
+    want = ["0.3", "1E+20", "-1.5E-07", "0.333333333333333", "1.23456789012346E+17", "0.0001", "-2.5", "1E+15", "99999999999999", "7"]
+    assert [vectors.plain(n) for n in numbers] == want
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i int, n double")
+    assert [r.t for r in df.select("i", V.as_text(V.number(F.col("n"))).alias("t")).orderBy("i").collect()] == want
+
+
 CASES = [
     ("=7/(3-3)", "#DIV/0!"), ("=NA()", "#N/A"), ("=SQRT(2-6)", "#NUM!"), ('=3*"cat"', "#VALUE!"), ("=Frobnicate(4)", "#NAME?"), ("=IFERROR(SQRT(0-1),-8)", -8.0), ("=IFERROR(Y8*2,5)", 0.0), ("=-3^2", 9.0), ("=25%*8", 2.0), ("=Nowhere!C3", None),
     ("=SUM(W1:W4 W2:W6)", None), ("=RAND()", None), ('=LEN("green")&"/"&0.5&FALSE', "5/0.5FALSE"), ('="Tea"="tEA"', True), ('=99<"1"', True), ("=ROUND(-7.45,1)", -7.5), ('=CONCATENATE("no",6.0)', "no6"), ("=IF(1-1,3)", False), ("=ISERROR(LEN(4))", False), ("=IFNA(5/0,2)", "#DIV/0!"),

@@ -197,3 +197,24 @@ def test_criterion_texts():
     assert calls.criterion(X.TEXT, math.nan, "<>") == [(1, {"op": "any"}), (-1, {"op": "eq", "kind": "blank", "n": None, "s": None})]
     both = calls.narrowed(calls.between("num", 1, 9)[1], calls.between("num", 3, None, open_=True)[1])
     assert (both["n"], both["open"], both["n2"]) == (3, True, 9)
+
+
+def test_arrays_and_lambdas(spark):
+    grid = {1: (1, 2, 10, "a"), 2: (3, 4, 20, "b"), 3: (5, 6, 30, "a"), 4: (None, 8, 40, "c"), 5: (9, None, 50, "a")}
+    cells = [("S", r, c, v) for r, row in grid.items() for c, v in enumerate(row, 1) if v is not None] + [("S", 1, 6, 3), ("S", 2, 6, "a"), ("S", 1, 8, "#N/A"), ("S", 2, 8, 5)]
+    cases = {
+        "=SUM({1,2;3,4})": 10, "=SUM({1,2,3}*S!A1)": 6, "=MAX({1,7,3}+{0;10})": 17, "={5,6}": 5, "=SUMPRODUCT({1,2},{3,4})": 11, "=SUM({1,2}*{1,2,3})": "#N/A", '=VLOOKUP("b",{"a",1;"b",2},2,FALSE)': 2, "=LOOKUP(25,{0,10,20,30},{\"w\",\"x\",\"y\",\"z\"})": "y",
+        "=MATCH(3,{1,3,5},0)": 2, '=SUM(COUNTIF(S!D1:D5,{"a","c"}))': 4, '=MATCH("q",{"a","b"},0)': "#N/A", "=AVERAGE({2,4,-6})": 0,
+        "=SUM(S!A1:A5*S!B1:B5)": 44, "=SUMPRODUCT(--(S!D1:D5=\"A\"),S!C1:C5)": 90, "=SUMPRODUCT((S!A1:A5>=S!F1)*(S!D1:D5=S!F2)*S!C1:C5)": 80, "=SUM(S!A1:A5+1)": 23, "=MAX(S!A1:A5-S!B1:B5)": 9, "=MIN(S!C1:C5/10)": 1, "=AVERAGE(IF(S!D1:D5=\"a\",S!C1:C5))": 30,
+        "=SUM(S!H1:H2*2)": "#N/A", "=SUM(IFERROR(S!H1:H2*2,1))": 11, "=COUNT(S!A1:A5*1)": 5, "=SUM(S!A1:A5*S!B1:B4)": "uncomputed", "=SUM(S!A1:A9000=0)": 0, "=SUMPRODUCT(--(S!A1:A9000=0))": 8996, "=SUM(LEN(S!D1:D5))": 5, "=SUMPRODUCT(S!A1:A5>2,S!C1:C5)": 0, "=COUNT(IF(S!A1:A5>2,S!C1:C5))": 3 + 0,
+        "=LAMBDA(p,q,p*q)(S!A2,2)": 6, "=LET(f,LAMBDA(x,x*2),f(S!A2)+f(1))": 8, "=LAMBDA(x,LET(y,x+1,LAMBDA(x,x*y)(10)))(1)": 20, "=LET(y,5,f,LAMBDA(x,x+y),y,1,f(y))": 6, "=LAMBDA(x,x)": "#CALC!", "=LAMBDA(x,x)(1,2)": "#VALUE!", "=LET(f,LAMBDA(g,x,g(g(x))),f(LAMBDA(z,z*3),2))": 18,
+        "=LAMBDA(r,SUM(r))(S!C1:C5)": 150, '=SUM({1,"x")': "uncomputed",
+    }
+    cases["=COUNT(IF(S!A1:A5>2,S!C1:C5))"] = 3
+    rows = [("T", i, 1, f) for i, f in enumerate(cases, 1)] + [("U", r, 1, f"=SUM(S!A$1:A{r}*S!C$1:C{r})") for r in range(1, 6 + 4)] + [("U", r, 2, f"=MAX(S!A$1:A{r}*S!C$1:C{r})") for r in range(2, 10)]
+    got = results(spark, rows, cells)
+    for i, (f, w) in enumerate(cases.items(), 1):
+        assert got["T", i, 1] == w, f
+    products = [(grid[r][0] or 0) * grid[r][2] if r in grid else 0 for r in range(1, 10)]
+    assert [got["U", r, 1] for r in range(1, 10)] == [sum(products[:r]) for r in range(1, 10)]
+    assert [got["U", r, 2] for r in range(2, 10)] == [max(products[:r]) for r in range(2, 10)]

@@ -151,9 +151,12 @@ def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None =
     static = tables.static_tables(cells).join(found.select("workbook_id", "sheet").distinct(), ["workbook_id", "sheet"], "left_anti")
     every = found.unionByName(static, allowMissingColumns=True)
 
-    differing = values.filter("differs")
-    message = F.concat(F.col("sheet"), F.lit("!"), R.a1(F.col("row"), F.col("col")), F.lit(": calculated "), V.as_text(F.col("engine")), F.lit(", stored "), V.as_text(F.col("stored")))
+    differing = reconcile.origins(values, formulas, constants.unionByName(linked).unionByName(stored), evaluate.isolated, checkpointed(names))
+    message = F.concat(F.col("sheet"), F.lit("!"), R.a1(F.col("row"), F.col("col")), F.lit(": calculated "), V.as_text(F.col("engine")), F.lit(", stored "), V.as_text(F.col("stored")), F.when(F.col("origin") == "inherited", " (by cells it reads)").otherwise(""))
     warnings = reconcile.capped(differing, message, ("sheet", "row", "col")).select("workbook_id", F.lit("values").alias("code"), "ord", "message")
+    open_ = reconcile.uncomputed_named(values.filter("source is null and not volatile"), F.concat(F.col("sheet"), F.lit("!"), R.a1(F.col("row"), F.col("col"))), ("sheet", "row", "col"))
+    left = F.when(F.col("n") > F.size("names"), F.concat(F.lit(" and "), (F.col("n") - F.size("names")).cast("string"), F.lit(" more"))).otherwise("")
+    warnings = warnings.unionByName(open_.select("workbook_id", F.lit("uncomputed").alias("code"), F.lit(0).alias("ord"), F.concat(F.lit("no value: "), F.array_join("names", ", "), left).alias("message")))
     problems = structure.filter("kind = 'problem'").select("workbook_id", F.lit("file").alias("code"), F.lit(0).alias("ord"), F.col("text").alias("message"))
     said = notices.external_books(books)
     names_of = lambda c: F.array_join(c, ", ")

@@ -613,6 +613,78 @@ def eval_volatile(spark, sf_dir):
     return wide.select("row", *[F.col(f"`{c}`").alias(n) for c, n in ((8, "direct"), (9, "chained"), (10, "branch"), (11, "ranged"), (12, "looked_up"), (13, "apart"))])
 
 
+@query("""
+    SELECT CAST(o_orderkey + 2 AS INT) AS "row", round(sum(o_totalprice * o_custkey) OVER w / 1000000, 3) AS so_far, max(o_totalprice - o_custkey) OVER w AS high, CAST(6 * o_custkey AS DOUBLE) AS six,
+      CASE WHEN o_custkey >= 1000 THEN 'large' WHEN o_custkey >= 100 THEN 'middle' ELSE 'small' END AS size, o_totalprice * 2 + o_custkey AS applied,
+      (SELECT round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) FROM orders) AS finished FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)
+""")
+def eval_arrays(spark, sf_dir):
+    """Array formulas over ranges that grow, array constants, SUMPRODUCT of a comparison, LAMBDA (2.9e)."""
+    from .operators.evaluate import evaluate
+
+    orders = read(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0] + 2
+    f = sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: "=SUM(D$2:D{r}*B$2:B{r})", 8: "=MAX(D$2:D{r}-B$2:B{r})", 9: "=SUM({1,2,3}*B{r})", 10: '=VLOOKUP(B{r},{0,"small";100,"middle";1000,"large"},2)', 11: "=LAMBDA(p,q,p*2+q)(D{r},B{r})", 12: f'=SUMPRODUCT(--(C$2:C${last}="f"),D$2:D${last})'})
+    wide = evaluate(f, sheets.sheet_cells(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "o_orderkey")).groupBy("row").pivot("col", list(range(7, 13))).agg(F.first("value"))
+    v = lambda c: F.col(f"`{c}`")["n"]
+    return wide.select("row", F.round(v(7) / 1000000, 3).alias("so_far"), v(8).alias("high"), v(9).alias("six"), F.col("`10`")["s"].alias("size"), v(11).alias("applied"), F.round(v(12), 2).alias("finished"))
+
+
+@query("""
+    WITH z AS (SELECT count(*) AS n, count(*) + 1 AS l FROM lineitem)
+    SELECT 'g:lineitem!M2#' || n AS src, 'c:totals!A1' AS dst, n > 20000 AS approx FROM z UNION ALL SELECT 'i:lineitem!F2:F' || l, 'g:lineitem!M2#' || n, false FROM z
+    UNION ALL SELECT 'i:lineitem!M2:M' || l, 'c:totals!A1', false FROM z WHERE n > 20000
+""")
+def approximate_edges(spark, sf_dir):
+    """A range above 20,000 cells, whose edges come from the boxes of patterns."""
+    li = read(spark, sf_dir, "lineitem")
+    n = li.count()
+    rows = spark.range(n).withColumnRenamed("id", "k")
+    one = spark.createDataFrame([("tables", "totals", 1, 1, f"=SUM(lineitem!M2:M{n + 1})")], "workbook_id string, sheet string, row int, col int, formula string")
+    f = checkpointed(patterns.relative(sheets.sheet_formulas(rows, "lineitem", "k", {13: "=F{r}*2"}).unionByName(one)))
+    p = checkpointed(patterns.groups(f))
+    kept, owned = patterns.top(p), checkpointed(patterns.owners(f, p))
+    reads = checkpointed(edges.precedents(kept, sheets.dimensions(f)))
+    ins = edges.input_ranges(reads, owned)
+    return edges.merged(sheets.union([edges.range_edges(reads, owned), edges.input_edges(reads, ins), edges.approximate_edges(reads, kept)])).select("src", "dst", "approx")
+
+
+@query("""
+    SELECT CAST(o_orderkey + 2 AS INT) AS "row", 'file' AS first, CASE WHEN o_orderkey % 2 = 0 THEN 'file' END AS second, 'file' AS third, 'engine' AS guarded, 'engine' AS apart, o_totalprice + 3 AS third_value FROM orders
+""")
+def eval_quarantine(spark, sf_dir):
+    """Formulas that read a sheet that isn't there, and what reads them, have the values of the file; guards and the rest are calculated."""
+    from .operators.evaluate import evaluate
+
+    orders = read(spark, sf_dir, "orders")
+    f = checkpointed(patterns.relative(sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: "=Gone!A1*D{r}", 8: "=G{r}+1", 9: "=SUM(G{r}:H{r})", 10: "=IF(ISERROR(1/0),D{r},G{r})", 11: "=D{r}*2"})))
+    computed = evaluate(f, sheets.sheet_cells(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "o_orderkey"))
+    stored = f.filter("col = 7 or col = 9 or (col = 8 and row % 2 = 0)").join(orders.select((F.col("o_orderkey") + 2).cast("int").alias("row"), "o_totalprice"), "row").select("workbook_id", "sheet", "row", "col", V.number(F.col("o_totalprice") + F.col("col") - 6).alias("value"))
+    out = reconcile.reconciled(f, computed, stored).groupBy("row").pivot("col", list(range(7, 12))).agg(F.first("source").alias("s"), F.first("value.n").alias("n"))
+    return out.select("row", *[F.col(f"{c}_s").alias(n) for c, n in ((7, "first"), (8, "second"), (9, "third"), (10, "guarded"), (11, "apart"))], F.col("9_n").alias("third_value"))
+
+
+@query("""
+    SELECT CAST(o_orderkey + 2 AS INT) AS "row", CASE WHEN o_orderkey % 10 = 0 THEN 'own' END AS first, CASE WHEN o_orderkey % 10 = 0 THEN 'inherited' WHEN o_orderkey % 10 = 5 THEN 'own' END AS second, CASE WHEN o_orderkey % 5 = 0 THEN 'inherited' END AS third FROM orders
+""")
+def mismatch_origins(spark, sf_dir):
+    """Stored values that their own formula doesn't give, and those that follow from others that are wrong (V7)."""
+    from .operators.evaluate import evaluate, isolated
+
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    f = checkpointed(patterns.relative(sheets.sheet_formulas(orders, "orders", "o_orderkey", {7: "=D{r}*2", 8: "=G{r}+1", 9: "=IF(H{r}>0,H{r}*3,0)"})))
+    cells = sheets.sheet_cells(orders, "orders", "o_orderkey")
+    k, d = F.col("o_orderkey"), F.col("o_totalprice")
+    g = d * 2 + F.when(k % 10 == 0, 7.0).otherwise(0.0)
+    h = g + 1 + F.when(k % 10 == 5, 5.0).otherwise(0.0)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), V.number(v).alias("value")) for c, v in ((7, g), (8, h), (9, h * 3))]))
+    stored = checkpointed(orders.select(F.lit("tables").alias("workbook_id"), F.lit("orders").alias("sheet"), (k + 2).cast("int").alias("row"), each.alias("x")).select("workbook_id", "sheet", "row", "x.*"))
+    found = reconcile.origins(reconcile.reconciled(f, evaluate(f, cells), stored), f, cells.select(*stored.columns).unionByName(stored), isolated)
+    every = f.select("row", "col").join(found.select("row", "col", "origin"), ["row", "col"], "left")
+    wide = every.groupBy("row").pivot("col", [7, 8, 9]).agg(F.first("origin"))
+    return wide.select("row", F.col("`7`").alias("first"), F.col("`8`").alias("second"), F.col("`9`").alias("third"))
+
+
 @query("SELECT o_orderkey, c_acctbal AS n, CASE WHEN c_custkey IS NULL THEN '#N/A' END AS err FROM orders LEFT JOIN customer ON c_custkey = o_custkey + 200")
 def eval_vlookup(spark, sf_dir):
     """A column of exact lookups, missing keys as #N/A."""

@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .tokens import slices
 
-#: Branches that are less important than this are removed.
-IMPORTANT = 0.2
-#: Shares of a node's importance: what it says, how its children are arranged, how long it is.
+#: Texts that are less important than this are removed, whatever else is known of them.
+IMPORTANT = 0.4
+#: Shares of the importance of a content node: how new its texts are, how they are marked up, how long they are.
 CONTENT, ARRANGED, LENGTH = 0.6, 0.2, 0.2
-#: What evidence leaves of the importance of a branch: its names say that it is no article; its text is links; it stands outside of the article.
-NAMED, LINKED, OUTSIDE = 0.15, 0.25, 0.15
+#: Share of the element that holds a content node in what its texts are worth.
+HOLDER = 0.1
+#: Importance of a node that is seen on one page, where entropy says nothing. It weighs as two pages do.
+UNKNOWN = 0.6
+#: What evidence leaves of importance: names say that a branch is no article, or reader comments; it is a list of links; it stands outside of the article. Texts of the article gain.
+NAMED, TALKED, LINKED, OUTSIDE, GAIN = 0.5, 0.3, 0.5, 0.6, 4.0
 #: Share of a page's text from which a branch is taken for the page's body, so that its names say nothing.
 BODY = 0.5
-#: Bytes of the removed or doubtful nodes of all hosts that may be broadcast.
+#: Bytes of the nodes of all hosts that may be broadcast.
 BROADCAST_BYTES = 32_000_000
 
 #: Elements by what they do to the text around them.
@@ -73,6 +77,9 @@ class Node:
     size: int = 0
     links: int = 0
     paragraphs: int = 0
+    #: Characters that stand in article and main elements, and characters that no name speaks against.
+    within: int = 0
+    plain: int = 0
     #: What its tag and names say: 0 nothing, 1 no article, 2 reader comments.
     says: int = 0
     inside: bool = False
@@ -97,10 +104,16 @@ class Page(HTMLParser):
         self.close()
         self.flush()
         for node in reversed(self.nodes):
+            if node.text:
+                node.plain, node.within = node.size, node.size * node.inside
+            if node.says and not node.head:
+                node.plain = node.within = 0
             if node.above is not None:
                 node.above.size += node.size
                 node.above.links += node.links
                 node.above.paragraphs += node.paragraphs
+                node.above.within += node.within
+                node.above.plain += node.plain
 
     def flush(self) -> None:
         if self.text:
@@ -191,33 +204,40 @@ class Page(HTMLParser):
                 self.linked += len(data)
 
 
-def styled(html: str | None) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """A page's hash, and (style node, content, arrangement, length) of each node of its tree that holds text.
+#: Features of a node: a text it holds, its arrangement, its length.
+TEXT, LOOK, SIZE = 0, 1, 2
+
 
-    Nodes of one path are one. Content is a hash of the texts below; arrangement one of an element's children
-    by tag and class, or of a text's inline markup; length is that of the mean branch as a power of two.
+def styled(html: str | None) -> tuple[int, list[tuple[int, int, int]]]:
+    """A page's hash, and the (style node, feature, value) of each node of its tree that holds text.
+
+    Nodes of one path are one. A content node has a value TEXT for each different text. LOOK is a hash of the inline
+    markup of texts, or of an element's children by tag and class; SIZE is that of the mean branch as a power
+    of two. A page goes by its longest text, so copies of an article among other menus are one page.
     """
     if not html:
         return 0, []
     page = Page(html)
-    content: dict[int, bytes] = {}
-    same: dict[str, list[Node]] = {}
-    for node in reversed(page.nodes):
+    longest, same = "", {}
+    for node in page.nodes:
         if node.size:
-            content[id(node)] = xxhash.xxh3_64_digest(node.text.encode("utf-8", "surrogatepass") if node.text else b"".join(content[id(b)] for b in node.below if b.size))
             same.setdefault(node.path, []).append(node)
+            if len(node.text) > len(longest):
+                longest = node.text
     out = []
     for path, nodes in same.items():
         if path:
+            at = digest(path)
+            out += [(at, TEXT, h) for h in {digest(n.text) for n in nodes if n.text}]
             looks = {n.look if n.text else " ".join(dict.fromkeys(b.path[len(path) :] for b in n.below if b.size)) for n in nodes}
-            texts = xxhash.xxh3_64_intdigest(b"".join(content[id(n)] for n in nodes)) - (1 << 63)
-            out.append((digest(path), texts, digest(*sorted(looks)), (sum(n.size for n in nodes) // len(nodes)).bit_length()))
-    return xxhash.xxh3_64_intdigest(content.get(id(page.root), b"")) - (1 << 63), out
+            out.append((at, LOOK, digest(*sorted(looks))))
+            out.append((at, SIZE, (sum(n.size for n in nodes) // len(nodes)).bit_length()))
+    return digest(longest), out
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, node, content, look, size, page) of every style node of every page of (host, html); all but the host are hashes or numbers."""
-    names = ["host", "node", "content", "look", "size", "page"]
+    """(host, node, feature, value, page) of every style node of every page of (host, html); all but the host are hashes or numbers."""
+    names = ["host", "node", "feature", "value", "page"]
 
     def run(batches):
         for b in batches:
@@ -229,60 +249,76 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                     for node in nodes:
                         for c, v in zip(out, (host, *node, page), strict=True):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:])], names)
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return pages.mapInArrow(run, "host string, node long, content long, look long, size long, page long")
+    return pages.mapInArrow(run, "host string, node long, feature int, value long, page long")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
     """(host, node, n, importance) of each node of the merged trees.
 
-    n counts the different pages that have the node; copies of a page count once. The entropy of a feature
-    is 1 if it differs each time and 0 if it is always the same. A node's importance is the mean entropy of
-    what it says, how its children are arranged and how long it is, drawn to 1 while few pages speak
-    against it: of the lack of entropy, (n - 1) / (n + 1) counts.
+    n counts the different pages that have the node; copies of a page count once. A text's entropy over the pages
+    that hold it is 0 bits where it stands on one, and one or more bits where it stands on several: it's new in
+    the first case, and not in the second. Content is the share of new ones among all (text, page) of the node. The
+    entropy of arrangement and of length is 1 if they differ on each page and 0 if they are always the same. A
+    content node's importance is the mean of the three by their shares, an element's that of the last two. It's drawn to
+    UNKNOWN as if two more pages had said so, and one page says nothing.
     """
-    seen = nodes.distinct()
-    values = F.expr("stack(3, 0, content, 1, look, 2, size) as (feature, value)")
-    counts = seen.select("host", "node", values).groupBy("host", "node", "feature", "value").agg(F.count("*").alias("c"))
-    n, s = F.sum("c"), F.sum(F.col("c") * F.log("c"))
-    each = counts.groupBy("host", "node", "feature").agg(n.alias("n"), F.when(n > 1, 1 - s / (n * F.log(n))).otherwise(1.0).alias("h"))
-    share = F.when(F.col("feature") == 0, CONTENT).when(F.col("feature") == 1, ARRANGED).otherwise(LENGTH)
-    mean = each.groupBy("host", "node").agg(F.max("n").alias("n"), F.sum(share * F.col("h")).alias("h"))
-    return mean.select("host", "node", "n", (1 - (1 - F.col("h")) * (F.col("n") - 1) / (F.col("n") + 1)).alias("importance"))
+    counts = nodes.distinct().groupBy("host", "node", "feature", "value").agg(F.count("*").alias("c"))
+    n, s, new = F.sum("c"), F.sum(F.col("c") * F.log("c")), F.sum((F.col("c") == 1).cast("long"))
+    each = counts.groupBy("host", "node", "feature").agg(n.alias("n"), F.when(F.col("feature") == TEXT, new / n).when(n > 1, 1 - s / (n * F.log(n))).otherwise(1.0).alias("h"))
+    share = F.when(F.col("feature") == TEXT, CONTENT).when(F.col("feature") == LOOK, ARRANGED).otherwise(LENGTH)
+    mean = each.groupBy("host", "node").agg(F.max(F.when(F.col("feature") == SIZE, F.col("n"))).alias("n"), (F.sum(share * F.col("h")) / F.sum(share)).alias("h"))
+    return mean.select("host", "node", "n", ((F.col("h") * (F.col("n") - 1) + 2 * UNKNOWN) / (F.col("n") + 1)).alias("importance"))
 
 
 def evidence(node: Node, page: Node) -> float:
-    """What a page (its root) itself says of a branch, as a factor of its importance.
+    """What a page (its root) itself says of a branch: a factor of the importance of its texts, 1 if it says nothing.
 
     Names and tags count unless the branch is the page's body: it holds the heading, or BODY of the text and
     half of the paragraphs or, on a page without heading, no matter what. Those of reader comments count
-    unless the branch holds the heading. A branch of links counts less.
+    unless the branch holds the heading. A branch of two links or more and little else counts less. If article and main
+    elements hold BODY of the text that no name speaks against, all outside counts less and they count more.
     """
     most = node.size >= BODY * page.size and node.says < 2 and (not page.head or 2 * node.paragraphs >= max(page.paragraphs, 1))
-    return (NAMED if node.says and not (node.head or most) else 1.0) * (LINKED if node.links >= 0.8 * node.size else 1.0)
+    against = 1.0
+    if node.says and not (node.head or most):
+        against = TALKED if node.says == 2 else NAMED
+    if not node.head and node.links >= 0.8 * node.size and sum(b.size > 0 for b in node.below) > 1:
+        against = min(against, LINKED)
+    if page.within and page.within >= BODY * page.plain:
+        if node.text and not node.inside:
+            against = min(against, OUTSIDE)
+        elif node.inside and against == 1:
+            return GAIN
+    return against
 
 
 def kept(html: str | None, known: dict[int, float], judge=evidence) -> list[str]:
-    """The texts of a page without the branches whose importance, times the evidence, is below IMPORTANT.
+    """The texts of a page whose importance, times the strongest evidence against the branches they are in, reaches IMPORTANT.
 
-    known: importance of nodes of the host's tree where it may matter; that of others is 1. If what stays
-    in article and main elements is BODY of what stays, all outside is evidence of no article.
+    known: importance of nodes of the host's tree; that of others is UNKNOWN. A text's importance is that of its
+    content node, and to the share HOLDER that of the element which holds it. Gains count where nothing is against a
+    text. A branch is removed when all its texts are.
     """
     if not html:
         return []
     root = Page(html).root
-    out, stack = [], [root]
+    out, stack = [], [(root, 1.0, UNKNOWN)]
     while stack:
-        node = stack.pop()
-        if node.size and (node is root or known.get(digest(node.path), 1.0) * judge(node, root) >= IMPORTANT):
-            if node.text:
-                out.append(node)
-            stack.extend(reversed(node.below))
-    inside = sum(n.size for n in out if n.inside)
-    if inside and inside >= BODY * sum(n.size for n in out):
-        out = [n for n in out if n.inside or OUTSIDE >= IMPORTANT]
-    return [n.text for n in out]
+        node, factor, holder = stack.pop()
+        if not node.size:
+            continue
+        e = judge(node, root)
+        factor = min(factor, e) if e < 1 else max(factor, e) if factor >= 1 else factor
+        own = known.get(digest(node.path), UNKNOWN)
+        if node.text:
+            if factor * ((1 - HOLDER) * own + HOLDER * holder) >= IMPORTANT:
+                out.append(node.text)
+        else:
+            stack += [(b, factor, own) for b in reversed(node.below)]
+    return out
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -290,9 +326,9 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     All pages of a host are merged in a tree of styles, in which a node is the path of tags and classes. A
     node's importance is the entropy of what it holds and of how it is arranged over the host's pages
-    (`importance`), times what the page's tags, names and links say of the branch (`evidence`). Branches
-    below IMPORTANT are removed from each page, from the top down. Only scripts, styles and other things
-    that are not shown go before.
+    (`importance`). Texts below IMPORTANT are removed from each page; what the page's tags, names and links say of a
+    branch (`evidence`) moves those that are near it. Only scripts, styles and other things that are not shown go
+    before.
 
     A null page, and one without main text, has an empty text. Rows with equal or null keys are pages of
     their own. Pages without a host in their url, or without a url, are merged with each other. Further
@@ -300,8 +336,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """
     host = F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit(""))
     rows = pages.select(host.alias("host"), F.col(html).alias("html"), F.col(key).alias("page_id"), F.col(url).alias("url"))
-    # Only where the entropy may decide: above, the evidence does so alone.
-    found = importance(style_nodes(rows.select("host", "html"))).filter(F.col("importance") < IMPORTANT / LINKED)
+    # Nodes of one page have the importance UNKNOWN, so they needn't be known.
+    found = importance(style_nodes(rows.select("host", "html"))).filter("n > 1")
     found = checkpointed(found.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("importance").alias("values")))
     size = found.agg(F.sum(F.size("nodes") * 16 + F.octet_length("host") + 100)).first()[0] or 0
     known = F.broadcast(found) if size <= BROADCAST_BYTES else found

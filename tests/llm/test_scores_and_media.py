@@ -106,21 +106,72 @@ def test_entropy_alone_removes_what_repeats(spark):
         assert sitetree.kept(html, {}, judge=lambda *_: 1.0) != alone
 
 
+def counted(pages):
+    """Importance of nodes by plain counts: node -> (pages, importance)."""
+    seen, held = {}, {}
+    for page, nodes in {sitetree.styled(p)[0]: sitetree.styled(p)[1] for p in pages}.items():
+        for node, feature, value in nodes:
+            seen.setdefault(node, {}).setdefault(feature, []).append(value)
+            held.setdefault((node, value, feature), set()).add(page)
+    out = {}
+    for node, features in seen.items():
+        n = len(features[sitetree.SIZE])
+        parts = []
+        for feature, share in ((sitetree.TEXT, sitetree.CONTENT), (sitetree.LOOK, sitetree.ARRANGED), (sitetree.SIZE, sitetree.LENGTH)):
+            values = features.get(feature)
+            if values and feature == sitetree.TEXT:
+                parts.append((share, np.mean([len(held[node, v, feature]) == 1 for v in values])))
+            elif values:
+                p = np.unique(values, return_counts=True)[1] / n
+                parts.append((share, 1.0 if n == 1 else float(-(p * np.log(p)).sum() / np.log(n))))
+        h = sum(s * v for s, v in parts) / sum(s for s, _ in parts)
+        out[node] = (n, (h * (n - 1) + 2 * sitetree.UNKNOWN) / (n + 1))
+    return out
+
+
 def test_importance_by_plain_counts(spark):
     pages = [p for p, _ in site(6)]
     pages += pages[:2]
-    found = importance_of(spark, pages)
-    seen = {}
-    for page, nodes in {sitetree.styled(p)[0]: sitetree.styled(p)[1] for p in pages}.items():
-        for node, *features in nodes:
-            seen.setdefault(node, {})[page] = features
-    assert found.keys() == seen.keys()
-    for node, rows in seen.items():
-        n, h = len(rows), 0.0
-        for share, values in zip((sitetree.CONTENT, sitetree.ARRANGED, sitetree.LENGTH), zip(*rows.values(), strict=True), strict=True):
-            p = np.unique(values, return_counts=True)[1] / n
-            h += share * (1.0 if n == 1 else float(-(p * np.log(p)).sum() / np.log(n)))
-        assert found[node][0] == n and np.isclose(found[node][1], 1 - (1 - h) * (n - 1) / (n + 1))
+    found, right = importance_of(spark, pages), counted(pages)
+    assert found.keys() == right.keys()
+    assert all(found[k][0] == right[k][0] and np.isclose(found[k][1], right[k][1]) for k in right)
+
+
+def test_kept_texts_by_recursion(spark):
+    """Every page's texts against a plain recursion over its tree, with importance by plain counts."""
+    pages = [p for p, _ in site(9)]
+    pages += [p.replace("class=x1", "class=menu").replace("<div class=x3>", "<article><div class=x3>").replace("<div class=x4>", "</article><div class=x4>") for p in pages[:5]]
+    known = {k: v for k, (_, v) in counted(pages).items()}
+
+    def texts(node, root, factors, holder):
+        factors = [*factors, sitetree.evidence(node, root)]
+        own = known.get(sitetree.digest(node.path), sitetree.UNKNOWN)
+        if node.text:
+            factor = min(factors) if min(factors) < 1 else max(factors)
+            return [node.text] if factor * (0.9 * own + 0.1 * holder) >= sitetree.IMPORTANT else []
+        return [t for b in node.below for t in texts(b, root, factors, own)]
+
+    rows = [(i, f"http://k.example/{i}", p) for i, p in enumerate(pages)]
+    out = {r.page_id: r.text for r in sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, html in enumerate(pages):
+        root = sitetree.Page(html).root
+        assert out[i] == "\n".join(texts(root, root, [], sitetree.UNKNOWN))
+        # Importance decides: were it 1 everywhere, other texts would stay.
+        assert sitetree.kept(html, dict.fromkeys(known, 1.0)) != sitetree.kept(html, known)
+
+
+def test_texts_of_a_pool_are_not_new(spark):
+    """Adverts of a pool, another on each page, go by entropy; reader comments, new on each page, by their name."""
+    rng = random.Random(5)
+    text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    pool = [text(6) for _ in range(8)]
+    bodies = [[text(rng.randint(10, 80)) for _ in range(3)] for _ in range(80)]
+    talk = [text(9) for _ in bodies]
+    pages = [f"<body><div class=q>{rng.choice(pool)}</div><div class=r>" + "".join(f"<p>{t}</p>" for t in body) + f"</div><div class=comments><p>{said}</p></div></body>" for body, said in zip(bodies, talk, strict=True)]
+    known = {k: v for k, (_, v) in importance_of(spark, pages).items()}
+    for html, body, said in zip(pages, bodies, talk, strict=True):
+        assert sitetree.kept(html, known, judge=lambda *_: 1.0) == [*body, said]
+        assert sitetree.kept(html, known) == body
 
 
 def test_names_do_not_take_the_article(spark):

@@ -18,34 +18,41 @@ def normalised(text: Column) -> Column:
     return reduce(lambda c, space: F.replace(c, F.lit(space), F.lit("")), SPACES, F.coalesce(text, F.lit("")))
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """One row for each row of `docs`: its columns other than the text, and keep_id, group_size, kept.
 
+    With `digests` also text_sha256, the SHA-256 of every normalised text, each worked out once.
+
     Texts are equal when they are the same without ASCII white space (null counts as empty). Of equal
     texts, the row with the most code points stays, then the smallest key (a null key comes last); of rows
     alike in both, one stays.
 
-    Level 1 and 2 count rows by length and hash of a prefix; both are counted at once, with partial sums
-    before the shuffle. Only rows of a length and prefix that occur twice have their whole content hashed
-    (level 3, SHA-256). Keys that survive are broadcast if they are at most BROADCAST_ROWS, else joined by
+    Level 1 counts rows by length. Level 2 counts those of a length that occurs twice by hash of a prefix
+    too. Only rows that both leave have their whole content hashed (level 3, SHA-256). Each level counts with
+    partial sums before the shuffle. Keys that survive are broadcast if they are at most BROADCAST_ROWS, else joined by
     a shuffle. Input columns with the names of the results are replaced. An empty table gives an empty
     result.
     """
-    docs = without(docs, "keep_id", "group_size", "kept")
+    docs = without(docs, "keep_id", "group_size", "kept", *(["text_sha256"] if digests else []))
     norm = normalised(F.col(text))
     level = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.col(key).alias("id"), F.coalesce(F.length(text), F.lit(0)).alias("points"), norm.alias("norm"))
     level = level.withColumns({"bytes": F.octet_length("norm"), "head": F.xxhash64(F.substring("norm", 1, PREFIX))})
-    twice = checkpointed(level.groupBy("bytes", "head").agg(F.count("*").alias("n")).filter("n > 1").select("bytes", "head", F.lit(True).alias("again")))
-    level = level.join(small(twice), ["bytes", "head"], "left")
-    # Rows that survived no level have a digest of their own, so that they do not meet in one task.
+    lengths = checkpointed(level.groupBy("bytes").agg(F.count("*").alias("n")).filter("n > 1").select("bytes"))
+    heads = level.join(small(lengths), "bytes", "left_semi").groupBy("bytes", "head").agg(F.count("*").alias("n"))
+    heads = checkpointed(heads.filter("n > 1").select("bytes", "head", F.lit(True).alias("again")))
+    level = level.join(small(heads), ["bytes", "head"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    # Rows that survived no level have a name of their own, so that they do not meet in one task.
+    whole = F.sha2(F.col("norm").cast("binary"), 256)
     alone = F.concat(F.lit("row"), F.monotonically_increasing_id().cast("string"))
-    full = level.select("row", "id", "points", F.when(F.col("again"), F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"), F.monotonically_increasing_id().alias("uid"), alone.alias("alone"))
-    full = checkpointed(full.withColumn("digest", F.coalesce("digest", "alone")).drop("alone"))
+    hashed = {"sha": whole if digests else F.when(F.col("again"), whole)}
+    full = level.withColumns(hashed).select("row", "id", "points", "again", "sha", F.monotonically_increasing_id().alias("uid"), alone.alias("alone"))
+    full = checkpointed(full.withColumn("digest", F.when(F.col("again"), F.col("sha")).otherwise(F.col("alone"))).drop("alone", *([] if digests else ["sha"])))
     best = F.min(F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("last"), "id", "uid"))
-    groups = checkpointed(full.filter(~F.col("digest").startswith("row")).groupBy("digest").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1"))
+    groups = checkpointed(full.filter("again").groupBy("digest").agg(F.count("*").alias("n"), best.alias("best")).filter("n > 1"))
     out = full.join(groups, "digest", "left")
     single = F.col("n").isNull()
-    return out.select("row.*", F.when(single, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), (single | (F.col("uid") == F.col("best.uid"))).alias("kept"))
+    more = [F.col("sha").alias("text_sha256")] if digests else []
+    return out.select("row.*", F.when(single, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), (single | (F.col("uid") == F.col("best.uid"))).alias("kept"), *more)
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

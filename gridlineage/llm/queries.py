@@ -44,9 +44,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", "text", F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
-    return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
+    groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return groups.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
 
 
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +101,17 @@ QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_quality, op4_
 
 #: The same rows in DuckDB's SQL.
 ORACLE_SQL = {
+    "op1_sharding": """
+        WITH x AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS steps),
+             d AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, hex(coalesce(text, '')) AS t, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS stratum,
+                          md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mixed FROM documents),
+             r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY mixed, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM d),
+             p AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * rank + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), stratum, mixed, doc_id) - 1 AS place, count(*) OVER () AS total FROM r),
+             s AS (SELECT *, CAST(place * 16 // total AS INT) AS shard FROM p)
+        SELECT doc_id, size,
+               xor(4294967295, list_reduce(list_transform(range(size - 1), lambda k: 16 * strpos('123456789ABCDEF', t[2 * k + 1]) + strpos('123456789ABCDEF', t[2 * k + 2])),
+                                           lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295)) AS text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s, x
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),

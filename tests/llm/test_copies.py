@@ -11,6 +11,22 @@ from gridlineage.llm import exact_dedup, minhash
 SPACE = "[\x20\x09-\x0d]"
 
 
+def test_levels_and_digests(spark):
+    """Texts of one length, of one length and prefix, and equal ones; every digest against hashlib, groups against a dictionary."""
+    long = "x" * exact_dedup.PREFIX
+    texts = ["ab", "ba", "a b", long + "ab", long + "ba", f" {long}ab\n", "", None, " \t", "é", "e\u0301", "\u00a0a", "ab"]
+    rows = [(i, t, "old") for i, t in enumerate(texts)]
+    norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in texts]
+    out = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string, text_sha256 string"), digests=True)
+    assert out.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    for r in out.collect():
+        same = [i for i, n in enumerate(norm) if n == norm[r.doc_id]]
+        best = min(same, key=lambda i: (-len(texts[i] or ""), i))
+        assert (r.keep_id, r.group_size, r.kept) == (best, len(same), best == r.doc_id)
+        assert r.text_sha256 == hashlib.sha256(norm[r.doc_id].encode()).hexdigest()
+    assert exact_dedup.exact_groups(spark.createDataFrame([], "doc_id long, text string"), digests=True).count() == 0
+
+
 def test_exact_groups(docs, nothing):
     rows = docs.collect()
     groups = defaultdict(list)
@@ -68,7 +84,8 @@ def test_near_duplicates_of_nothing(nothing):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_a_dense_group_whose_members_are_links_in_part(spark, monkeypatch, small):
-    import random
+    import hashlib
+import random
 
     if small:  # cells of few members, so that blocks, stars and labels are dealt over several
         monkeypatch.setattr(minhash, "BLOCK", 16)

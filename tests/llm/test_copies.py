@@ -1,5 +1,6 @@
 """Exact and near duplicates against brute force."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -84,8 +85,7 @@ def test_near_duplicates_of_nothing(nothing):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_a_dense_group_whose_members_are_links_in_part(spark, monkeypatch, small):
-    import hashlib
-import random
+    import random
 
     if small:  # cells of few members, so that blocks, stars and labels are dealt over several
         monkeypatch.setattr(minhash, "BLOCK", 16)

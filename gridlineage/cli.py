@@ -36,6 +36,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--html", help="folder for one page a workbook")
     parser.add_argument("--language", choices=sorted(LANGUAGES), default="en")
     parser.add_argument("--no-html", action="store_true", help="write no pages, whatever --html says")
+    parser.add_argument("--draw", action="store_true", help="draw the graph on pages, and tell places in JSON")
     parser.add_argument("--json", metavar="PATH", help="folder for one JSON document a workbook; - for standard output")
     parser.add_argument("--refs-dir", help="folder in which linked workbooks are looked for")
     parser.add_argument("--dry-run", action="store_true", help="list sheets alone, with their declared cells")
@@ -49,19 +50,19 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         lineage = analyze(spark, args.paths, refs_dir=args.refs_dir)
         if args.json == "-":
-            for row in graph_json(lineage).toLocalIterator():
+            for row in graph_json(lineage, drawn=args.draw).toLocalIterator():
                 print(row.graph)
         else:
             lineage.stats().show(1_000_000, False)
             if args.json:
-                graph_json(lineage).write.mode("overwrite").partitionBy("workbook_id").text(args.json)
+                graph_json(lineage, drawn=args.draw).write.mode("overwrite").partitionBy("workbook_id").text(args.json)
         if args.verbose:
             for row in lineage.warnings.orderBy("workbook_id", "code", "ord").toLocalIterator():
                 print(f"{row.workbook_id}: {row.message}", file=sys.stderr)
         if args.out:
             write_graph(lineage, args.out, args.format)
         if args.html and not args.no_html:
-            pages(lineage, args.language).write.mode("overwrite").partitionBy("workbook_id").text(args.html)
+            pages(lineage, args.language, drawn=args.draw).write.mode("overwrite").partitionBy("workbook_id").text(args.html)
         return 0
     except KeyboardInterrupt:
         return 130

@@ -46,8 +46,11 @@ def top(patterns: DataFrame, kept: int = KEPT) -> DataFrame:
 
 
 def rest(patterns: DataFrame, kept: int = KEPT) -> DataFrame:
-    """What the other patterns of a sheet sum up to: cells and patterns."""
-    return ranked(patterns).filter(F.col("rank") > kept).groupBy(*KEY).agg(F.sum("cells").alias("cells"), F.count("*").alias("patterns"))
+    """What the other patterns of a sheet sum up to, cells and patterns: all of them less those that are kept, so that only few are ranked in one task."""
+    sums = lambda df, c, n: df.groupBy(*KEY).agg(F.sum("cells").alias(c), F.count("*").alias(n))
+    few = sums(ranked(patterns).filter(F.col("rank") <= kept), "_c", "_n")
+    every = sums(patterns, "cells", "patterns").filter(F.col("patterns") > kept)
+    return every.join(few, list(KEY)).select(*KEY, (F.col("cells") - F.col("_c")).alias("cells"), (F.col("patterns") - F.col("_n")).alias("patterns"))
 
 
 def owners(formulas: DataFrame, patterns: DataFrame, kept: int = KEPT) -> DataFrame:

@@ -9,7 +9,7 @@ from .functions import formulas as fo
 from .functions import refs as R
 from .functions import text as tx
 from .functions import values as V
-from .operators import code, context, dossiers, edges, graph, lookups, notices, patterns, reconcile, tables
+from .operators import code, context, dossiers, edges, graph, layout, lookups, notices, patterns, reconcile, tables
 from .session import checkpointed
 from .sources import sheets
 
@@ -379,6 +379,31 @@ def closure_downstream(spark, sf_dir):
     return graph.closure(e, nodes.filter("kind = 'region'"), upstream=False).select("root", "id", "depth")
 
 
+@query("""
+    WITH n AS (SELECT 'region:' || r_regionkey AS id, 0 AS level FROM region UNION ALL SELECT 'nation:' || n_nationkey, 1 FROM nation UNION ALL SELECT 'customer:' || c_custkey, 2 FROM customer),
+         f AS (SELECT c_custkey, n_regionkey, 'b:region:' || n_regionkey || '>customer:' || c_custkey || '#1' AS bend FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal < 0),
+         s AS (SELECT 'region:' || n_regionkey AS u, 'nation:' || n_nationkey AS l FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
+               UNION ALL SELECT 'region:' || n_regionkey, bend FROM f UNION ALL SELECT bend, 'customer:' || c_custkey FROM f),
+         p AS (SELECT * FROM n UNION ALL SELECT bend, 1 FROM f),
+         a AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY id) AS rank, count(*) OVER (PARTITION BY level) AS n FROM p),
+         b AS (SELECT id, level, rank, ((2 * rank - 1) * 1000000) // (2 * n) AS y FROM a),
+         c AS (SELECT l AS id, CAST(sum(y) // count(*) AS BIGINT) AS mean FROM s JOIN b ON u = b.id GROUP BY 1),
+         d AS (SELECT b.id, level, row_number() OVER (PARTITION BY level ORDER BY coalesce(mean, y), rank) AS rank, count(*) OVER (PARTITION BY level) AS n FROM b LEFT JOIN c ON c.id = b.id),
+         e AS (SELECT id, level, rank, ((2 * rank - 1) * 1000000) // (2 * n) AS y FROM d),
+         g AS (SELECT u AS id, CAST(sum(y) // count(*) AS BIGINT) AS mean FROM s JOIN e ON l = e.id GROUP BY 1),
+         h AS (SELECT e.id, level, row_number() OVER (PARTITION BY level ORDER BY coalesce(mean, y), rank) AS rank, count(*) OVER (PARTITION BY level) AS n FROM e LEFT JOIN g ON g.id = e.id)
+    SELECT id, level, ((2 * rank - 1) * 1000000) // (2 * n) AS y FROM h
+""")
+def graph_layout(spark, sf_dir):
+    """Places of nodes and bends in a layered drawing, with long edges to customers in debt (K2)."""
+    nodes, e = customer_graph(spark, sf_dir)
+    debt = read(spark, sf_dir, "customer").filter("c_acctbal < 0").join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    far = debt.select(F.lit("tables").alias("workbook_id"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("dst"))
+    links = e.select("workbook_id", "src", "dst").unionByName(far)
+    levelled = layout.levels(nodes, links)
+    return layout.ordered(levelled, checkpointed(layout.pieces(levelled, links)), passes=2).select("id", "level", F.col("at").alias("y"))
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_type), 're')")
 def find_nodes(spark, sf_dir):
     """Nodes with a text in label or formula."""

@@ -159,6 +159,12 @@ def test_exports(lineage):
     assert html.startswith("<!DOCTYPE html>") and "c:Report!A2" in html and "base64" in iframe(html)
     with pytest.raises(ValueError):
         pages(lineage, "xx")
+    for row in graph_json(lineage, drawn=True).collect():
+        g = json.loads(row.graph)
+        assert {p["id"] for p in g.get("places", [])} == {n["id"] for n in g.get("nodes", [])}
+        assert {(l["src"], l["dst"]) for l in g.get("lines", [])} == {(e["src"], e["dst"]) for e in g.get("edges", []) if {e["src"], e["dst"]} <= {n["id"] for n in g["nodes"]} and e["src"] != e["dst"]}
+    drawn = pages(lineage, drawn=True).first().html
+    assert "<svg id=d>" in drawn and "polyline" in drawn and "<svg" not in html
 
 
 def test_documents(lineage):

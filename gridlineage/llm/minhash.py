@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, small, stored
-from .tokens import forget, slices
+from .tokens import slices, tidied
 
 #: Bands of rows: a link of similarity 0.8 shares no band in 3 of a million cases, one of 0.85 in 7 of a billion.
 BANDS, ROWS = 32, 5
@@ -121,8 +121,8 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """(id, n, same, sig, keys) of every document; `same` is a fingerprint of its shingle set, null for an empty one."""
     schema = "id long, n long, same binary, sig array<long>, keys array<long>"
 
+    @tidied
     def run(batches):
-        forget()
         mult = multipliers(MINIMA)
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -147,8 +147,8 @@ def fingerprint(s: np.ndarray) -> bytes:
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """(same, set) of the documents: fingerprint and sorted shingle hashes, once for each task and distinct set."""
 
+    @tidied
     def run(batches):
-        forget()
         given: set[bytes] = set()
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -218,6 +218,7 @@ def across(left: DataFrame, bodies: DataFrame, percent: int, bands: int) -> Data
     rows = x.unionByName(y).join(bodies, "cls").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "kind")
     names = ["label", "cls", "comp", "n", "xs"]
 
+    @tidied
     def run(batches):
         out: list[list] = [[] for _ in names]
 
@@ -293,6 +294,7 @@ def confirmed(held: DataFrame, asks: DataFrame, sets: DataFrame, percent: int) -
     rows = held.withColumn("xs", F.lit(None).cast("array<long>")).unionByName(asks).withColumn("kind", F.col("xs").isNotNull().cast("int")).join(sets, "cls")
     rows = rows.repartition("label", "part").sortWithinPartitions("label", "part", "kind", "cls")
 
+    @tidied
     def run(batches):
         a: list[int] = []
         b: list[int] = []
@@ -380,6 +382,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def stars(edges: DataFrame, chunk: int) -> DataFrame:
     """Edges (a, b), a > b, that connect what `edges` connect; each task hangs ids on the smallest they reach by `chunk` of its edges."""
 
+    @tidied
     def run(batches):
         a, b, n = [], [], 0
         for batch in batches:

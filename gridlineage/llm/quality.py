@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, labelled_sample, learns, shared_dir, stored
-from .tokens import forget, slices
+from .tokens import slices, tidied
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Dimensions of word vectors, entries of an index vector that aren't 0, neighbours on each side.
@@ -261,8 +261,8 @@ def learned(docs: DataFrame, text: str = "text") -> DataFrame:
     shuffle of compressed buckets, so the vocabulary has no limit. Sums are whole numbers, so their order does not matter.
     """
 
+    @tidied
     def partial(batches):
-        forget()
         seen = Seen()
 
         def rows():
@@ -278,6 +278,7 @@ def learned(docs: DataFrame, text: str = "text") -> DataFrame:
                     seen = Seen()
         yield from rows()
 
+    @tidied
     def total(batches):
         classes: dict[str, np.ndarray] = {}
         rows = ((k, x) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -304,6 +305,7 @@ def learned(docs: DataFrame, text: str = "text") -> DataFrame:
 def keyed(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys and vectors of some words of the stored table, on the driver; they come as a few large rows."""
 
+    @tidied
     def run(batches):
         keys, vectors = [], []
         for b in batches:
@@ -388,6 +390,7 @@ def score(docs: DataFrame, model: Quality, key: str = "doc_id", text: str = "tex
     if model.rest:
         return scored(rows, model, "text", keep=["doc_id"]).select("doc_id", "score")
 
+    @tidied
     def run(batches):
         for b, x in pooled(batches, model, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x), pa.float64())], ["doc_id", "score"])
@@ -401,6 +404,7 @@ def good_rows(docs: DataFrame, model: Quality, limit: float = 0.5, text: str = "
     if model.rest:
         return scored(docs, model, text, keep=docs.columns).filter(F.col("score") >= limit).select(*docs.columns)
 
+    @tidied
     def run(batches):
         for b, x in pooled(batches, model, at):
             yield b.filter(pa.array(model.scores(x) >= limit, pa.bool_()))
@@ -410,7 +414,6 @@ def good_rows(docs: DataFrame, model: Quality, limit: float = 0.5, text: str = "
 
 def pooled(batches, model: Quality, at: int):
     """Slices of the batches with the state of each text in column `at`, by the words that go with the model."""
-    forget()
     look = Rows(model.words)
     try:
         for b in batches:
@@ -443,6 +446,7 @@ def states_of(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> Da
     """
     at, places = docs.columns.index(text), [docs.columns.index(c) for c in keep]
 
+    @tidied
     def plain(batches):
         for b, x in pooled(batches, model, at):
             yield pa.RecordBatch.from_arrays([*(b.column(p) for p in places), pa.array([s.tobytes() for s in x.astype(np.float64)], pa.binary())], [*keep, "quality_state"])
@@ -450,8 +454,8 @@ def states_of(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> Da
     if not model.rest:
         return docs.mapInArrow(plain, T.StructType([*(docs.schema[p] for p in places), T.StructField("quality_state", T.BinaryType())]))
 
+    @tidied
     def states(batches):
-        forget()
         part, row = TaskContext.get().partitionId() << 40, 0
         look = Rows(model.words)
         for b in batches:
@@ -464,6 +468,7 @@ def states_of(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> Da
                 row += hi - lo
                 yield pa.RecordBatch.from_arrays([*columns, *(b.column(p).slice(lo, hi - lo) for p in places)], names)
 
+    @tidied
     def totals(batches):
         vectors = model.words.vectors
 

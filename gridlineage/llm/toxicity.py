@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import labelled_sample
-from .tokens import forget, slices
+from .tokens import slices, tidied
 
 WORD = re.compile(r"\w+")
 #: Weights are kept for hashed features; prefixes let inflected words share evidence.
@@ -242,8 +242,8 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
+    @tidied
     def run(batches):
-        forget()
         chain = model.value
         known = Emissions(chain)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float32())]))
@@ -265,8 +265,8 @@ def clean_rows(docs: DataFrame, chain: Chain, limit: float = 0.7, text: str = "t
     """The rows of `docs` whose text scores below `limit`, with all their columns."""
     model, at = docs.sparkSession.sparkContext.broadcast(chain), docs.columns.index(text)
 
+    @tidied
     def run(batches):
-        forget()
         chain = model.value
         known = Emissions(chain)
         for b in batches:
@@ -285,8 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cha
     one class alone, there is no toxic word, and all documents score alike.
     """
 
+    @tidied
     def run(batches):
-        forget()
         rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([(t, y) for _, t, y in rows]))], pa.binary())], ["model"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, stored
-from .tokens import encoder, slices
+from .tokens import encoder, slices, tidied
 
 #: Queues at most, as their token counts are one row each on the driver; the smallest sources beyond share the last one.
 QUEUES = 4096
@@ -150,6 +150,7 @@ def pack(docs: DataFrame, path: str, end: int = 2, size: int = 4096, quantum: in
     bases = stored(bases, "packing-bases")
     placed = kept.join(small(bases), ["part", "queue"]).select("doc_id", "queue", (F.col("start") + F.col("base")).alias("start"), "n", "ids", "width")
 
+    @tidied
     def run(batches):
         plan = Schedule(tokens, quantum)
         for b in batches:

@@ -15,8 +15,8 @@ import pyarrow as pa
 
 #: Letters before ASCII punctuation other than an apostrophe.
 PUNCTUATED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-#: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 700_000
+#: Bytes of distinct chunks with their ids that a Python worker remembers, and what an entry takes beside them.
+REMEMBERED, ENTRY = 48_000_000, 150
 
 
 def lettered(word: str) -> bool:
@@ -43,6 +43,11 @@ class ChunkEncoder:
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def learn(self, new: list[bytes]) -> None:
         """Remembers the ids of chunks.
@@ -83,6 +88,7 @@ class ChunkEncoder:
                 known[w.encode("utf-8", "surrogatepass")] = array(self.kind, e.ids).tobytes()
         for raw, head, tail in pairs:
             known[raw] = known[head] + known[tail]
+        self.held += sum(len(w) + len(known[w]) for w in new)
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids of each text with `end` appended; null counts as empty."""
@@ -92,8 +98,8 @@ class ChunkEncoder:
             words.append((data if b"<|" in data else data.lower()).split())
         known = self.known
         new = set(chain.from_iterable(words)).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
+        if ENTRY * (len(known) + len(new)) + self.held + 2 * sum(map(len, new)) > REMEMBERED:
+            self.clear()
             new = set(chain.from_iterable(words))
         self.learn(list(new))
         get, last = known.__getitem__, array(self.kind, [end]).tobytes()
@@ -113,7 +119,7 @@ def encoder(path: str) -> ChunkEncoder:
 def forget() -> None:
     """Drops what this Python worker remembers; tasks of other operators call it, as workers are used again."""
     for e in _encoders.values():
-        e.known.clear()
+        e.clear()
 
 
 def release() -> None:

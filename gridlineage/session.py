@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 #: Rows of a batch that goes to Python: texts and workbooks are long, so a batch is kept short of what a worker can hold.
 BATCH = 2_000
+#: Bytes after which a batch ends whatever its rows, so that long texts and large files do not meet in one. It takes the place of Spark's own bound alone.
+BATCH_BYTES, SPARK_BYTES = 8 << 20, f"{64 << 20}b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's Python files to the executors, once for each application, and bounds Arrow batches."""
+    """Sends this package's Python files to the executors, once for each application, and bounds Arrow batches in rows and bytes."""
     sc = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == SPARK_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent

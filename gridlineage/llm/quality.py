@@ -7,9 +7,9 @@ import pickle
 import re
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, replace
-from itertools import groupby, islice
+from itertools import chain, count, groupby, islice
 from operator import eq, itemgetter
 
 import numpy as np
@@ -36,6 +36,8 @@ FLUSH = 400_000
 BUCKETS = 1024
 #: Steps of a unit in which entries of vectors are kept.
 STEPS = 63
+#: Words whose neighbours are summed at once, and what is added so that no place of such a sum is negative: with that, RUN of them stay below 2**16.
+RUN, LIFT, LANES = 4096, 2 * sum(WEIGHTS), np.uint64(0x00FF00FF00FF00FF)
 HIDDEN = 32
 #: Features of a document: two pools of DIMS, and four for repeated words and length.
 WIDTH = 2 * DIMS + 4
@@ -80,13 +82,27 @@ def word_key(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def numbered(tokens) -> tuple[list[str], np.ndarray]:
+    """Distinct tokens as they come, and each token's number among them."""
+    number = defaultdict(count().__next__)
+    ids = np.fromiter(map(number.__getitem__, tokens), np.int32)
+    return list(number), ids
+
+
+def longer(m: np.ndarray, used: int, rows: int) -> np.ndarray:
+    """The first `used` rows of an array in one of `rows` rows."""
+    out = np.zeros((rows, *m.shape[1:]), m.dtype)
+    out[:used] = m[:used]
+    return out
+
+
 class Seen:
     """Counts of words and sums of their neighbours' index vectors (nearer ones count more), in whole numbers."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
-        # Row 0 stands for the gaps between texts.
-        self.index, self.sums, self.count = np.zeros((1, DIMS), np.int8), np.zeros((1, DIMS), np.int32), np.zeros(1, np.int64)
+        self.number = defaultdict(count(1).__next__)
+        # Row 0 stands for the gaps between texts. Pages of an array of zeros take memory when they are written first.
+        self.index, self.sums, self.count = np.zeros((FLUSH, DIMS), np.int8), np.zeros((FLUSH, DIMS), np.int32), np.zeros(FLUSH, np.int64)
 
     def add(self, texts: list[str | None]) -> None:
         gap, number = "", self.number
@@ -95,29 +111,31 @@ class Seen:
             if t:
                 tokens += TOKEN.findall(t)
                 tokens += [gap] * NEAR
-        new = sorted(set(tokens).difference(number, [gap]))
-        if len(number) + len(new) >= len(self.index):
-            more = max(len(self.index), len(new) + 1)
-            self.index, self.sums = (np.concatenate([m, np.zeros((more, DIMS), m.dtype)]) for m in (self.index, self.sums))
-            self.count = np.concatenate([self.count, np.zeros(more, np.int64)])
-        if new:
-            at = len(number) + 1
-            self.index[at : at + len(new)] = index_vectors(new)
-            number.update(zip(new, range(at, at + len(new)), strict=True))
+        before = len(number)
         number[gap] = 0
-        ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-        del number[gap]
-        self.count += np.bincount(ids, minlength=len(self.count))
-        for lo in range(NEAR, len(ids) - NEAR, 32_768):
-            hi = min(lo + 32_768, len(ids) - NEAR)
-            g, size = self.index[ids[lo - NEAR : hi + NEAR]].astype(np.float32), hi - lo
-            near = np.zeros((size, DIMS), np.float32)
+        ids = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
+        del number[gap], tokens
+        at = len(number) + 1
+        if at > len(self.index):
+            # A quarter more at a time; rows that aren't used yet take no memory.
+            self.index, self.sums, self.count = (longer(m, before + 1, at + at // 4) for m in (self.index, self.sums, self.count))
+        self.index[before + 1 : at] = index_vectors(list(islice(reversed(number), at - before - 1))[::-1])
+        self.count[:at] += np.bincount(ids, minlength=at)
+        for lo in range(NEAR, len(ids) - NEAR, RUN):
+            hi = min(lo + RUN, len(ids) - NEAR)
+            g, size = self.index[ids[lo - NEAR : hi + NEAR]], hi - lo
+            near = np.full((size, DIMS), LIFT, np.int8)
             for d, weight in enumerate(WEIGHTS, 1):
                 near += weight * (g[NEAR - d : NEAR - d + size] + g[NEAR + d : NEAR + d + size])
             order = np.argsort(ids[lo:hi], kind="stable")
             a = ids[lo:hi][order]
-            at = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-            self.sums[a[at]] += np.add.reduceat(near[order], at, axis=0).astype(np.int32)
+            first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            # Eight places of a byte are a word of 64 bits, so sums of every other byte run in lanes of 16 bits.
+            near = near.view(np.uint64)[order]
+            total = np.empty((len(first), DIMS), np.int32)
+            for k in (0, 1):
+                total[:, k::2] = np.add.reduceat((near >> np.uint64(8 * k)) & LANES, first, axis=0).view(np.uint16)
+            self.sums[a[first]] += total - LIFT * np.diff(first, append=size)[:, None].astype(np.int32)
 
     def totals(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         n = len(self.number) + 1
@@ -221,7 +239,7 @@ class Quality:
 
 def packed(words: list[str], n: np.ndarray, sums: np.ndarray) -> list[tuple[int, bytes]]:
     """(bucket, words with counts and sums, compressed); sums that fit take one byte each."""
-    few = np.abs(sums).max(axis=1, initial=0) <= 127
+    few = (sums.max(axis=1, initial=0) <= 127) & (sums.min(axis=1, initial=0) >= -127)
     at = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], np.int64)
     order = np.lexsort((~few, at))
     out = []

@@ -282,3 +282,22 @@ def test_words_of_the_whole_corpus_have_vectors(spark):
     assert [k for k, _ in one] == [k for k, _ in two] and np.allclose([s for _, s in one], [s for _, s in two], atol=1e-3)
     kept = [sorted((r.doc_id or -1) for r in quality.good_rows(docs, m).collect()) for m in (whole, split)]
     assert kept[0] == kept[1] and quality.good_rows(docs, split).columns == docs.columns
+
+
+def test_sums_of_neighbours_take_room_for_their_words(monkeypatch):
+    monkeypatch.setattr(quality, "FLUSH", 100)
+    monkeypatch.setattr(quality, "RUN", 64)
+    rng, seen, sums = random.Random(8), quality.Seen(), {}
+    for lo in range(0, 2_000, 40):
+        texts = [" ".join([*(f"w{lo + k}" for k in range(40)), *["again"] * 100, *(f"w{rng.randrange(lo + 40)}" for _ in range(30))]), None, ""]
+        seen.add(texts)
+        words = texts[0].split()
+        v = quality.index_vectors(words)
+        for i, w in enumerate(words):
+            for j in range(max(0, i - 2), min(len(words), i + 3)):
+                if j != i:
+                    sums[w] = sums.get(w, 0) + v[j] * (2 if abs(i - j) == 1 else 1)
+        assert len(seen.index) == len(seen.sums) == len(seen.count) <= max(100, 1.25 * len(seen.number) + 2)
+    words, n, found = seen.totals()
+    assert len(words) == 2_001 and n.sum() == 50 * 170
+    assert all(np.array_equal(found[i], sums[w]) for i, w in enumerate(words))

@@ -184,6 +184,22 @@ class Rows(dict):
         self[token] = r = len(self.words.rows) + at if own else self.words.rows.get(kind(token), 0)
         return r
 
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """The rows of distinct tokens; those that aren't known are looked up at once."""
+        new = [t for t in tokens if t not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = tokens
+        found = np.array([word_key(t) for t in new], np.int64)
+        at = np.searchsorted(self.words.keys, found)
+        own = at < len(self.words.keys)
+        own[own] = self.words.keys[at[own]] == found[own]
+        rows, classes = (len(self.words.rows) + at).tolist(), self.words.rows
+        for i in np.flatnonzero(~own).tolist():
+            rows[i] = classes.get(kind(new[i]), 0)
+        self.update(zip(new, rows, strict=True))
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+
 
 @dataclass
 class Quality:
@@ -206,13 +222,26 @@ class Quality:
 
     def state(self, tokens: list[str], look: Rows) -> np.ndarray:
         """Sums of a document's word vectors and of their squares, how often its words repeat, and its length."""
-        if not tokens:
-            return np.zeros(STATE, np.float32)
-        rows, n = np.unique(np.fromiter(map(look.__getitem__, tokens), np.int64, len(tokens)), return_counts=True)
-        v, n = self.words.vectors[rows].astype(np.float32) / STEPS, n.astype(np.float32)
-        size = len(tokens)
-        again = sum(map(eq, tokens, islice(tokens, 1, None))) / size
-        return np.concatenate([n @ v, n @ (v * v), np.array([again, len(set(tokens)) / size, size], np.float32)])
+        return self.states([tokens], look)[0]
+
+    def states(self, docs: list[list[str]], look: Rows) -> np.ndarray:
+        """The state of each of some documents."""
+        out, size = np.zeros((len(docs), STATE), np.float32), np.array([len(t) for t in docs], np.int64)
+        words, ids = numbered(chain.from_iterable(docs))
+        if not len(ids):
+            return out
+        doc, rows, full = np.repeat(np.arange(len(docs)), size), look.of(words), size > 0
+        again = np.bincount(doc[1:][(ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])], minlength=len(docs))
+        fresh = np.bincount(np.unique(doc * len(words) + ids) // len(words), minlength=len(docs))
+        out[full, -3:] = np.column_stack([again[full] / size[full], fresh[full] / size[full], size[full]])
+        high = len(self.words.vectors)
+        pairs, n = np.unique(doc * high + rows[ids], return_counts=True)
+        ends, n = np.searchsorted(pairs, np.arange(len(docs) + 1) * high).tolist(), n.astype(np.float32)
+        for i in np.flatnonzero(full).tolist():
+            here = slice(ends[i], ends[i + 1])
+            v = self.words.vectors[pairs[here] - i * high].astype(np.float32) / STEPS
+            out[i, :DIMS], out[i, DIMS : 2 * DIMS] = n[here] @ v, n[here] @ (v * v)
+        return out
 
     def tail(self, tokens: list[str], look: Rows) -> tuple[list[int], list[int], list[int]]:
         """Keys, counts and class rows of the words that have no row of their own here."""
@@ -343,7 +372,7 @@ def fit(sample: list[tuple[str, int]]) -> Quality:
     own, _, vectors = finished(*seen.totals(), classes)
     model = untrained(Words.of(classes, np.array([word_key(w) for w in own], np.int64), vectors))
     look = Rows(model.words)
-    return trained(model, np.array([model.state(TOKEN.findall(t), look) for t, _ in sample]), np.array([label for _, label in sample], float))
+    return trained(model, model.states([TOKEN.findall(t) for t, _ in sample], look), np.array([label for _, label in sample], float))
 
 
 def untrained(words: Words) -> Quality:
@@ -437,7 +466,7 @@ def pooled(batches, model: Quality, at: int):
         for b in batches:
             texts = b.column(at).to_pylist()
             for lo, hi in slices(texts, 1_500_000):
-                yield b.slice(lo, hi - lo), np.array([model.state(TOKEN.findall(t) if t else [], look) for t in texts[lo:hi]])
+                yield b.slice(lo, hi - lo), model.states([TOKEN.findall(t) if t else [] for t in texts[lo:hi]], look)
     finally:
         # Workers are used again by other operators, which need the room; the next task reads the words anew.
         if isinstance(model.held, Broadcast):
@@ -480,8 +509,9 @@ def states_of(docs: DataFrame, model: Quality, text: str, keep: list[str]) -> Da
             texts = b.column(at).to_pylist()
             for lo, hi in slices(texts, 1_500_000):
                 tokens = [TOKEN.findall(t) if t else [] for t in texts[lo:hi]]
+                own = model.states(tokens, look)
                 tails = [model.tail(t, look) for t in tokens]
-                columns = [pa.array(range(part + row, part + row + hi - lo), pa.int64()), pa.array([model.state(t, look).tobytes() for t in tokens], pa.binary())]
+                columns = [pa.array(range(part + row, part + row + hi - lo), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())]
                 columns += [pa.array([t[k] for t in tails], pa.list_(kind_of)) for k, kind_of in enumerate((pa.int64(), pa.int64(), pa.int32()))]
                 row += hi - lo
                 yield pa.RecordBatch.from_arrays([*columns, *(b.column(p).slice(lo, hi - lo) for p in places)], names)

@@ -301,3 +301,21 @@ def test_sums_of_neighbours_take_room_for_their_words(monkeypatch):
     words, n, found = seen.totals()
     assert len(words) == 2_001 and n.sum() == 50 * 170
     assert all(np.array_equal(found[i], sums[w]) for i, w in enumerate(words))
+
+
+def test_states_of_texts_together_and_alone(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["ab", "Cd", "ef!", "gh", f"w{rng.randrange(400)}"]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    model = quality.fit([(t, i % 2) for i, t in enumerate(texts)])
+    docs = [quality.TOKEN.findall(t) for t in ["", *texts, "nothing known here", ""]]
+    asked = []
+    key = quality.word_key
+    monkeypatch.setattr(quality, "word_key", lambda w: (asked.append(w), key(w))[1])
+    together = model.states(docs, quality.Rows(model.words))
+    assert sorted(asked) == sorted({w for t in docs for w in t})
+    look = quality.Rows(model.words, most=50)
+    for t, state in zip(docs, together, strict=True):
+        v = model.words.vectors[[look[w] for w in t]] / quality.STEPS
+        again = sum(a == b for a, b in zip(t, t[1:]))
+        want = [*v.sum(0), *(v * v).sum(0), again / len(t), len(set(t)) / len(t), len(t)] if t else [0] * quality.STATE
+        assert np.allclose(state, want, atol=1e-4) and np.array_equal(state, model.state(t, look))

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridlineage.llm import bpe, packing, records, sharding
+from gridlineage.llm import bpe, packing, records, sharding, tokens
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -183,3 +183,26 @@ def test_more_sources_than_queues_are_packed_whole(spark, library, monkeypatch):
             assert offset == at
             at += length
         assert at <= 64
+
+
+def test_chunks_that_come_again_are_encoded_once(library, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40_000)
+    tool, asked = tokens.ChunkEncoder(WORD), Counter()
+    learn = tool.learn
+    monkeypatch.setattr(tool, "learn", lambda new: (asked.update(new), learn(new)))
+    rare = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(4_000)]
+    for lo in range(0, len(rare), 50):
+        texts = [f"The common, words. {' '.join(rare[lo : lo + 25])}; again! {' '.join(rare[lo + 25 : lo + 50])}... é. x.y"]
+        assert tool.encode(texts, 2)[0].tolist() == library[WORD].encode(texts[0], add_special_tokens=False).ids + [2]
+        assert len(tool.known) + len(tool.known.earlier) < 40_000 / tokens.ENTRY + 200
+    # Of a word with and without a mark behind it one is encoded.
+    assert {asked[w] for w in (b"the", b"common", b"words", b"again", b".", b",")} == {1} and not asked[b"words."]
+    assert len(asked) > len(rare) and max(asked.values()) == 1
+
+
+def test_a_text_that_fails_leaves_nothing_half_known():
+    tool = tokens.ChunkEncoder(WORD)
+    for _ in range(2):
+        with pytest.raises(Exception):
+            tool.encode(["fine words \ud800"], 2)
+    assert len(tool.encode(["fine words"], 2)[0]) > 2

@@ -109,7 +109,7 @@ def resolved(cells: DataFrame, structure: DataFrame, modules: DataFrame | None =
     reads = checkpointed(edges.precedents(kept, dims).unionByName(clip(edges.name_reads(names), dims)))
     inputs = checkpointed(edges.input_ranges(reads, owned))
     named, opaque = edges.name_edges(reads, names)
-    all_edges = sheets.union([edges.range_edges(reads, owned), edges.input_edges(reads, inputs), edges.approximate_edges(reads, kept), named, opaque])
+    all_edges = sheets.union([edges.range_edges(reads, owned, kept), edges.input_edges(reads, inputs), edges.approximate_edges(reads, kept), named, opaque])
     kind = F.when(F.col("dst").startswith("n:"), "name").otherwise(F.col("kind"))
     all_edges = checkpointed(edges.merged(all_edges.withColumn("kind", kind)))
 
@@ -172,7 +172,8 @@ def clip(reads: DataFrame, dims: DataFrame) -> DataFrame:
     d = dims.select("workbook_id", F.col("sheet").alias("_on"), "max_row", "max_col")
     own = F.struct(*[F.col("target")[f].alias(f) for f in ("sheet", "r1", "c1", "r2", "c2")])
     out = reads.withColumn("_on", F.col("target.sheet")).join(d, ["workbook_id", "_on"])
-    return out.withColumn("target", R.clipped(own, F.col("max_row"), F.col("max_col"))).filter("target is not null").select(*reads.columns)
+    out = out.withColumn("target", R.clipped(own, F.col("max_row"), F.col("max_col"))).filter("target is not null")
+    return out.withColumn("each", R.ncells(F.col("target"))).select(*reads.columns)
 
 
 def fallbacks(formulas: DataFrame) -> DataFrame:
